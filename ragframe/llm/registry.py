@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op6_mix_sources": "mix",
     "op8_sharding": "shard",
+    "op9_simhash": "simhash",
 }
 
 
