@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: query -> module; a module's ORACLE_SQL, if any, belongs to its query.
 MODULES = {
+    "op4_language_id": "langid",
     "op6_mix_sources": "mix",
     "op8_sharding": "shard",
     "op9_simhash": "simhash",
+    "op10_license_scan": "license",
 }
 
 
