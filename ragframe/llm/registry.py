@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op4_language_id": "langid",
     "op6_mix_sources": "mix",
+    "op7_best_fit_packing": "pack",
     "op8_sharding": "shard",
     "op9_simhash": "simhash",
     "op10_license_scan": "license",
