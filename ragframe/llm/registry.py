@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query -> module; a module's ORACLE_SQL, if any, belongs to its query.
 MODULES = {
+    "op1_permutation_ann": "permutation",
+    "op3_impact_topk": "impact",
     "op4_language_id": "langid",
     "op6_mix_sources": "mix",
     "op7_best_fit_packing": "pack",
