@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module; a module's ORACLE_SQL, if any, belongs to its query.
 MODULES = {
     "op1_permutation_ann": "permutation",
+    "op2_line_dedup": "lines",
     "op3_impact_topk": "impact",
     "op4_language_id": "langid",
     "op6_mix_sources": "mix",
