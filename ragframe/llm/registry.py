@@ -10,6 +10,7 @@ MODULES = {
     "op2_line_dedup": "lines",
     "op3_impact_topk": "impact",
     "op4_language_id": "langid",
+    "op5_lm_scoring": "lm",
     "op6_mix_sources": "mix",
     "op7_best_fit_packing": "pack",
     "op8_sharding": "shard",
