@@ -1,13 +1,62 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing of sources, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+All but the last return the columns of documents:
+
+- language_id keeps the documents whose language the model tells and sets lang to it; texts without a letter go.
+- line_dedup removes later copies of repeated line runs; documents that lose every line go; n_chars is counted anew.
+- near_dedup keeps one document (the smallest doc_id) of each near-duplicate group.
+- mix_sources emits each document as often as its source's rate says.
+- pack returns one row for each piece of a document, with its place in a sequence.
+
+An empty table gives an empty result. DuckDB has neither the hashes nor the tokenizer of these stages, so the pipeline
+is tested against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ragframe.llm import langid, lines, mix, pack, simhash
+from ragframe.llm.common import saved
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.predicted(docs, docs.columns, ("__lang", "__score")).where(F.col("__lang") != langid.UND)
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.deduped(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack.packed_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

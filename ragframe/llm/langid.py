@@ -181,19 +181,20 @@ def fit(docs: DataFrame) -> Model:
     return Model(samples)
 
 
-def predicted(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score. Learns from text, lang and doc_id (for the fold alone)."""
+def predicted(docs: DataFrame, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, then the language and its score under these names. Learns from text, lang and doc_id (for the fold alone)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    src = in_parts(docs.select(F.col("text").alias("__text"), *keep))
+    src = in_parts(docs.select(*dict.fromkeys(["text", *keep])))
+    kept = [src.columns.index(c) for c in keep]
 
     def run(batches):
         m = model.value
         for b in batches:
-            names, scores = m.predict(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
+            langs, scores = m.predict(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
+    return src.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

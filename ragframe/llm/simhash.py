@@ -33,6 +33,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SAMPLE = 4096
 #: Members of a signature that are compared in one place.
 BLOCK = 4096
+#: Tables of up to so many removed documents are broadcast; larger ones join by a shuffle.
+BROADCAST_ROWS = 20_000
 _CHUNK = 1 << 15
 
 
@@ -228,10 +230,19 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each near-duplicate group (the one of the smallest id; of repeats of that id, one)."""
-    named = clustered(saved(fingerprints(docs), "simhash-fp")).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"), "fp").distinct()
-    hashed = docs.withColumn("__t", F.xxhash64("text"))
-    kept = hashed.join(named, hashed["doc_id"].eqNullSafe(named["__keep"]), "left_semi")
-    first = kept.groupBy("doc_id").agg(F.min("__t").alias("__first")).withColumnRenamed("doc_id", "__id")
-    once = kept.join(first, kept["doc_id"].eqNullSafe(first["__id"]) & kept["__t"].eqNullSafe(first["__first"]), "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without all but one document of each near-duplicate group: the one of the smallest id (of repeats of that id, one of least text hash)."""
+    th = F.xxhash64("text")
+    rows = saved(clustered(saved(fingerprints(docs), "simhash-fp")).where("doc_id <=> component_id").select("doc_id").distinct(), "simhash-kept")
+    ids = docs.select("doc_id", th.alias("th"))
+    stay = ids.join(rows, ids["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi").groupBy("doc_id").agg(F.min("th").alias("th"), F.count("*").alias("n"))
+    stay = saved(stay, "simhash-stay")
+    go = saved(_without(ids, stay).distinct().select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "simhash-go")
+    few = go.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(go) if few else go, F.col("doc_id").eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_anti")
+    if not stay.where("n > 1").isEmpty():  # the same id and text more than once
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(*docs.columns)
+
+
+def _without(ids: DataFrame, stay: DataFrame) -> DataFrame:
+    return ids.join(stay, ids["doc_id"].eqNullSafe(stay["doc_id"]) & (ids["th"] == stay["th"]), "left_anti")
