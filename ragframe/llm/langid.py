@@ -46,7 +46,7 @@ def folded(text: str | None) -> np.ndarray:
 
 
 def automaton(symbols: list[int], letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton, states x letters; state 1 is the start, 0 means none."""
+    """Transitions of the suffix automaton, states x letters; state 1 is the start, 0 means none and leads nowhere."""
     nexts, link, length = [None, {}], [0, 0], [0, 0]
     last = 1
     for c in symbols:
@@ -121,8 +121,8 @@ class Model:
         owner, start, size = owner[order], start[order], size[order]
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))  # lanes that are longer than t
         for k, table_ in enumerate(self.tables):
-            steps, first = table_.ravel(), np.where(table_[1] == 0, 1, table_[1]).astype(np.int32)
-            state, count = np.ones(len(size), np.int32), np.ones(len(size), np.int64)
+            steps, first = table_.ravel(), table_[1]
+            state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)  # from state 0 nothing leads on
             for t in range(int(size[0])):
                 n = int(active[t])
                 c = flat[start[:n] + t]

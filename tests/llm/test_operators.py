@@ -1,0 +1,427 @@
+"""Each operator on small tables, against brute force, and on its edge cases."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import types as T
+
+from ragframe.llm import common, graph, impact, langid, license as lic, lines, lm, mix, pack, permutation, shard, simhash, vectors
+from ragframe.llm.attention import Model, Vocabulary
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rate double, copies int, score double, row long, id long"
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def make(spark, rows):
+    """rows of (doc_id, text, lang, source); the other columns clash with names that operators use."""
+    return spark.createDataFrame([(i, t, l, s, len(t) if t is not None else None, 1.5, 7, 0.5, 3, 4) for i, t, l, s in rows], DOCS)
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = random.Random(3)
+    long = text(rng, 30_000)
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \t\n ", "de", None), (4, long, "en", "b"), (5, "same text here now", "en", "b"), (5, "same text here now", "en", "b"), (6, "same text here now", "fr", "a")]
+    rows += [(None, "no id at all", "fr", "a"), (7, "Über Straße MIT License 1.0 \U0001f600", None, "é"), (8, "!!! 123", "en", ""), (9, "a\n\nb\r\nc", "en", "b")]
+    return make(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return make(spark, [])
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# sharding
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 7, 10, 64, 1000):
+        assert sorted(shard.permuted(x, n) for x in range(n)) == list(range(n))
+
+
+def test_sharding(spark, odd, empty):
+    for docs in (odd, make(spark, [(i, f"t{i % 7}", "en", "s") for i in range(500)])):
+        rows = shard.sharded(docs).collect()
+        n = docs.count()
+        assert len(rows) == n and sorted(r["row"] for r in rows) == list(range(n))
+        for r in rows:
+            at = shard.permuted(r["row"], n)
+            assert (r["shard"], r["slot"]) == (at % 8, at // 8)
+        counts = Counter(r["shard"] for r in rows)
+        assert max(counts.values()) - min(counts[s] for s in range(8)) <= 1
+    one = {r["doc_id"]: r for r in shard.sharded(odd).collect()}
+    assert one[1]["size"] == 1 and one[1]["text_crc32"] == 0 and one[7]["text_crc32"] == zlib.crc32("Über Straße MIT License 1.0 \U0001f600".encode())
+    assert shard.sharded(empty).count() == 0
+
+
+# mixing
+
+
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        if not free:
+            break
+        level = (left - sum(2 * sizes[s] for s in capped)) / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * sizes[s]]
+        if not over:
+            return {s: 2.0 * sizes[s] if s in capped else level * weight[s] for s in names}
+        capped |= set(over)
+    return {s: 2.0 * sizes[s] for s in names}
+
+
+def test_mixing(spark, odd, empty):
+    rng = random.Random(1)
+    docs = make(spark, [(i, text(rng, rng.randint(0, 60)), "en", rng.choice(["a", "b", "c", "d", None])) for i in range(800)] + [(900, text(rng, 5), "en", "z")])
+    for d in (docs, odd):
+        sizes = Counter()
+        for r in d.collect():
+            sizes[r["source"]] += len(words(r["text"]))
+        want = brute_targets(sizes)
+        rows = common.saved(d.select("doc_id", "source", common.n_words("text").alias("size")), "t")
+        per, few = mix.plan(rows)
+        out = mix.copies(rows, per, few).collect()
+        assert len(out) == d.count()
+        taken = Counter()
+        for r in out:
+            assert r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["copies"] <= 2 and r["source_size"] == sizes[r["source"]]
+            taken[r["source"]] += r["copies"] * r["size"]
+        if d is docs:
+            assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 10 for s in "abcd")
+        again = mix.mixed(d)
+        assert again.columns == d.columns
+        assert Counter(r["doc_id"] for r in again.collect()) == sum((Counter({r["doc_id"]: r["copies"]}) for r in out), Counter())
+    assert mix.mixed(empty).count() == 0
+
+
+# simhash
+
+
+def brute_fingerprint(t):
+    w = (t or "").encode().lower().split()
+    s = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, fps):
+    root = {}
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 4 and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    for i, x in enumerate(label):
+        if ids[i] is not None:
+            root[x] = min(root.get(x, ids[i]), ids[i])
+    return [root.get(x) for x in label]
+
+
+def near_copies(rng, n):
+    base = [text(rng, 200).split() for _ in range(12)]
+    rows = []
+    for i in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((i, " ".join(w), "en", "s"))
+    return rows
+
+
+def test_simhash(spark, odd, empty):
+    for docs in (make(spark, near_copies(random.Random(5), 150)), odd):
+        src = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        out = simhash.clustered(common.saved(simhash.fingerprints(docs), "t")).collect()
+        fps = [brute_fingerprint(t) for _, t in src]
+        want = Counter(zip([i for i, _ in src], fps, brute_components([i for i, _ in src], fps)))
+        assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in out) == want
+        kept = simhash.one_of_each(docs)
+        assert kept.columns == docs.columns
+        groups = {c for _, _, c in want}
+        assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(g for g in groups if g is not None)
+    assert simhash.clustered(common.saved(simhash.fingerprints(empty), "t")).count() == 0 == simhash.one_of_each(empty).count()
+
+
+def test_simhash_hot_signatures_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(200)} | {rng.getrandbits(64) for _ in range(50)})
+    df = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.clustered(common.saved(df, "t")).collect()}
+    assert out == dict(enumerate(brute_components(list(range(len(fps))), fps)))
+
+
+def test_thresholds_keep_the_pigeonhole():
+    rng = np.random.default_rng(0)
+    for n in (10, 10**4, 10**7):
+        plan = simhash.allocate(rng.integers(0, 2, (500, 64)).astype(np.uint8), n)
+        assert sorted(b for p, _ in plan for b in p) == list(range(64)) and sum(t for _, t in plan) == simhash.RADIUS - len(plan) + 1
+
+
+def test_components_of_a_long_path(spark):
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    df = spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1001)], "a long, b long")
+    out = {r["node"]: r["root"] for r in graph.components(df).collect()}
+    assert out == {**dict.fromkeys(range(300), 0), 1000: 1000, 1001: 1000}
+
+
+# lines
+
+
+def brute_lines(docs):
+    """Which lines of each distinct (id, text) go, by trying all runs."""
+    import hashlib
+
+    keys = sorted({(i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), i, t) for i, t in docs if t is not None})
+    seqs = [(k, k[4].split("\n")) for k in keys]
+    gone, seen = {k: set() for k, _ in seqs}, {}
+    for d, (k, ls) in enumerate(seqs):
+        for s in range(len(ls)):
+            for e in range(s, len(ls)):
+                if sum(len(words(x)) for x in ls[s : e + 1]) >= lines.MIN_WORDS:
+                    run = tuple(ls[s : e + 1])
+                    if seen.setdefault(run, (d, s)) != (d, s):
+                        gone[k].update(range(s, e + 1))
+    return {(k[3], k[4]): "\n".join(x for i, x in enumerate(ls) if i not in gone[k]) for k, ls in seqs}
+
+
+def test_line_dedup(spark, odd, empty):
+    rng = random.Random(4)
+    pool = [text(rng, rng.choice([0, 1, 9, 20, 49, 50, 51, 70])) for _ in range(14)] + [text(rng, 3)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else text(rng, 12) for _ in range(rng.randint(1, 12))), "en", "s") for i in range(80)]
+    rows += [(3, rows[5][1], "en", "s"), (3, rows[5][1], "en", "s")]
+    for docs in (make(spark, rows), odd):
+        src = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        want = brute_lines(src)
+        got = lines.cut(docs).select("doc_id", "text", lines.kept_text().alias("kept")).collect()
+        assert len(got) == len(src)
+        for r in got:
+            assert r["kept"] == (want[r["doc_id"], r["text"]] if r["text"] is not None else None)
+        assert lines.deduped(docs).columns == docs.columns
+    assert lines.deduped(empty).count() == 0 == lines.cut(empty).count()
+
+
+# language
+
+
+def test_language_id(spark, odd, empty):
+    rng = random.Random(6)
+    alphabets = {"aa": ["ka", "lo", "mi", "tu", "ré"], "bb": ["sch", "ung", "der", "keit", "öl"], "cc": ["wh", "ing", "tion", "th", "ea"]}
+    make_text = lambda k, n: " ".join("".join(rng.choice(alphabets[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make_text(k, 40), k if i % 9 else None, "s") for i, k in enumerate(rng.choice(list(alphabets)) for _ in range(400))]
+    out = {r["doc_id"]: r for r in langid.predicted(make(spark, rows), ["doc_id"]).collect()}
+    assert len(out) == 400 and sum(out[i]["lang_pred"] == max(alphabets, key=lambda k: sum(t.count(x) for x in alphabets[k])) for i, t, _, _ in rows) >= 390
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    rest = {r["doc_id"]: r for r in langid.predicted(odd, ["doc_id"]).collect()}
+    assert [rest[i]["lang_pred"] for i in (1, 2, 3, 8)] == ["und"] * 4 and rest[4]["lang_pred"] != "und" and rest[None]["lang_pred"] != "und"
+    assert langid.predicted(empty, ["doc_id"]).count() == 0
+    none = make(spark, [(1, "some text", None, "s")])
+    assert langid.predicted(none, ["doc_id"]).first()["lang_pred"] == "und"
+
+
+def test_phrases_are_longest_matches():
+    rng = random.Random(8)
+    train = "".join(rng.choice("abc ") for _ in range(300))
+    m = langid.Model({"x": [train]})
+    sample = "".join(map(lambda c: chr(c) if c else " ", langid.folded(train).tolist())) + " "
+    for _ in range(50):
+        t = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 80)))
+        at = n = 0
+        while at < len(t):
+            k = 1
+            while at + k < len(t) and t[at : at + k + 1] in sample:
+                k += 1
+            at, n = at + k, n + 1
+        assert m.phrases([m.encode(langid.folded(t))])[0, 0] == n
+
+
+# licences
+
+
+def test_license_scan(spark, odd, empty):
+    out = {r["doc_id"]: r for r in lic.scanned(odd).collect()}
+    assert (out[7]["n_words"], out[7]["n_base"], out[7]["first_word"], out[7]["base_labels"], out[7]["score"]) == (7, 1, 2, "mit", 1.0)
+    assert (out[1]["n_words"], out[1]["labels"], out[1]["first_word"], out[1]["score"]) == (0, "", None, 0.0)
+    assert lic.scanned(empty).count() == 0
+    filler = " ".join(WORDS * 3)
+    rows = [(i, f"{filler}\n{t}\n{filler}", "en", "s") for i, (_, t, _) in enumerate(lic.TEMPLATES)]
+    rows.append((99, "the software is provided and mit licensed not license mit; any person in the world may copy", "en", "s"))
+    rows.append((100, "mit license mit license apache license", "en", "s"))
+    got = {r["doc_id"]: r for r in lic.scanned(make(spark, rows)).collect()}
+    for i, (label, _, _) in enumerate(lic.TEMPLATES):
+        assert label in got[i]["labels"].split(",")
+    assert got[99]["labels"] == "" and (got[100]["n_base"], got[100]["first_word"], got[100]["last_word"], got[100]["base_labels"]) == (3, 0, 4, "apache,mit")
+
+
+# language model
+
+
+def test_windows_score_each_token_once():
+    v = Vocabulary({i: 100 - i for i in range(50)}, 60, 10, keep=40)
+    m = Model(v)
+    rng = np.random.default_rng(1)
+    docs = [v.of[rng.integers(0, 60, n)] for n in (0, 1, 5, 31, 32, 33, 55, 56, 57, 200)]
+    got = m.score(docs)
+    from ragframe.llm.attention import STRIDE, WINDOW
+
+    for d, g in zip(docs, got):
+        x, y = np.concatenate(([0], d)), np.concatenate((d, [1]))
+        total = 0.0
+        for t in range(len(y)):
+            first = 0 if t < WINDOW else -(-(t + 1 - WINDOW) // STRIDE) * STRIDE
+            part = x[first : t + 1]
+            w = np.zeros((1, WINDOW), np.int32)
+            w[0, : len(part)] = part
+            total += m.log_probs(m.hidden(w)[len(part) - 1 : len(part)], y[t : t + 1])[0]
+        assert g == pytest.approx(total, rel=1e-4)
+
+
+def test_probabilities_sum_to_one_and_training_helps():
+    v = Vocabulary({i: 100 - i for i in range(50)}, 60, 10, keep=40)
+    m = Model(v)
+    x = np.zeros((1, 32), np.int32)
+    x[0, :3] = (0, 5, 9)
+    h = m.hidden(x)[2:3]
+    p = np.exp(m.log_probs(np.repeat(h, v.size - 1, 0), np.arange(1, v.size)))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    assert np.exp(v.other[np.flatnonzero(v.of == 2)]).sum() == pytest.approx(1)
+    docs = [v.of[np.tile([3, 7, 11], 20)] for _ in range(20)]
+    losses = m.train(docs, steps=60)
+    assert losses[-1] < 0.5 * losses[0]
+
+
+def test_lm_base(spark, odd, empty):
+    rng = random.Random(2)
+    rows = [(i, text(rng, rng.randint(0, 50)).upper(), "en", "s") for i in range(60)]
+    docs = make(spark, rows).unionByName(odd)
+    src = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = lm.scored(docs).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    count, n_docs = Counter(), 0
+    split = lambda t: (t or "").encode().lower().split()
+    for i, t in src:
+        if not held(i):
+            count.update(split(t))
+            n_docs += 1
+    n, v = sum(count.values()) + n_docs, len(count) + 1
+    want = Counter()
+    for i, t in src:
+        c = [count[w] for w in split(t)] + [n_docs]
+        want[i, held(i), len(c), sum(x > 0 for x in c), n, round(float(sum(np.log10((x + 1) / (n + v + 1)) for x in c)), 6)] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in out)
+    assert lm.scored(empty).count() == 0
+
+
+# packing
+
+
+def test_packing(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(pack.vocabulary_path())
+    rng = random.Random(7)
+    docs = make(spark, [(i, text(rng, int(rng.paretovariate(0.7) * 40) % 3000), "en", "s") for i in range(200)]).unionByName(odd)
+    src = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = Counter()
+    for i, t in src:
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            want[i, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())] += 1
+    out = pack.packed_documents(docs).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    at = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 2048 and len(at) <= 1.02 * -(-sum(at.values()) // 2048) + 1
+    assert pack.packed_documents(empty).count() == 0
+
+
+def test_crossover_keeps_every_piece_once():
+    rng = random.Random(1)
+    size = [rng.randint(1, 1500) for _ in range(300)]
+    bins = pack.evolve(size, 3, [])
+    assert sorted(p for b in bins for p in b) == list(range(300)) and max(sum(size[p] for p in b) for b in bins) <= 2048
+    other = pack.evolve(size, 4, [bins])
+    fill = lambda x: (x, [sum(size[p] for p in b) for b in x])
+    child, filled = pack._crossover(fill(bins), fill(other), size, rng, 2048)
+    assert sorted(p for b in child for p in b) == list(range(300)) and filled == fill(child)[1] and max(filled) <= 2048
+    assert len(other) <= len(bins)
+
+
+# vectors
+
+
+def make_vectors(spark, rows):
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    return spark.createDataFrame([(i, v, 1, 0.5, 2) for i, v in rows], schema)
+
+
+def brute_top(rows, measure, top=5):
+    out = []
+    for i, a in rows:
+        if i % 50 == 0:
+            scores = sorted(((-measure(a, b), j) for j, b in rows if j != i))[:top]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [3, 400, 3000])
+def test_vector_searches(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[n // 2] = x[0]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(100_000, None), (100_050, [float("nan")] * 16), (100_100, [None] + [0.1] * 15), (100_150, [float("inf")] + [0.1] * 15), (100_200, []), (100_250, [0.5] * 3), (None, [0.1] * 16)]
+    df = make_vectors(spark, rows + bad + rows[:2])
+    clean, d, count = vectors.cleaned(df)
+    assert (d, count) == (16, n)
+    cosine = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    exact = brute_top([(i, np.array(v)) for i, v in rows], cosine)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in permutation.nearest(clean, count).collect())
+    assert len(got) == len(exact)
+    assert len({(q, v) for q, _, v, _ in got} & {(q, v) for q, _, v, _ in exact}) >= 0.95 * len(exact)
+    whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    clean, _, count = vectors.cleaned(df, zero=True)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in impact.top_scores(clean, count).collect())
+    assert got == brute_top(whole, lambda a, b: int(a @ b))
+
+
+def test_vector_searches_of_nothing(spark):
+    df = make_vectors(spark, [(1, None), (50, [0.0, 0.0])])
+    clean, _, n = vectors.cleaned(df)
+    assert n == 0 and permutation.nearest(clean, n).count() == 0
+    clean, _, n = vectors.cleaned(make_vectors(spark, []), zero=True)
+    assert n == 0 and impact.top_scores(clean, n).count() == 0
+
+
+def test_impact_bounds_prove():
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.standard_normal((2000, 32)) / 6).astype(np.int64)
+    index = impact.ImpactIndex(x)
+    for q in x[:40]:
+        some = index.members(q, np.zeros(0, np.int64))
+        assert len(some) < 2000 and np.sort(x[some] @ q)[-5:].tolist() == np.sort(x @ q)[-5:].tolist()
