@@ -1,11 +1,17 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL (DuckDB)."""
 
 from __future__ import annotations
 
+from . import ingest_queries, state_queries, text_queries
+
+
+def _all() -> dict:
+    return {**ingest_queries.QUERIES, **text_queries.QUERIES, **state_queries.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
