@@ -42,7 +42,7 @@ def described(spark: SparkSession, tools: dict[str, Callable[..., str]]) -> Data
     return spark.createDataFrame(rows, "ord int, name string, description string, args map<string,string>")
 
 
-def render_tool(ord_: Column, name: Column, description: Column, args: Column) -> Column:
+def tool_text(ord_: Column, name: Column, description: Column, args: Column) -> Column:
     """`## n. name`, the description without parameters, then a line for each input."""
     lines = F.transform(F.array_sort(F.map_entries(args)), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"], F.lit("\n")))
     inputs = F.when(F.size(args) > 0, F.concat(F.lit(" Inputs:\n"), F.array_join(lines, ""))).otherwise("")

@@ -65,8 +65,8 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
         many, blocks = chunks.count(), max(1, -(-questions.count() // QUESTION_BLOCK))
         parts = max(1, -(-many // CHUNK_BLOCK))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = questions.select("*", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("qb"), each(parts).alias("cb"))
-        right = chunks.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("cb"), each(blocks).cast("long").alias("qb"))
+        left = questions.select("*", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("qb"), each(parts).alias("cb"))
+        right = chunks.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("cb"), each(blocks).alias("qb"))
 
         def meet(a, b):
             return _best(a["qid"].to_numpy(), unit(_matrix(a["embedding"])), b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)

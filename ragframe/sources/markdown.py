@@ -8,7 +8,7 @@ from ..operators.ingest import file_status
 
 
 def scan_stores(spark: SparkSession, root: str) -> DataFrame:
-    """store, file_name, file_path, text of the files in <root>/<store>/; deeper folders are not read."""
+    """store, file_name, file_path, text of the files in <root>/<store>/; deeper folders are not read, empty files have no row."""
     files = spark.read.text(f"{root.rstrip('/')}/*/*", wholetext=True, recursiveFileLookup=False)
     path = F.col("_metadata.file_path")
     parts = F.split(path, "/")
