@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from test_operators import brute_components, brute_fingerprint, brute_lines, make, near_copies, text
+from test_llm_operators import brute_components, brute_fingerprint, brute_lines, make, near_copies, text
 
 
 def test_stages(spark, tmp_path):
