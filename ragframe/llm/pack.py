@@ -14,8 +14,11 @@ packed each; an empty table gives no rows; other columns are neither read nor re
 
 from __future__ import annotations
 
+import os
 import random
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -28,8 +31,10 @@ LENGTH, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 4, 4, 11
 #: Sequences filled less than this are packed once more, together with those of other cells.
 WELL_FILLED = 0.97
-#: Distinct words whose ids a worker remembers.
-CACHE = 400_000
+#: Distinct words whose ids a worker remembers, and texts that it encodes together.
+CACHE, TEXTS = 600_000, 500
+
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,33 +46,42 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Texts to ids as little-endian bytes, word by word.
 
-    The tokenizer collapses white space and splits at it first, so a text's ids are those of its words in order;
-    distinct words are encoded once and remembered.
+    The tokenizer lower-cases, collapses white space and splits at it first, so a text's ids are those of its
+    lower-cased words in order; distinct words are encoded once and remembered. A final full stop or comma after
+    letters is a pre-token of its own, so such a word's ids are its letters' and the mark's.
     """
 
-    #: White space for Python's split but not for the tokenizer.
-    _ODD = frozenset("\x1c\x1d\x1e\x1f")
+    #: White space for Python's split but not for the tokenizer, and the capital whose lower case depends on its neighbours.
+    _ODD = frozenset("\x1c\x1d\x1e\x1f\u03a3")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        split = {w: (w[:-1], w[-1]) for w in words if w[-1] in ".," and w[:-1].isalpha()}
+        new = list({x for w in words for x in split.get(w, (w,)) if x not in known})
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            known[w] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
+        for w, parts in split.items():
+            known[w] = known[parts[0]] + known[parts[1]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. A few thousand texts at a time: their unknown words are encoded together."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        texts = [t or "" for t in texts]
+        odd = [not self._ODD.isdisjoint(t) for t in texts]
+        split = [[] if o else t.lower().split() for t, o in zip(texts, odd)]
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return list(map(known.__getitem__, words))
+        self.learn(set().union(*split).difference(known))
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(known.__getitem__, ws)) for t, o, ws in zip(texts, odd, split)]
 
     def ids(self, text: str) -> bytes:
-        if not self._ODD.isdisjoint(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.words(text.split()))
+        return self.encode([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -87,15 +101,17 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, length: int = LENGTH) -> Dat
         enc, end = encoder(vocabulary_path(name)), np.array([END], "<u4").tobytes()
         for b in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = enc.ids(text or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    size.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            texts = b.column(1).to_pylist()
+            for first in range(0, len(texts), TEXTS):
+                for i, ids in enumerate(enc.encode(texts[first : first + TEXTS]), first):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[at : at + 4 * length]
+                        row.append(i)
+                        piece.append(k)
+                        start.append(at // 4)
+                        size.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, size, crc)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     src = in_parts(docs.select("doc_id", "text"))
