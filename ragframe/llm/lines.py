@@ -30,8 +30,6 @@ from .common import n_words, saved, table
 MIN_WORDS = 50
 #: Groups for two-level running sums.
 BUCKETS = 4096
-#: Tables of up to so many documents with removed lines are broadcast; larger ones join by a shuffle.
-BROADCAST_ROWS = 20_000
 
 DOC = ("id", "th")
 
@@ -118,11 +116,9 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """docs with `__gaps` (null where nothing goes)."""
+    """docs with `__gaps` (null where nothing goes). Texts are shuffled once, at every size: how many documents lose lines has no bound."""
     gaps = saved(removed(docs), "line-gaps")
-    gaps = gaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gaps").alias("__gaps"))
-    if gaps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gaps = F.broadcast(gaps)
+    gaps = gaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gaps").alias("__gaps")).hint("merge")
     return docs.join(gaps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.col("text").cast("binary")) == F.col("__th")), "left").drop("__id", "__th")
 
 
