@@ -45,8 +45,9 @@ def replies(states: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Derived analytics, on batches and streams: sessions of a user's events, closed after a gap; later rows than the watermark are dropped."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time with zone
+        .withWatermark("ts", late)
         .groupBy("user_id", F.session_window("ts", gap).alias("s"))
         .agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
-        .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events", "total")
+        .select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events", "total")
     )
