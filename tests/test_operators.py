@@ -95,10 +95,9 @@ def test_boundary_chunks():
 
 def test_router_truth_table(spark):
     vals, names = (0.0, 0.29, 0.3, 0.49, 0.5, 1.0), ("coverage", "confidence", "relevance", "groundedness", "coherence", "conciseness")
-    axis = spark.createDataFrame([(v,) for v in vals], "v double")
-    grid = spark.createDataFrame([(s, k) for s in X.NEXT_STEPS for k in (5, 10)], "next_step string, k int")
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, X.NEXT_STEPS))).alias("next_step")).withColumn("k", F.explode(F.array(F.lit(5), F.lit(10))))
     for n in names:
-        grid = grid.crossJoin(axis.withColumnRenamed("v", n))
+        grid = grid.withColumn(n, F.explode(F.array(*map(F.lit, vals))))
     r = grid.select(route.route_grades(F.struct("next_step", *names), F.col("k")).alias("r"))
     counts = {x["action"]: x["count"] for x in r.groupBy("r.action").count().collect()}
     assert counts == {"modify_query": 279936, "undefined": 78720, "retrieve_more_info": 62208, "rewrite_answer": 45568, "continue": 128}
