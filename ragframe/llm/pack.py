@@ -31,8 +31,8 @@ LENGTH, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 4, 4, 11
 #: Sequences filled less than this are packed once more, together with those of other cells.
 WELL_FILLED = 0.97
-#: Distinct words whose ids a worker remembers, and texts that it encodes together.
-CACHE, TEXTS = 600_000, 500
+#: Distinct words whose ids a worker remembers in each of two halves, and texts that it encodes together.
+CACHE, TEXTS = 400_000, 500
 
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -58,12 +58,17 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def learn(self, words: set[str]) -> None:
-        known = self.known
+        known, older = self.known, self.older
+        back = older.keys() & words if older else set()
+        words = words.difference(back)
         split = {w: (w[:-1], w[-1]) for w in words if w[-1] in ".," and w[:-1].isalpha()}
-        new = list({x for w in words for x in split.get(w, (w,)) if x not in known})
+        wanted = words.difference(split).union(*split.values())
+        for w in back.union(older.keys() & wanted):
+            known[w] = older[w]
+        new = list(wanted.difference(known))
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
             known[w] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
         for w, parts in split.items():
@@ -71,8 +76,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text. A few thousand texts at a time: their unknown words are encoded together."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # what is still in use comes back from the older half
+            self.known, self.older = {}, self.known
         texts = [t or "" for t in texts]
         odd = [not self._ODD.isdisjoint(t) for t in texts]
         split = [[] if o else t.lower().split() for t, o in zip(texts, odd)]
