@@ -2,9 +2,9 @@
 
 Words: A-Z lower-cased, runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, over whole texts. Document frequencies of the
 template words are counted over all documents (a bounded vocabulary); each template posts the places of its RARE words
-of highest IDF. A file looks up those of its words that are posted, RARE of highest IDF, intersects the postings by
-relative position (place in the file less place in the template), aligns the template at each offset with enough
-votes, and takes its label if a mandatory key phrase stands at its place and MATCH of the template's words agree.
+of highest IDF. A file looks up all of its words that are posted, intersects the postings by relative position (place
+in the file less place in the template), aligns the template at each offset with enough votes, and takes its label if a
+mandatory key phrase stands at its place and MATCH of the template's words agree.
 Short fixed phrases (BASE) are found wherever their words stand consecutively; their labels are kept.
 
 Score: the largest agreement of a labelled alignment; 1 if a base phrase stands; 0 without a label.
@@ -100,10 +100,9 @@ class Index:
 
     def scan(self, found: list[bytes]) -> dict[str, float]:
         """Labels with their largest agreement."""
-        own = self.rare.intersection(found)
-        if not own:
+        look = self.rare.intersection(found)
+        if not look:
             return {}
-        look = set(sorted(own, key=lambda w: (-self.idf[w], w))[: RARE * 2])
         votes: dict[tuple[int, int], int] = defaultdict(int)
         for i, w in enumerate(found):
             if w in look:

@@ -274,6 +274,15 @@ def test_license_scan(spark, odd, empty):
     assert got[99]["labels"] == "" and (got[100]["n_base"], got[100]["first_word"], got[100]["last_word"], got[100]["base_labels"]) == (3, 0, 4, "apache,mit")
 
 
+def test_license_scan_of_many_notices_in_one_file(spark):
+    notices = [t for _, t, _ in lic.TEMPLATES]
+    by_chance = " ".join(w for t in notices for w in sorted(set(t.split()), reverse=True))
+    rows = [(1, "\n\n".join(notices), "en", "s"), (2, f"{by_chance}\n{notices[11]}\n{by_chance}", "en", "s")]
+    got = {r["doc_id"]: r["labels"].split(",") for r in lic.scanned(make(spark, rows)).collect()}
+    assert set(got[1]) == {label for label, _, _ in lic.TEMPLATES}
+    assert "unlicense" in got[2]
+
+
 # language model
 
 
