@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import in_parts, table
 
 TRAIN_CHARS, TOTAL_CHARS, BUCKETS, SEGMENT = 48_000, 480_000, 256, 512
-#: Characters of a document that go into its language's sample, and letters that an automaton knows.
+#: Characters of a document that go into its language's sample, and letters of a language whose transitions stand in a
+#: table; those of its other letters stand in a sorted list.
 SLICE, LETTERS = 1024, 60
 #: Symbols parsed at once.
 BATCH = 1 << 21
@@ -45,8 +46,8 @@ def folded(text: str | None) -> np.ndarray:
     return x[(1 if len(x) and x[0] == 0 else 0) : (-1 if len(x) > 1 and x[-1] == 0 else None)] if x.any() else np.zeros(0, np.uint32)
 
 
-def automaton(symbols: list[int], letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton, states x letters; state 1 is the start, 0 means none and leads nowhere."""
+def automaton(symbols: list[int]) -> list[dict[int, int] | None]:
+    """Transitions of the suffix automaton by state; state 1 is the start, 0 has none."""
     nexts, link, length = [None, {}], [0, 0], [0, 0]
     last = 1
     for c in symbols:
@@ -74,26 +75,57 @@ def automaton(symbols: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    out = np.zeros((len(nexts), letters), np.int32)
-    for s, to in enumerate(nexts):
-        if to:
-            out[s, list(to.keys())] = list(to.values())
-    return out
+    return nexts
+
+
+class Automaton:
+    """The suffix automaton of a sample. Symbol 0 is the space, 1 stands for letters that no sample has.
+
+    The transitions of the space and of the LETTERS commonest letters are a table of states x columns; all others, at
+    most three a symbol of the sample, are keys state * symbols + symbol in order, so that any alphabet stays small.
+    """
+
+    def __init__(self, sample: np.ndarray, symbols: int):
+        nexts, self.symbols = automaton(sample.tolist()), symbols
+        counts = np.bincount(sample, minlength=symbols)
+        own = sorted((c for c in np.flatnonzero(counts).tolist() if c > 1), key=lambda c: (-int(counts[c]), c))
+        self.column = np.ones(symbols, np.int32)  # column 1 has no transition
+        self.column[0] = 0
+        self.column[own[:LETTERS]] = np.arange(2, 2 + len(own[:LETTERS]))
+        self.columns = 2 + len(own[:LETTERS])
+        self.rare = np.zeros(symbols, bool)
+        self.rare[own[LETTERS:]] = True
+        self.first = np.zeros(symbols, np.int32)  # from the start
+        self.first[list(nexts[1])] = list(nexts[1].values())
+        self.table = np.zeros((len(nexts), self.columns), np.int32)
+        more = []
+        column, rare = self.column.tolist(), self.rare.tolist()
+        for s, to in enumerate(nexts):
+            for c, t in (to or {}).items():
+                if rare[c]:
+                    more.append((s * symbols + c, t))
+                else:
+                    self.table[s, column[c]] = t
+        more.sort()
+        self.keys, self.to = np.array([k for k, _ in more], np.int64), np.array([t for _, t in more], np.int32)
+
+    def listed(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where rare symbols lead."""
+        key = state.astype(np.int64) * self.symbols + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0)
 
 
 class Model:
-    """Automata by language, over one common alphabet. Symbol 0 is the space, 1 stands for unknown letters."""
+    """Automata by language, over one common alphabet of all letters of all samples."""
 
     def __init__(self, samples: dict[str, list[str]]):
         texts = {k: np.concatenate([np.append(folded(t), np.uint32(0)) for t in v]) for k, v in sorted(samples.items()) if v}
         texts = {k: v for k, v in texts.items() if v.any()}
         self.langs = sorted(texts)
-        seen, counts = np.unique(np.concatenate(list(texts.values())), return_counts=True) if texts else (np.zeros(0, np.uint32), np.zeros(0))
-        keep = sorted(sorted(seen[seen > 0].tolist(), key=lambda c: (-int(counts[np.searchsorted(seen, c)]), c))[:LETTERS])
-        self.letters, self.symbols = np.array(keep, np.uint32), len(keep) + 2
-        self.tables = [automaton(self.encode(texts[k]).tolist(), self.symbols) for k in self.langs]
-        for t in self.tables:
-            t[:, 1] = 0  # an unknown letter never continues a phrase
+        seen = np.unique(np.concatenate(list(texts.values()))) if texts else np.zeros(0, np.uint32)
+        self.letters = seen[seen > 0].astype(np.uint32)
+        self.automata = [Automaton(self.encode(texts[k]), len(self.letters) + 2) for k in self.langs]
         self.bits = np.log2([max(2, len(texts[k])) for k in self.langs])
 
     def encode(self, points: np.ndarray) -> np.ndarray:
@@ -120,16 +152,19 @@ class Model:
         order = np.argsort(-size, kind="stable")
         owner, start, size = owner[order], start[order], size[order]
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))  # lanes that are longer than t
-        for k, table_ in enumerate(self.tables):
-            steps, first = table_.ravel(), table_[1]
+        for k, a in enumerate(self.automata):
+            steps, column, wide = a.table.ravel(), a.column, np.int32(a.columns)
+            rare = a.rare if len(a.keys) and a.rare[flat].any() else None
             state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)  # from state 0 nothing leads on
             for t in range(int(size[0])):
                 n = int(active[t])
                 c = flat[start[:n] + t]
-                to = steps[state[:n] * np.int32(self.symbols) + c]
+                to = steps[state[:n] * wide + column[c]]
+                if rare is not None and len(some := np.flatnonzero(rare[c])):
+                    to[some] = a.listed(state[some], c[some])
                 miss = to == 0
                 count[:n] += miss
-                state[:n] = np.where(miss, first[c], to)
+                state[:n] = np.where(miss, a.first[c], to)
             np.add.at(out[:, k], owner, count)
         return out
 

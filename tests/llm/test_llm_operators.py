@@ -256,6 +256,30 @@ def test_phrases_are_longest_matches():
         assert m.phrases([m.encode(langid.folded(t))])[0, 0] == n
 
 
+def test_languages_of_many_letters():
+    rng = random.Random(10)
+    letters = {"ar": range(0x627, 0x64B), "el": range(0x3B1, 0x3CA), "ka": range(0x10D0, 0x10F1), "ru": range(0x430, 0x450), "xa": range(0x4E00, 0x5600), "xb": range(0x5600, 0x5E00), "zz": range(0x61, 0x7B)}
+    words_of = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(2, 5))) for _ in range(300)] for k, v in letters.items()}
+    make_text = lambda k, n: " ".join(rng.choice(words_of[k]) for _ in range(n))
+    samples = {k: make_text(k, 1500 if k == "zz" else 600) for k in letters}
+    m = langid.Model({k: [t] for k, t in samples.items()})
+    texts = [(k, make_text(k, 20)) for k in letters for _ in range(10)] + [("zz", "")]
+    texts += [("", "".join(rng.choice([samples[k][i : i + 9] for k in letters for i in (50, 500)]) for _ in range(8))) for _ in range(20)]
+    got = m.predict([t for _, t in texts])[0]
+    assert all(g == k for (k, t), g in zip(texts, got) if k and t)
+    counts = m.phrases([m.encode(langid.folded(t)) for _, t in texts])
+    for (_, t), row in zip(texts, counts):  # the phrases are the longest matches, whatever the alphabet
+        plain = "".join(chr(c) if c else " " for c in langid.folded(t).tolist())
+        for lang, count in zip(m.langs, row.tolist()):
+            sample, at, n = "".join(chr(c) if c else " " for c in langid.folded(samples[lang]).tolist()) + " ", 0, 0
+            while at < len(plain):
+                k = 1
+                while at + k < len(plain) and plain[at : at + k + 1] in sample:
+                    k += 1
+                at, n = at + k, n + 1
+            assert count == n
+
+
 # licences
 
 
