@@ -4,7 +4,8 @@ PIVOTS pivots are drawn by hash from the vectors (a bounded sample). A vector is
 pivots in order, and posted with its rank in each one's inverted file. A query goes through the files of its own
 nearest pivots and accumulates, for the induced Spearman footrule with missing pivots at rank PREFIX, what each common
 pivot saves against that maximum: 2 * (PREFIX - max(rank, rank)). The SHARE of a block's vectors of least footrule
-distance, CANDIDATES at least, are compared exactly by cosine in double precision.
+distance, CANDIDATES at least, and all that are as near as the last of them, are compared exactly by cosine in double
+precision. Equal vectors count as one, in the pivots and in a block's index; their smallest ids are all reported.
 
 All rows are indexed; the index is dealt in blocks by row (each with its inverted files), so that memory is bounded
 and candidates grow with the rows.
@@ -19,14 +20,16 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import table
-from .vectors import best, cleaned, searched
+from .vectors import TOP, best, cleaned, searched
 
 PIVOTS, PREFIX, SHARE, CANDIDATES = 256, 64, 0.08, 256
 
 
 def pivots(clean: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """The vectors of least hash, as unit vectors; at most n."""
-    rows = clean.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(n).collect()
+    """The vectors of least hash, as unit vectors; at most n, all different."""
+    ones = clean.groupBy(F.xxhash64("v").alias("h")).agg(F.min("vec_id").alias("vec_id"))
+    some = ones.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(n).select("vec_id")
+    rows = clean.join(F.broadcast(some), "vec_id").orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").collect()  # n at most
     p = np.array([r["v"] for r in rows])
     return p / np.linalg.norm(p, axis=1, keepdims=True) if len(p) else p
 
@@ -58,6 +61,16 @@ class InvertedFiles:
         return out
 
 
+def distinct(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows; and of each the TOP + 1 smallest ids (one may be the query's) with the number of their row. ids ascend."""
+    rows = np.ascontiguousarray(rows + 0.0)  # -0.0 equals 0.0
+    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(len(first)))
+    kept = np.sort(order[np.arange(len(ids)) - starts[group[order]] <= TOP])
+    return rows[first], ids[kept], group[kept]
+
+
 def nearest(clean: DataFrame, n: int, share: float = SHARE, candidates: int = CANDIDATES) -> DataFrame:
     p = pivots(clean)
     length = min(PREFIX, len(p))
@@ -65,15 +78,20 @@ def nearest(clean: DataFrame, n: int, share: float = SHARE, candidates: int = CA
 
     def block(ids, rows, qids, queries):
         p = shared.value
+        take = max(candidates, int(np.ceil(share * len(ids))))
+        rows, ids, group = distinct(ids, rows)
         norm, qnorm = np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1)
         files = InvertedFiles(prefixes(rows / norm[:, None], p, length), len(p))
-        take = max(candidates, int(np.ceil(share * len(ids))))
+        alone = np.bincount(group) == 1
         for q, v, size, prefix in zip(qids, queries, qnorm, prefixes(queries / qnorm[:, None], p, length)):
             near = files.nearness(prefix)
-            near[ids == q] = -1
-            some = np.argpartition(-near, take)[:take] if take < len(ids) else np.arange(len(ids))
-            some = some[ids[some] != q]
-            yield q, *best(ids[some], (rows[some] @ v) / (norm[some] * size))
+            own = group[ids == q]
+            near[own[alone[own]]] = -1
+            some = near >= (np.partition(near, len(near) - take)[len(near) - take] if take < len(near) else 0)
+            scores = np.full(len(rows), -np.inf)
+            scores[some] = np.einsum("ij,j->i", rows[some], v) / (norm[some] * size)  # row by row: equal rows score alike
+            which = some[group] & (ids != q)
+            yield q, *best(ids[which], scores[group[which]])
 
     return searched(clean, n, block, "double")
 

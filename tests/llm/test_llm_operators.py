@@ -443,6 +443,30 @@ def test_vector_searches(spark, n):
     assert got == brute_top(whole, lambda a, b: int(a @ b))
 
 
+def test_permutation_index_of_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((9000, 16)).astype(np.float32)
+    equal = np.sort(rng.choice(9000, 3000, replace=False))
+    x[equal] = x[equal[0]]
+    x[0] = x[equal[0]] + 0.05 * x[0]  # its best are the smallest ids of the group
+    x[50] = x[equal[0]]
+    x[100] = 2 * x[equal[0]]
+    clean, _, count = vectors.cleaned(make_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+    got = {}
+    for r in permutation.nearest(clean, count).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    group = [i for i in range(9000) if np.array_equal(x[i], x[50])]
+    assert [i for i, _ in got[0]] == [i for i in group if i != 0][:5] and len({s for _, s in got[0]}) == 1
+    hits = total = 0
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for q, found in got.items():
+        scores = np.round(u @ u[q], 12)
+        scores[q] = -2
+        right = np.lexsort((np.arange(9000), -scores))[:5].tolist()
+        hits, total = hits + len({i for i, _ in found} & set(right)), total + 5
+    assert total == 900 and hits >= 0.95 * total
+
+
 def test_vector_searches_of_nothing(spark):
     df = make_vectors(spark, [(1, None), (50, [0.0, 0.0])])
     clean, _, n = vectors.cleaned(df)
