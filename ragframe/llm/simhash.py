@@ -56,16 +56,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) of every row; and th, the text's hash, if asked for."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    src = in_parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, fp long")
+    more = ["th"] if text_hash else []
+    src = in_parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.xxhash64(text_col).alias(c) for c in more]))
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, fp long" + "".join(f", {c} long" for c in more))
 
 
 def partition_bits(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -214,12 +215,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_verify, "a long, b long")
 
 
-def clustered(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp), saved -> doc_id, fp, component_id."""
-    firsts = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+def _rooted(firsts: DataFrame) -> DataFrame:
+    """firsts (distinct fp, first), saved -> fp, first, root (one for each group), saved."""
     roots = components(links(firsts.select("fp")))
     in_group = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    in_group = saved(in_group, "simhash-groups")
+    return saved(in_group, "simhash-groups")
+
+
+def clustered(fps: DataFrame) -> DataFrame:
+    """(doc_id, fp), saved -> doc_id, fp, component_id."""
+    in_group = _rooted(saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct"))
     ids = in_group.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(in_group.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -230,19 +235,27 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: the one of the smallest id (of repeats of that id, one of least text hash)."""
-    th = F.xxhash64("text")
-    rows = saved(clustered(saved(fingerprints(docs), "simhash-fp")).where("doc_id <=> component_id").select("doc_id").distinct(), "simhash-kept")
-    ids = docs.select("doc_id", th.alias("th"))
-    stay = ids.join(rows, ids["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi").groupBy("doc_id").agg(F.min("th").alias("th"), F.count("*").alias("n"))
-    stay = saved(stay, "simhash-stay")
-    go = saved(_without(ids, stay).distinct().select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "simhash-go")
+    """docs without all but one row of each near-duplicate group: the one of the smallest id (null last), then of least text hash.
+
+    Rows are told apart by id and text hash, so that texts under one id, or under none, that lie in different groups all
+    keep their own row.
+    """
+    fps = saved(fingerprints(docs, text_hash=True), "simhash-fp")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    firsts = saved(fps.groupBy("fp").agg(F.min(row).alias("first")), "simhash-distinct")
+    rows = _rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
+    rows = saved(rows, "simhash-kept")
+    stay = _same(fps, rows, "left_semi").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    again = not stay.where("n > 1").isEmpty()  # the same id and text more than once
+    go = saved(_same(fps, rows, "left_anti").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "simhash-go")
     few = go.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    th = F.xxhash64("text")
     out = docs.join(F.broadcast(go) if few else go, F.col("doc_id").eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_anti")
-    if not stay.where("n > 1").isEmpty():  # the same id and text more than once
-        out = out.dropDuplicates(["doc_id"])
+    if again:
+        out = out.withColumn("__th", th).dropDuplicates(["doc_id", "__th"])
     return out.select(*docs.columns)
 
 
-def _without(ids: DataFrame, stay: DataFrame) -> DataFrame:
-    return ids.join(stay, ids["doc_id"].eqNullSafe(stay["doc_id"]) & (ids["th"] == stay["th"]), "left_anti")
+def _same(fps: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """fps that are among rows, or not, by id and text hash."""
+    return fps.join(rows, fps["doc_id"].eqNullSafe(rows["doc_id"]) & (fps["th"] == rows["th"]), how)

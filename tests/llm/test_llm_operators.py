@@ -161,6 +161,17 @@ def test_simhash(spark, odd, empty):
     assert simhash.clustered(common.saved(simhash.fingerprints(empty), "t")).count() == 0 == simhash.one_of_each(empty).count()
 
 
+def test_one_of_each_of_texts_under_one_id_or_none(spark):
+    rng = random.Random(21)
+    texts = [text(rng, 60) for _ in range(12)]
+    rows = [(None, t, "en", "s") for t in texts[:5]] + [(None, texts[0], "en", "s"), (7, texts[5], "en", "s"), (7, texts[6], "en", "s"), (7, texts[6], "en", "s")]
+    rows += [(3, t, "en", "s") for t in texts[7:10]] + [(9, texts[7], "en", "s"), (9, texts[10], "en", "s"), (None, texts[10], "en", "s"), (2, texts[9], "en", "s"), (4, texts[11], "en", "s")]
+    fps = [brute_fingerprint(t) for t in texts]
+    assert len(set(brute_components(list(range(12)), fps))) == 12
+    want = [(None, t) for t in texts[:5]] + [(7, texts[5]), (7, texts[6]), (3, texts[7]), (3, texts[8]), (2, texts[9]), (9, texts[10]), (4, texts[11])]
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(make(spark, rows)).collect()) == Counter(want)
+
+
 def test_simhash_hot_signatures_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = random.Random(9)
