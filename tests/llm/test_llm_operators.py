@@ -341,6 +341,19 @@ def test_windows_score_each_token_once():
         assert g == pytest.approx(total, rel=1e-4)
 
 
+def test_predicted_ids_have_context_and_model_its_width():
+    from ragframe.llm.attention import WINDOW, _windows
+
+    lengths = np.array([1, 31, 32, 33, 57, 200])
+    seen = [set() for _ in lengths]
+    for s, first, fresh in zip(*_windows(lengths)):
+        for t in range(first + fresh, min(first + WINDOW, lengths[s])):
+            assert t not in seen[s] and t - first >= min(t, 8)  # eight earlier ids, if there are so many
+            seen[s].add(t)
+    assert [len(x) for x in seen] == lengths.tolist()
+    assert Model(Vocabulary({i: 9 for i in range(50)}, 60, 10)).p["b"].shape == (48,)
+
+
 def test_probabilities_sum_to_one_and_training_helps():
     v = Vocabulary({i: 100 - i for i in range(50)}, 60, 10, keep=40)
     m = Model(v)
