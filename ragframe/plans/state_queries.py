@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Config
+from ..config import DEFAULT
 from ..functions import tools as T
 from ..operators import agent, ingest, memory, route
 from ..streaming import state as stream
@@ -247,15 +247,15 @@ def _chunks(spark, d):
 
 
 def agent_loop(spark, d):
-    return agent.agent_loop(I.questions(spark, d), _chunks(spark, d), Config(max_rounds=3))[0]
+    return agent.agent_loop(I.questions(spark, d), _chunks(spark, d))[0]
 
 
 def agent_trace(spark, d):
-    return agent.agent_loop(I.questions(spark, d), _chunks(spark, d), Config(max_rounds=3))[1]
+    return agent.agent_loop(I.questions(spark, d), _chunks(spark, d))[1]
 
 
 def ask(spark, d):
-    return agent.ask(I.questions(spark, d), _chunks(spark, d), Config(max_rounds=3))
+    return agent.ask(I.questions(spark, d), _chunks(spark, d))
 
 
 def sessions(spark, d):
