@@ -3,9 +3,10 @@
 A document's tokens are the ids of a public tokenizer and an end id. Documents longer than a sequence are cut into
 full sequences and a last piece; what is not a full sequence is packed. Pieces are dealt by number into cells of about
 CELL pieces; ISLANDS populations evolve each cell. A crossover injects the best filled sequences of one parent into a
-copy of the other, drops the sequences that hold the same pieces, and places the displaced pieces by best fit,
+copy of the other, drops the sequences that hold the same pieces, and places the displaced pieces: first by
+replacement, where a displaced piece takes the place of smaller ones if the sequence is then fuller, then by best fit,
 decreasing. Between epochs every island's elite moves to the next island of its cell (a ring). The best packing of a
-cell wins. Cells are bounded, so memory and work per task are, whatever the number of documents; sequences that the
+cell wins; one that reaches the lower bound (all tokens by sequence length) ends the search of its cell. Cells are bounded, so memory and work per task are, whatever the number of documents; sequences that the
 cells leave ill-filled are packed once more together.
 
 Defined cases: null text counts as empty (one token, the end id); a null id is returned as it is; repeated rows are
@@ -14,73 +15,134 @@ packed each; an empty table gives no rows; other columns are neither read nor re
 
 from __future__ import annotations
 
+import json
 import os
 import random
-import sys
+import unicodedata
 import zlib
-from array import array
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import in_parts, saved, table
 
 LENGTH, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
-CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 4, 4, 11
+CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 40, 4, 11
+#: Largest share of sequences that a crossover chooses from, and that a mutation dissolves.
+INJECTED, DISSOLVED = 0.5, 0.04
 #: Sequences filled less than this are packed once more, together with those of other cells.
 WELL_FILLED = 0.97
 #: Distinct words whose ids a worker remembers in each of two halves, and texts that it encodes together.
 CACHE, TEXTS = 400_000, 500
 
-_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-
-
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones stand for themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class Encoder:
     """Texts to ids as little-endian bytes, word by word.
 
-    The tokenizer lower-cases, collapses white space and splits at it first, so a text's ids are those of its
-    lower-cased words in order; distinct words are encoded once and remembered. A final full stop or comma after
-    letters is a pre-token of its own, so such a word's ids are its letters' and the mark's.
+    The tokenizer takes white space as a border and drops it, so a text's ids are those of its words in order; distinct
+    words are encoded once and remembered. Words of known letters are cut by the vocabulary's own pattern and merged all
+    together by its own ranks; the merge that marks a word's last byte comes before all others, which gives the
+    vocabulary's word-end symbols. Any other word (odd letters, special tokens, the mark's byte) goes to the tokenizer
+    itself.
     """
 
-    #: White space for Python's split but not for the tokenizer, and the capital whose lower case depends on its neighbours.
-    _ODD = frozenset("\x1c\x1d\x1e\x1f\u03a3")
+    #: White space for Python's split but not for the tokenizer: such texts go to the tokenizer whole.
+    _ODD = "\x1c\x1d\x1e\x1f"
+    _MARK, _GAP = "\x01", " "
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        model, (split, _) = rules["model"], rules["pre_tokenizer"]["pretokenizers"]
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        byte = {c: b for b, c in _byte_letters().items()}
+        end, mark = model["end_of_word_suffix"], self._MARK.encode()
+        ranks, ids = {}, []
+        merged = [*byte, *(c + end for c in byte), *("".join(m) for m in model["merges"])]
+        for t in merged:
+            ranks[bytes(byte[c] for c in t.removesuffix(end)) + (mark if t.endswith(end) else b"")] = len(ids)
+            ids.append(model["vocab"][t])
+        self.ids_of = np.array(ids, "<u4")
+        self.merges = tiktoken.Encoding("words", pat_str=f"[^{self._GAP}{self._MARK}]+{self._MARK}|{self._GAP}", mergeable_ranks=ranks, special_tokens={})
+        self.gap = ranks[self._GAP.encode()]
+        self.letters: dict[str, bool] = {c: c != self._MARK for c in map(chr, range(128))}
+
+    def _plain(self, c: str) -> bool:
+        """Whether this library's rules for a letter are the tokenizer's."""
+        cut = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s))
+        own = [len(self.pattern.findall(x + c)) for x in "a!"]
+        return (
+            c != "\u03a3"  # its lower case depends on its neighbours here, not there
+            and unicodedata.category(c) != "Cn"
+            and (unicodedata.category(c)[0] != "M" or "\u0300" <= c < "\u0370")  # how others combine depends on the Unicode version
+            and self.tokenizer.normalizer.normalize_str(c) == unicodedata.normalize("NFC", c).lower()
+            and own == [cut(x + c) for x in "a!"]
+            and c.isalpha() == (own[0] == 1)
+        )
+
+    def _odd(self, words: list[str]) -> list[str]:
+        """The words that the tokenizer itself must encode."""
+        found = set().union(*words)
+        for c in found.difference(self.letters):
+            self.letters[c] = self._plain(c)
+        odd = {c for c in found if not self.letters[c]}
+        if odd or {"<", "|"} <= found:  # special tokens begin with these two
+            return [w for w in words if "<|" in w or not odd.isdisjoint(w)]
+        return []
 
     def learn(self, words: set[str]) -> None:
         known, older = self.known, self.older
-        back = older.keys() & words if older else set()
-        words = words.difference(back)
-        split = {w: (w[:-1], w[-1]) for w in words if w[-1] in ".," and w[:-1].isalpha()}
-        wanted = words.difference(split).union(*split.values())
-        for w in back.union(older.keys() & wanted):
-            known[w] = older[w]
-        new = list(wanted.difference(known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            known[w] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
-        for w, parts in split.items():
-            known[w] = known[parts[0]] + known[parts[1]]
+        if older:
+            for w in older.keys() & words:
+                known[w] = older[w]
+        new = list(words.difference(known))
+        if odd := self._odd(new):
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+            new = [w for w in new if w not in known]
+        if not new:
+            return
+        mark, gap = self._MARK, self._GAP
+        low = unicodedata.normalize("NFC", gap.join(new)).lower().split(gap)
+        alone = [w.isalpha() for w in low]  # one letter run
+        whole = [w + mark for w, one in zip(low, alone) if one]
+        parts = [w for w, one in zip(low, alone) if not one]
+        new = [w for w, one in zip(new, alone) if one] + [w for w, one in zip(new, alone) if not one]
+        found = np.array(self.merges.encode_ordinary(gap.join(whole + ([self.pattern.sub(r"\g<0>" + mark, gap.join(parts))] if parts else []))), np.int64)
+        gaps = 4 * np.flatnonzero(found == self.gap)
+        ids = self.ids_of[found].tobytes()
+        for w, a, b in zip(new, [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(ids)]):
+            known[w] = ids[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. A few thousand texts at a time: their unknown words are encoded together."""
+        """Ids of each text. A few hundred texts at a time: their unknown words are encoded together."""
         if len(self.known) > CACHE:  # what is still in use comes back from the older half
             self.known, self.older = {}, self.known
         texts = [t or "" for t in texts]
-        odd = [not self._ODD.isdisjoint(t) for t in texts]
-        split = [[] if o else t.lower().split() for t, o in zip(texts, odd)]
+        odd = [any(c in t for c in self._ODD) for t in texts]
+        split = [[] if o else t.split() for t, o in zip(texts, odd)]
         known = self.known
         self.learn(set().union(*split).difference(known))
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(known.__getitem__, ws)) for t, o, ws in zip(texts, odd, split)]
@@ -151,7 +213,7 @@ def _fitness(fill: list[int], length: int) -> tuple[int, int]:
 def _crossover(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], size, rng: random.Random, length: int) -> tuple[Bins, list[int]]:
     """a with some of b's best filled sequences: a's sequences that hold the same pieces go, their other pieces are placed anew."""
     order = sorted(range(len(b[0])), key=lambda i: -b[1][i])
-    share = order[: max(1, int(len(order) * rng.uniform(0.1, 0.5)))]
+    share = order[: max(1, int(len(order) * rng.uniform(0.0, INJECTED)))]
     chosen = rng.sample(share, max(1, len(share) // 2))
     taken = {p for i in chosen for p in b[0][i]}
     bins, fill, displaced = [b[0][i][:] for i in chosen], [b[1][i] for i in chosen], []
@@ -164,14 +226,58 @@ def _crossover(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], size, rng:
     return _repack(bins, fill, displaced, size, rng, length)
 
 
+def _two(left: list[tuple[int, int]], most: int, least: int) -> tuple[int, tuple[int, ...]]:
+    """Of the displaced pieces (size, piece), in order: two that together come nearest to most, not above, and above least; their sum and places."""
+    i, j, total, at = 0, bisect_left(left, (most + 1, -1)) - 1, least, ()
+    while i < j and total < most:
+        both = left[i][0] + left[j][0]
+        if both > most:
+            j -= 1
+        else:
+            if both > total:
+                total, at = both, (i, j)
+            i += 1
+    return total, at
+
+
+def _replace(bins: Bins, fill: list[int], displaced: list[int], size: list[int], rng: random.Random, length: int) -> list[int]:
+    """Falkenauer's replacement: a sequence with room takes what fills it most, one displaced piece in place of up to two of its own, or two in place of two. Returns what is displaced now."""
+    left = sorted((size[p], p) for p in displaced)
+    open_ = [i for i, f in enumerate(fill) if f < length]
+    rng.shuffle(open_)
+    for i in open_:
+        own, room = bins[i], length - fill[i]
+        groups = [(), *combinations(range(len(own)), 1), *combinations(range(len(own)), 2)]
+        gain, out, at = 0, (), ()
+        for g in groups:
+            have = sum(size[own[k]] for k in g)
+            k = bisect_left(left, (have + room + 1, -1)) - 1
+            if k >= 0 and left[k][0] - have > gain:
+                gain, out, at = left[k][0] - have, g, (k,)
+        for g in groups if gain < room else ():
+            if len(g) == 2 and gain < room:
+                have = sum(size[own[k]] for k in g)
+                total, two = _two(left, have + room, have + gain)
+                if two:
+                    gain, out, at = total - have, g, two
+        if gain:
+            new = [left.pop(k)[1] for k in reversed(at)]
+            for k in out:
+                insort(left, (size[own[k]], own[k]))
+            bins[i] = [p for k, p in enumerate(own) if k not in out] + new
+            fill[i] += gain
+    return [p for _, p in left]
+
+
 def _repack(bins, fill, displaced, size, rng, length):
-    """Mutation: the emptiest sequence and a few others go too; then best fit."""
+    """Mutation: the emptiest sequences and some others go too; then replacement, and best fit for the rest."""
     if len(bins) > 2:
-        worst = min(range(len(bins)), key=fill.__getitem__)
-        gone = {worst, *rng.sample(range(len(bins)), min(2, len(bins) - 1))}
+        some = max(2, int(len(bins) * rng.uniform(0.0, DISSOLVED)))
+        worst = sorted(range(len(bins)), key=fill.__getitem__)[: max(1, some // 4)]
+        gone = {*worst, *rng.sample(range(len(bins)), some)}
         displaced = displaced + [p for i in gone for p in bins[i]]
         bins, fill = [x for i, x in enumerate(bins) if i not in gone], [x for i, x in enumerate(fill) if i not in gone]
-    best_fit(bins, fill, displaced, size, length)
+    best_fit(bins, fill, _replace(bins, fill, displaced, size, rng, length), size, length)
     return bins, fill
 
 

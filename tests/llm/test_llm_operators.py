@@ -416,6 +416,32 @@ def test_packing(spark, odd, empty):
     assert pack.packed_documents(empty).count() == 0
 
 
+def test_words_have_the_tokenizers_ids():
+    enc = pack.Encoder(pack.vocabulary_path())
+    rng = random.Random(1)
+    letters = [chr(c) for c in (*range(0x00, 0x250), *range(0x300, 0x370), *range(0x1F00, 0x2000), *range(0xD00, 0xD80))] + [chr(rng.randrange(0x370, 0xD7FF)) for _ in range(500)] + [chr(rng.randrange(0x10000, 0x1F9FF)) for _ in range(200)]
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "'s", "'LL", "don't", "\u03a3\u03c3\u03c2", "\u0130", "T\u0308", "\x01", "\x1c", " ", "\n"]
+    texts = ["", "<|ENDOFTEXT|> x", "a<|endoftext|>b", "T\u0308 \u212b \x01"]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.5 else parts if rng.random() < 0.5 else "aeinrstHJTWY1 2,.") for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    for got, t in zip(enc.encode(texts), texts):
+        assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_genetic_packing_beats_best_fit():
+    rng = np.random.default_rng(3)
+    missed = won = 0
+    for seed in range(40):  # lengths like those of documents' last pieces
+        size = [x for x in (np.exp(rng.normal(6.5, 1.0, 560)).astype(int) % 2048).tolist() if x][:500]
+        bins, fill = [], []
+        pack.best_fit(bins, fill, list(range(len(size))), size)
+        if len(bins) > -(-sum(size) // 2048):
+            first = pack.evolve(size, seed, [])
+            got = pack.evolve(size, seed + 100, [first, pack.evolve(size, seed + 200, [])])
+            assert sorted(p for b in got for p in b) == list(range(len(size))) and max(sum(size[p] for p in b) for b in got) <= 2048 and len(got) <= len(bins)
+            missed, won = missed + 1, won + (len(got) < len(bins))
+    assert missed >= 5 and won >= 0.4 * missed
+
+
 def test_crossover_keeps_every_piece_once():
     rng = random.Random(1)
     size = [rng.randint(1, 1500) for _ in range(300)]
