@@ -1,12 +1,16 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers. DataFrame operations only.
 
-Every row gets a global number 0..N-1 (by id, then by digest and size of the text). A four-round Feistel network on
-pairs (left, right) of a square a x a, a = ceil(sqrt(N)), permutes 0..a*a-1; numbers that leave 0..N-1 walk on along
+Every row gets a global number 0..N-1, its place in the order of (hash, id, digest, size), where hash is the unsigned
+xxhash64 of the three others: it depends on the rows alone, not on how they are partitioned. A four-round Feistel network
+on pairs (left, right) of a square a x a, a = ceil(sqrt(N)), permutes 0..a*a-1; numbers that leave 0..N-1 walk on along
 their cycle. Shard and slot of a row are remainder and quotient of its permuted number, so anyone who knows N and
 the seed computes them for any row number without the data, and counts differ by one at most.
 
-Defined cases: a null id sorts first; a null text has size 1 and digest 0; repeated rows get numbers (and so slots)
-of their own; an empty table gives no rows; other columns are neither read nor returned.
+Rows that agree in id, digest and size are interchangeable: they are counted first and numbered as one run, so a row that
+is a third of all is one row until its run is dealt out.
+
+Defined cases: ids may be of any type that sorts; a null id sorts first; a null text has size 1 and digest 0; repeated
+rows get numbers (and so slots) of their own; an empty table gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -15,9 +19,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from .common import saved, table
+
 SHARDS, SEED, ROUNDS = 8, 20240607, 4
-#: The number space is cut into ID_PARTS ranges of ids, each into SUB_PARTS by digest: groups of rows that one task numbers.
-ID_PARTS, SUB_PARTS = 256, 16
+#: Bits of the hash that name a range (their totals, 2**RANGE_BITS rows, are collected), and different rows that one task
+#: numbers at a time (finer ranges, as many as the rows need).
+RANGE_BITS, BUCKET = 12, 16_384
+#: Equal rows that one task deals out at a time.
+RUN = 100_000
 #: At most 2a+1 numbers lie outside 0..N-1, so a walk of this length ends but with probability N * (2/sqrt(N))^32.
 WALK = 32
 _P, _Q = 2147483647, 1103515245
@@ -68,28 +77,33 @@ def permuted_col(x: Column, n: int, seed: int = SEED) -> Column:
     return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
 
 
-def numbered(rows: DataFrame, id_col: str, digest: str, size: str) -> tuple[DataFrame, int]:
-    """rows with a gapless global number `row`, and their count.
+def numbered(rows: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """Rows of the key columns with a gapless global number `row`, and their count.
 
-    The ranges of ids come from percentiles (a bounded list), the offsets from counts of at most
-    (ID_PARTS + 1) * SUB_PARTS groups; no task sees more than one group at a time.
+    Two levels of running counts over ranges of the hash: no task sees more than about BUCKET different rows at a time.
     """
-    cuts = rows.agg(F.percentile_approx(id_col, [i / ID_PARTS for i in range(1, ID_PARTS)], 10000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    # Position among the cuts, found by counting those that are not above the id.
-    part = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(id_col)))) if cuts else F.lit(0)
-    keyed = rows.withColumn("__p", part.cast("int") * SUB_PARTS + F.pmod(F.col(digest), F.lit(SUB_PARTS)).cast("int"))
-    counts = sorted((r["__p"], r["count"]) for r in keyed.groupBy("__p").count().collect())
-    at, offsets = 0, []
-    for p, c in counts:
-        offsets.append((p, at))
-        at += c
-    if not at:
-        return rows.withColumn("row", F.lit(0).cast("long")), 0
-    offset = rows.sparkSession.createDataFrame(offsets, "__p int, __o long")
-    w = Window.partitionBy("__p").orderBy(F.col(id_col).asc_nulls_first(), digest, size)
-    out = keyed.withColumn("__n", F.row_number().over(w)).join(F.broadcast(offset), "__p")
-    return out.withColumn("row", F.col("__o") + F.col("__n") - 1).drop("__p", "__o", "__n"), at
+    runs = saved(rows.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__h", F.xxhash64(*keys)), "shard-runs")
+    top = F.shiftrightunsigned("__h", 64 - RANGE_BITS).cast("int")
+    totals = sorted((r["t"], r["n"], r["k"]) for r in runs.groupBy(top.alias("t")).agg(F.sum("__n").alias("n"), F.count("*").alias("k")).collect())
+    offsets, total = [], 0
+    for t, n, _ in totals:
+        offsets.append((t, total))
+        total += n
+    bits = max(RANGE_BITS, (sum(k for _, _, k in totals) // BUCKET).bit_length())
+    keyed = runs.withColumn("__t", top).withColumn("__f", F.shiftrightunsigned("__h", 64 - bits))
+    inside = Window.partitionBy("__t", "__f").orderBy("__h", *[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    finer = Window.partitionBy("__t").orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0)).cast("long")
+    ranges = keyed.groupBy("__t", "__f").agg(F.sum("__n").alias("__n")).select("__t", "__f", so_far(finer).alias("__o"))
+    first = rows.sparkSession.createDataFrame(offsets, "__t int, __first long")
+    placed = keyed.withColumn("__i", so_far(inside)).join(ranges, ["__t", "__f"]).join(F.broadcast(first), "__t")
+    placed = placed.select(*keys, "__n", (F.col("__first") + F.col("__o") + F.col("__i")).alias("row"))
+    step = lambda i, n: F.explode(F.sequence(F.lit(0).cast("long"), i, F.lit(n).cast("long")))
+    few = placed.where(F.col("__n") <= RUN)
+    many = placed.where(F.col("__n") > RUN).withColumn("__s", step(F.col("__n") - 1, RUN)).repartition(F.col("row"), F.col("__s"))
+    many = many.select(*keys, F.least(F.lit(RUN), F.col("__n") - F.col("__s")).alias("__n"), (F.col("row") + F.col("__s")).alias("row"))
+    out = few.unionByName(many).withColumn("__s", step(F.col("__n") - 1, 1))
+    return out.select(*keys, (F.col("row") + F.col("__s")).alias("row")), total
 
 
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -105,7 +119,5 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = sharded(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")

@@ -69,6 +69,24 @@ def test_sharding(spark, odd, empty):
     assert shard.sharded(empty).count() == 0
 
 
+def test_row_numbers_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shard, "BUCKET", 40)
+    monkeypatch.setattr(shard, "RUN", 1000)
+    df = spark.range(300_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE (id * 2654435761) % 250000 END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one' ELSE concat('t', id % 977) END AS text")
+    first = shard.sharded(df.repartition(7)).cache()
+    again = shard.sharded(df.orderBy("text", "doc_id").repartition(3, "text"))
+    assert first.exceptAll(again).isEmpty() and first.count() == again.count() == 300_000
+    assert first.select("row").distinct().count() == 300_000 and first.where("doc_id IS NULL").count() == 100_000
+    u = lambda r: r["h"] & (2**64 - 1)
+    rows = first.where("row < 5000").selectExpr("*", "xxhash64(doc_id, text_crc32, size) AS h").orderBy("row").collect()
+    assert [u(r) for r in rows] == sorted(u(r) for r in rows) and [r["row"] for r in rows] == list(range(5000))
+
+
+def test_sharding_of_text_ids(spark):
+    rows = shard.sharded(spark.createDataFrame([(f"id-{i % 90}", f"t{i % 11}") for i in range(200)] + [(None, None)], "name string, body string"), "name", "body").collect()
+    assert sorted(r["row"] for r in rows) == list(range(201)) and sorted((r["shard"], r["slot"]) for r in rows) == sorted((x % 8, x // 8) for x in range(201))
+
+
 # mixing
 
 
