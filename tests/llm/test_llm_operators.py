@@ -409,6 +409,80 @@ def test_lm_base(spark, odd, empty):
     assert lm.scored(empty).count() == 0
 
 
+def test_words_of_batches():
+    import pyarrow as pa
+
+    texts = [None, b"", b" \t", b"A b\x0bC", b"x", b"  lead", b"trail ", "\u00c9\u00a0\u00c8  Z".encode(), b"x", b"\xff\xfe a"] * 3
+    w = lm.Words(pa.array([b"cut off", *texts], pa.binary()).slice(1))
+    distinct = w.distinct.to_pylist()
+    assert [distinct[c] for c in w.codes] == [x for t in texts for x in lm.words(t)] and w.count.tolist() == [len(lm.words(t)) for t in texts]
+    assert [w.low[a:b].tobytes() for a, b in zip(w.begins, w.ends)] == [distinct[c] for c in w.codes]
+    assert len(lm.Words(pa.array([], pa.binary())).codes) == 0 and list(lm.parts_of(pa.array([], pa.binary()))) == []
+    ids, sizes = lm.subwords().encode(distinct)
+    for x, part in zip(distinct, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert part.tolist() == lm.subwords().pieces.encode_ordinary(" " + x.decode("utf-8", "replace"))
+
+
+def test_memory_of_other_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MEMORY", 2)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, n) for n in (0, 5, 60, 200)] + [np.tile(rng.integers(0, 3, 4), 30)]
+    docs += [docs[3], np.concatenate((docs[3][:90], docs[2])), docs[2]]
+    logs = [-rng.random(len(d) + 1) * 3 for d in docs]
+    starts = np.cumsum([0, *(len(x) for x in logs[:-1])])
+    got = lm.remembered(docs, np.concatenate(logs), starts)
+    blocks = {}  # the ids behind each pair of hashes, found by trying all places
+    for d, x, (context, block, model) in zip(docs, logs, got):
+        at, own = -1, iter(zip(context, block, model))
+        for p in range(lm.CONTEXT, len(d) + 1):
+            c, b, m = next(own, (None, None, None)) if p >= at else (None, None, None)
+            if c is None:
+                continue
+            while p <= len(d) and abs(m - x[p : p + lm.BLOCK].sum()) > 1e-9:
+                p += 1
+            assert p <= len(d)
+            key = tuple(d[p - lm.CONTEXT : p]), (*d[p : p + lm.BLOCK].tolist(), "end")[: lm.BLOCK]
+            assert blocks.setdefault((c, b), key) == key
+            at = p + lm.BLOCK
+        assert len(set(context)) == len(context)
+    assert [sorted(x[:2]) for x in (got[3], got[2])] == [sorted(x[:2]) for x in (got[5], got[7])] and len(got[3][0]) > 5
+    held = [False, True, False, False, False, True, False, False]
+    rows = [(i, h, *x) for i, (h, x) in enumerate(zip(held, got))]
+    out = {r["row"]: r["gain"] for r in lm.memory(spark.createDataFrame(rows, "row long, held_out boolean, context array<long>, block array<long>, model array<double>")).collect()}
+    want = {}
+    for i, (context, block, model) in enumerate(got):
+        for c, b, m in zip(context, block, model):
+            others = [y for j, x in enumerate(got) if j != i and not held[j] for a, y in zip(x[0], x[1]) if a == c]
+            if others:
+                n, different = len(others), len(set(others))
+                want[i] = want.get(i, 0.0) + np.log((different * np.exp(m) + others.count(b)) / (n + different)) - m
+    assert out == pytest.approx(want) and {3, 5} <= set(out)
+
+
+def test_score_beats_the_base_and_tells_copies(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").select("doc_id", "text")
+    twice = docs.where("length(text) BETWEEN 3000 AND 9000").orderBy("doc_id").limit(12).selectExpr("doc_id + 100000 AS doc_id", "text")
+    out = {r["doc_id"]: r for r in lm.scored(docs.unionByName(twice)).collect()}
+    held = [r for r in out.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    plain = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
+    known = [r["doc_id"] for r in twice.collect() if not out[r["doc_id"]]["held_out"]]
+    gains = [1 - out[i - 100000]["score"] / plain[i - 100000] for i in known]
+    assert known and np.mean([g > 0.05 for g in gains]) >= 0.7, gains
+
+
+def test_weights_of_shards_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 4)
+    monkeypatch.setattr(lm, "FAN", 2)
+    v = Vocabulary(dict.fromkeys(range(lm.subwords().size), 1), lm.subwords().size, 9, keep=500)
+    m = Model(v)
+    rows = [(" ".join(random.Random(i).choice(WORDS) for _ in range(32)).encode(),) for i in range(18)]
+    stretches = spark.createDataFrame(rows, "part binary")
+    out, again = lm.trained_on(m, stretches), lm.trained_on(m, stretches.repartition(3))
+    assert np.array_equal(out.flat(), again.flat()) and out.flat().shape == m.flat().shape and not np.array_equal(out.flat(), m.flat())
+    assert lm.trained_on(m, stretches.limit(0)) is m
+
+
 # packing
 
 
