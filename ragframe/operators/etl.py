@@ -82,9 +82,17 @@ def resolve_refs(texts: DataFrame, refs: DataFrame, key: str) -> DataFrame:
 
 
 def single_markdown(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """kind, text: all pages (file_ord, path, line_no, line) in order, cleaned, with their includes and references."""
+    """kind, file_ord, path, text: all pages (file_ord, path, line_no, line) cleaned, with their includes and references.
+
+    Each page is rewritten by itself, with the line end that joins it to the next, so that no task holds more than a page;
+    the texts of a kind joined by line ends in the order of file_ord are the whole (see sources.markdown.write_text). Only
+    a pattern that would begin in one page and end in the next isn't found.
+    """
     kept, refs = capture_anchors(drop_prefix_lines(lines))
     stated = include_state(kept).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     whole = split_by_path(include_files(stated, files))
-    texts = concat_ordered(whole, ("kind",), ("file_ord", "line_no"))
-    return resolve_refs(texts.withColumn("text", regex_rewrites(F.col("text"))), refs, "kind")
+    pages = concat_ordered(whole, ("kind", "file_ord", "path"), ("line_no",))
+    rewritten = regex_rewrites(F.concat("text", F.lit("\n")))
+    pages = pages.withColumn("text", rewritten)
+    pages = pages.withColumn("text", F.substring("text", F.lit(1), F.length("text") - 1))
+    return resolve_refs(pages, refs, "file_ord")

@@ -100,10 +100,10 @@ SCAN_LINES = f"WITH {I.LINES} SELECT doc_id, line_no::INT AS line_no, line FROM
 
 def _included(spark, d):
     docs = I.table(spark, d, "documents")
-    return docs.select(F.concat(F.lit("book/f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.substring("text", 1, 40).alias("content"))
+    return docs.select(F.concat(F.lit("book/f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
 
 
-INCLUDED = "included AS (SELECT 'book/f' || doc_id || '.txt' AS path, substr(text, 1, 40) AS content FROM documents WHERE doc_id < 50)"
+INCLUDED = "included AS (SELECT 'book/f' || doc_id || '.txt' AS path, text AS content FROM documents)"
 
 
 def include_files(spark, d):
@@ -183,9 +183,23 @@ FROM rewritten r LEFT JOIN pairs p ON r.file_ord = p.file_ord"""
 
 
 def single_markdown(spark, d):
-    """The whole cleaning, one text a kind; too long a text for a row of SQL, so by length and digest."""
-    out = etl.single_markdown(I.marked_lines(spark, d), _included(spark, d))
-    return out.select("kind", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    """The whole cleaning, page by page."""
+    return etl.single_markdown(I.marked_lines(spark, d), _included(spark, d))
+
+
+SINGLE = f"""WITH {I.MARKED}, {INCLUDED}, {REFS},
+plain AS (SELECT file_ord, path, line_no, line, CASE WHEN contains(line, '{{literalinclude}}') THEN 'include' WHEN contains(line, '```') THEN 'fence' END AS state FROM kept WHERE NOT {ANCHOR.format("line")}),
+closed AS (SELECT *, coalesce(state = 'fence' AND last_value(state IGNORE NULLS) OVER (PARTITION BY file_ord ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'include', false) AS closes FROM plain),
+filled AS (
+  SELECT file_ord, c.path, line_no, CASE WHEN closes THEN '' WHEN state = 'include' THEN '```' || chr(10) || chr(10) || coalesce(content, '') || chr(10) || chr(10) || '```' || chr(10) ELSE line END AS line
+  FROM closed c LEFT JOIN included i ON state = 'include' AND regexp_extract(c.path, '^(.*)/[^/]*$', 1) || '/' || {TRIM.format("split_part(line, '{literalinclude}', 2)")} = i.path),
+texts AS (SELECT file_ord, path, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS text FROM filled GROUP BY file_ord, path),
+rewritten AS (SELECT file_ord, path, t[1:length(t) - 1] AS text FROM (SELECT file_ord, path, {_sql_rewrites('text')} AS t FROM texts)),
+names AS (SELECT file_ord, unnest(list_distinct(regexp_extract_all(text, '<[^<>\\s]+>'))) AS ref FROM rewritten),
+pairs AS (SELECT file_ord, list(ref || chr(1) || title ORDER BY ref) AS ps FROM names JOIN refs USING (ref) GROUP BY file_ord)
+SELECT CASE WHEN contains(path, 'Schemas/') THEN 'schema' ELSE 'main' END AS kind, r.file_ord, path,
+  CASE WHEN ps IS NULL THEN text ELSE list_reduce(list_prepend(text, ps), lambda t, p: replace(t, split_part(p, chr(1), 1), split_part(p, chr(1), 2))) END AS text
+FROM rewritten r LEFT JOIN pairs p ON r.file_ord = p.file_ord"""
 
 
 def split_headers(spark, d):
@@ -364,7 +378,7 @@ QUERIES = {
     "filter_mime": (filter_mime, FILTER_MIME), "read_md": (read_md, READ_MD), "open_store": (open_store, OPEN_STORE), "skip_existing": (skip_existing, SKIP_EXISTING), "known_existing": (known_existing, KNOWN), "name_hash": (name_hash, NAME_HASH),
     "scan_toc": (scan_toc, SCAN_TOC), "default_suffix": (default_suffix, DEFAULT_SUFFIX), "scan_lines": (scan_lines, SCAN_LINES), "include_files": (include_files, INCLUDE_FILES), "drop_prefix_lines": (drop_prefix_lines, DROP_PREFIX),
     "capture_anchors": (capture_anchors, CAPTURE_ANCHORS), "include_state": (include_state, INCLUDE_STATE), "split_by_path": (split_by_path, SPLIT_BY_PATH), "concat_ordered": (concat_ordered, CONCAT_ORDERED), "regex_rewrites": (regex_rewrites, REGEX_REWRITES),
-    "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, None), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "embed": (embed, EMBED),
+    "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, SINGLE), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "embed": (embed, EMBED),
     "embed_vectors": (embed_vectors, EMBED_VECTORS), "normalize_model_name": (normalize_model_name, NORMALIZE), "vector_topk": (vector_topk, VECTOR_TOPK), "union_stores": (union_stores, UNION), "rerank_topn": (rerank_topn, RERANK_TOPN), "rank_number": (rank_number, RANK_NUMBER),
     "upsert_reference": (upsert_reference, UPSERT), "adapt_k": (adapt_k, ADAPT), "header_fields": (header_fields, HEADER_FIELDS), "serialize_context": (serialize_context, SERIALIZE), "answer_from_context": (answer_from_context, ANSWER), "text_retrieval": (text_retrieval, None),
     "retrieval_quality": (retrieval_quality, QUALITY),

@@ -155,6 +155,27 @@ def test_etl_on_a_small_book(spark):
     assert out["schema"] == "## Second\nsee (see section: Second) and \nFigure: x.png"
 
 
+def test_pages_joined_are_the_whole(spark, tmp_path):
+    """Page by page is as all at once, but for a pattern across the border of two pages."""
+    pages = ["````{tab-item} A", "```{csv-table}\n{ref}`x <one>`\n(one)=", "(one)=\n# One\n````{tab-item} B\n```{csv-table}\nrow"]
+    lines = [(o, f"book/{o}.md", i, x) for o, t in enumerate(pages) for i, x in enumerate(t.split("\n"))]
+    df = spark.createDataFrame(lines, "file_ord int, path string, line_no int, line string")
+    out = etl.single_markdown(df, spark.createDataFrame([], "path string, content string"))
+    want = ["A", "```\nx (see section: One)", "# One\nTable of B (separator='$')\n```\nName $ description $ reference\nrow"]
+    assert [r["text"] for r in out.orderBy("file_ord").collect()] == want
+    for parts in (1, 3):
+        markdown.write_text(out, f"{tmp_path}/{parts}", parts)
+        files = sorted((tmp_path / str(parts) / "kind=main").glob("part-*"))
+        assert "".join(f.read_text() for f in files) == "\n".join(want) + "\n" and (len(files) == 1 or parts > 1)
+
+
+def test_stores_must_be_folders(spark, tmp_path):
+    for make, message in ((lambda: None, "no store"), (lambda: (tmp_path / "a.md").write_text("x"), "not a store")):
+        make()
+        with pytest.raises(ValueError, match=message):
+            markdown.scan_stores(spark, str(tmp_path))
+
+
 def test_ingest_twice_is_once(spark, tmp_path):
     for s, n, t in (("s1", "a.md", "# T\nhello world\n## U\nmore"), ("s1", "b.txt", "no"), ("s2", "c.md", "")):
         (tmp_path / "src" / s).mkdir(parents=True, exist_ok=True)
@@ -162,7 +183,7 @@ def test_ingest_twice_is_once(spark, tmp_path):
     path = f"{tmp_path}/store"
     files = markdown.scan_stores(spark, f"{tmp_path}/src")
     kept, rejected = markdown.markdown_only(files)
-    assert sorted(r["file_name"] for r in kept.collect()) == ["a.md"] and rejected.first()["status"] == "unsupported"
+    assert sorted((r["file_name"], r["text"] == "") for r in kept.collect()) == [("a.md", False), ("c.md", True)] and rejected.first()["status"] == "unsupported"
     for _ in range(2):
         store.append_chunks(ingest.ingest(files, store.open_store(spark, path)), path)
         got = store.open_store(spark, path).orderBy("chunk_ix").collect()
