@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields, replace
 
 #: UTC for reproducible times; a map built with a repeated key keeps the last value.
 SESSION = {"spark.sql.session.timeZone": "UTC", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
@@ -30,6 +32,19 @@ class Config:
     probe_tries: int = 3
     chat_model: str = "rule:offline"
     embedding_model: str = "hash:offline"
+    code_route: bool = False  # whether code questions take the code branch
+
+    @classmethod
+    def of(cls, environment: Mapping[str, str] | None = None, conf: Callable[[str, None], str | None] | None = None) -> Config:
+        """Defaults, then variables RAGFRAME_<FIELD> of the environment, then settings spark.ragframe.<field> (conf: spark.conf.get)."""
+        env, out = os.environ if environment is None else environment, cls()
+        for f in fields(cls):
+            given = conf(f"spark.ragframe.{f.name}", None) if conf else None
+            given = env.get(f"RAGFRAME_{f.name.upper()}") if given is None else given
+            if given is not None:
+                kind = type(getattr(out, f.name))
+                out = replace(out, **{f.name: given.strip().lower() in ("1", "true", "yes") if kind is bool else kind(given)})
+        return out
 
 
 DEFAULT = Config()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable
 
@@ -11,10 +13,14 @@ import pandas as pd
 Chat = Callable[[pd.Series], pd.Series]
 _CHATS: dict[str, Callable[[str], Chat]] = {}
 _EMBEDDERS: dict[str, Callable[[str], Callable[[pd.Series], pd.Series]]] = {}
+_MODELS: dict[str, Callable[[], set[str]]] = {}
 
 
-def register_chat(prefix: str, factory: Callable[[str], Chat]) -> None:
+def register_chat(prefix: str, factory: Callable[[str], Chat], models: Callable[[], set[str]] | None = None) -> None:
+    """A provider of chat models; `models` lists what it has, if it can tell."""
     _CHATS[prefix] = factory
+    if models:
+        _MODELS[prefix] = models
 
 
 def register_embedder(prefix: str, factory) -> None:
@@ -38,21 +44,37 @@ def setup_embedding(name: str):
     return _made(_EMBEDDERS, name)
 
 
+def check_model_present(name: str) -> None:
+    """Raise if no provider knows the model; providers that list their models are asked."""
+    prefix, _, model = name.partition(":")
+    _made(_CHATS | _EMBEDDERS, name)
+    known = _MODELS.get(prefix.lower())
+    if known is not None and model not in known():
+        raise LookupError(f"provider {prefix!r} has no model {model!r}; it has {sorted(known())}")
+
+
 def check_model_works(model: Chat, timeout: float = 30, retries: int = 3, wait: Callable[[float], None] = time.sleep) -> tuple[bool, str]:
-    """Probe a model before a job, waiting 2**attempt seconds between tries."""
+    """Probe a model before a job; a try ends after `timeout` seconds, and tries are 2**attempt seconds apart."""
     why = "no try"
     for attempt in range(retries):
-        began = time.monotonic()
+        done: queue.Queue = queue.Queue()
+
+        def probe(done=done) -> None:
+            try:
+                model(pd.Series(["ping"]))
+                done.put("")
+            except Exception as e:  # noqa: BLE001  the probe reports whatever a provider raises
+                done.put(str(e) or type(e).__name__)
+
+        threading.Thread(target=probe, daemon=True).start()  # a hung model must not hold the job
         try:
-            model(pd.Series(["ping"]))
-            took = time.monotonic() - began
-            if took <= timeout:
+            why = done.get(timeout=timeout)
+            if not why:
                 return True, "works"
-            why = f"took {took:.0f} s"
-        except Exception as e:  # noqa: BLE001  the probe reports whatever a provider raises
-            why = str(e)
+        except queue.Empty:
+            why = f"no answer within {timeout:g} s"
         if attempt + 1 < retries:
-            wait(2**attempt)
+            wait(backoff(attempt))
     return False, why
 
 
@@ -81,5 +103,5 @@ def _hash_embedder(dim: str):
     return lambda texts: texts.map(one)
 
 
-register_chat("rule", _rule_chat)
+register_chat("rule", _rule_chat, lambda: {"offline"})
 register_embedder("hash", _hash_embedder)

@@ -1,9 +1,12 @@
-"""Text, list, map and JSON functions, all JVM-side expressions."""
+"""Text, list, map and JSON functions: JVM-side expressions, but for the last step of the hashing embedder."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # Lines of the page sources that start with one of these are dropped.
@@ -158,13 +161,26 @@ def bucket(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
+def _unit_counts(dim: int):
+    """Lists of buckets to unit vectors of their counts, a batch at a time."""
+
+    @F.arrow_udf("array<double>")
+    def unit_counts(buckets: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy().astype(np.int64)
+        flat = pc.list_flatten(buckets).to_numpy().astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + flat, minlength=len(sizes) * dim).reshape(-1, dim).astype(float)
+        norm = np.sqrt((counts * counts).sum(axis=1))
+        fine = norm > 0
+        values = counts[fine] / norm[fine][:, None]
+        offsets = np.concatenate(([0], np.cumsum(np.where(fine, dim, 0))))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()), mask=pa.array(~fine))
+
+    return unit_counts
+
+
 def hashed_vector(c: Column, dim: int) -> Column:
     """Feature-hashing embedding (Weinberger et al. 2009): token counts by bucket, as a unit vector; null without a token.
 
-    The one-element transforms bind a value to a name: buckets, counts and norm are each computed once a row.
+    Buckets are found in the JVM; only these numbers go to Python, in Arrow batches, to be counted.
     """
-    counts = lambda b: F.array(*[(F.size(b) - F.size(F.array_remove(b, i))).cast("double") for i in range(dim)])
-    counted = F.transform(F.array(F.transform(tokens(c), lambda t: bucket(t, dim))), counts)
-    normed = F.transform(counted, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
-    unit = F.transform(normed, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
-    return F.get(unit, F.lit(0))
+    return _unit_counts(dim)(F.transform(tokens(c), lambda t: bucket(t, dim)))

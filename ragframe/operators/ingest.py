@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..config import DEFAULT, Config
+from ..functions.providers import setup_embedding
 from ..functions.text import hashed_vector, name_hash
 
 # File types by name ending.
@@ -125,8 +127,21 @@ def attach_metadata(chunks: DataFrame, file_name: Column, file_path: Column) ->
     return chunks.withColumns({"file_hash": name_hash(file_name), "file_name": file_name, "file_path": file_path})
 
 
-def embed(docs: DataFrame, dim: int = DEFAULT.dim, text: str = "text") -> DataFrame:
-    return docs.withColumn("embedding", hashed_vector(F.col(text), dim))
+def embedder(cfg: Config = DEFAULT) -> Callable[[Column], Column]:
+    """Text column to vector column by the configured embedding model; the offline hashing model is a function of our own."""
+    if cfg.embedding_model == DEFAULT.embedding_model:
+        return lambda c: hashed_vector(c, cfg.dim)
+    model = setup_embedding(cfg.embedding_model)
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return model(texts)
+
+    return vectors
+
+
+def embed(docs: DataFrame, cfg: Config = DEFAULT, text: str = "text") -> DataFrame:
+    return docs.withColumn("embedding", embedder(cfg)(F.col(text)))
 
 
 def ingest(files: DataFrame, existing: DataFrame, cfg: Config = DEFAULT, identity: str = "name") -> DataFrame:
@@ -140,4 +155,4 @@ def ingest(files: DataFrame, existing: DataFrame, cfg: Config = DEFAULT, identit
     sections = split_headers(split_lines(keyed, "__f"), "__f", 4)
     chunks = chunk_fixed(sections, cfg.chunk_size, cfg.chunk_overlap).drop("text").withColumnRenamed("chunk", "text")
     ordered = chunks.withColumn("chunk_ix", (F.row_number().over(Window.partitionBy("__f").orderBy("section", "chunk_ix")) - 1).cast("int"))
-    return embed(ordered.select("__f.*", "chunk_ix", "h1", "h2", "h3", "h4", "text"), cfg.dim).withColumn("model", F.lit(cfg.embedding_model))
+    return embed(ordered.select("__f.*", "chunk_ix", "h1", "h2", "h3", "h4", "text"), cfg).withColumn("model", F.lit(cfg.embedding_model))

@@ -15,21 +15,29 @@ from ..functions.text import escape_braces
 BROADCAST_QUESTIONS, QUESTION_BLOCK, CHUNK_BLOCK = 2048, 2048, 65_536
 
 
-def _best(qids, questions, ids, stores, chunks, k, threshold) -> pd.DataFrame:
-    """Top k over the threshold of each (question, store) among these chunks; scores at 6 decimals."""
-    none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "store": pd.Series(dtype="object"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.DataFrame]:
+    """Top k over the threshold of each (question, store) among these chunks, for 256 questions at a time; scores at 6 decimals."""
     if not len(ids) or not len(qids):
-        return none
+        return
     norm = np.linalg.norm(chunks, axis=1)
-    fine = norm > 0
-    ids, stores, unit = ids[fine], stores[fine], chunks[fine] / norm[fine][:, None]
-    out = []
+    fine = np.flatnonzero(norm > 0)
+    names, code = np.unique(stores[fine], return_inverse=True)
+    fine = fine[order := np.lexsort((ids[fine], code))]  # by store, then id: of equal scores the first is the smaller id
+    cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
+    ids, unit = ids[fine], chunks[fine] / norm[fine][:, None]
     for at in range(0, len(qids), 256):
-        score = np.round(questions[at : at + 256] @ unit.T, 6)
-        q, c = np.nonzero(score >= threshold)
-        out.append(pd.DataFrame({"qid": qids[at : at + 256][q], "store": stores[c], "chunk_id": ids[c], "score": score[q, c]}))
-    hits = pd.concat(out).sort_values(["qid", "store", "score", "chunk_id"], ascending=[True, True, False, True], kind="stable")
-    return hits.groupby(["qid", "store"], sort=False).head(k) if len(hits) else none
+        found = []
+        for store, a, b in zip(names, cuts, cuts[1:]):
+            score = np.round(questions[at : at + 256] @ unit[a:b].T, 6)
+            least = np.full(len(score), threshold) if b - a <= k else np.maximum(threshold, np.partition(score, b - a - k, axis=1)[:, b - a - k])
+            q, c = np.nonzero(score >= least[:, None])
+            rank = np.lexsort((c, -score[q, c], q))  # with ties at the k-th place more than k may be left
+            q, c = q[rank], c[rank]
+            some = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, c = q[some], c[some]
+            found.append(pd.DataFrame({"qid": qids[at + q], "store": store, "chunk_id": ids[a + c], "score": score[q, c]}))
+        if found:
+            yield pd.concat(found)
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -58,7 +66,7 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
         def run(batches: Iterator[pd.DataFrame]):
             qids, q = asked.value
             for b in batches:
-                yield _best(qids, q, b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)
+                yield from _best(qids, q, b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)
 
         hits = chunks.mapInPandas(run, schema)
     else:
@@ -69,7 +77,8 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
         right = chunks.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("cb"), each(blocks).alias("qb"))
 
         def meet(a, b):
-            return _best(a["qid"].to_numpy(), unit(_matrix(a["embedding"])), b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)
+            none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "store": pd.Series(dtype="object"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.concat([none, *_best(a["qid"].to_numpy(), unit(_matrix(a["embedding"])), b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)])
 
         hits = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
     w = Window.partitionBy("qid", "store").orderBy(F.desc("score"), "chunk_id")

@@ -54,17 +54,26 @@ def rewrite_query(q: Column, most: int = 8) -> Column:
 
 
 def grade_answer(question: Column, context: Column, answer: Column) -> Column:
-    """Six grades by token overlap, 0 to 1, at 6 decimals; next_step is left open."""
-    q, c, a = (F.array_distinct(tokens(x)) for x in (question, context, answer))
-    share = lambda x, y: F.when(F.size(y) > 0, F.size(F.array_intersect(x, y)) / F.size(y)).otherwise(0.0)
-    jaccard = lambda x, y: F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
-    r = lambda x: F.round(x, 6)
-    return F.struct(
-        r(jaccard(c, a)).alias("confidence"), r(share(c, q)).alias("coverage"), r(share(a, q)).alias("relevance"), r(share(c, a)).alias("groundedness"),
-        r(F.when(F.size(tokens(answer)) > 0, F.size(a) / F.size(tokens(answer))).otherwise(0.0)).alias("coherence"),
-        r(F.when(F.size(a) > 0, F.least(F.lit(1.0), F.lit(60.0) / F.size(a))).otherwise(0.0)).alias("conciseness"),
-        F.lit("undefined").alias("next_step"), F.lit("").alias("summary"),
-    )
+    """Six grades by token overlap, 0 to 1, at 6 decimals; next_step is left open.
+
+    The one-element transforms bind a value to a name: token sets and their common parts are each computed once a row.
+    """
+    named = lambda x, f: F.transform(F.array(x), f)[0]
+    share = lambda n, d: F.round(F.when(d > 0, n / d).otherwise(0.0), 6)
+    size, both = F.size, lambda x, y: F.size(F.array_intersect(x, y))
+
+    def grades(s: Column, n: Column) -> Column:
+        q, c, a = size(s["q"]), size(s["c"]), size(s["a"])
+        return F.struct(
+            share(n["ca"], c + a - n["ca"]).alias("confidence"), share(n["cq"], q).alias("coverage"), share(n["aq"], q).alias("relevance"), share(n["ca"], a).alias("groundedness"),
+            share(a, s["n"]).alias("coherence"), F.round(F.when(a > 0, F.least(F.lit(1.0), F.lit(60.0) / a)).otherwise(0.0), 6).alias("conciseness"),
+            F.lit("undefined").alias("next_step"), F.lit("").alias("summary"),
+        )
+
+    words = F.struct(*[tokens(x).alias(k) for k, x in (("q", question), ("c", context), ("a", answer))])
+    sets = lambda w: F.struct(*[F.array_distinct(w[k]).alias(k) for k in "qca"], size(w["a"]).alias("n"))
+    common = lambda s: F.struct(*[both(s[x], s[y]).alias(x + y) for x, y in ("ca", "cq", "aq")])
+    return named(words, lambda w: named(sets(w), lambda s: named(common(s), lambda n: grades(s, n))))
 
 
 def route_grades(e: Column, k: Column, cfg: Config = DEFAULT) -> Column:
@@ -86,6 +95,16 @@ def route_grades(e: Column, k: Column, cfg: Config = DEFAULT) -> Column:
     return F.struct(action.alias("action"), F.when(action == "continue", cfg.k).when(action == "retrieve_more_info", k + 1).otherwise(k).cast("int").alias("k"), (action == "modify_query").alias("modify"))
 
 
+def mermaid(edges: tuple[tuple[str, str, str], ...] = EDGES) -> str:
+    """The control graph as text that draws it."""
+    return "graph TD\n" + "".join(f"  {a} -->|{label}| {b}\n" if label else f"  {a} --> {b}\n" for a, label, b in edges)
+
+
+def answer_general(query: Column) -> Column:
+    """Rule provider: an echo."""
+    return F.concat(F.lit("You said: "), F.coalesce(query, F.lit("")))
+
+
 def ask_clarification() -> Column:
     return F.lit(CLARIFY)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import text as X
 from ..operators import agent, etl, ingest, retrieve
+from ..sources.shared import saved
 from . import inputs as I
 
 W = r"[^ \t\n\x0B\f\r]+"
@@ -227,6 +228,16 @@ CHUNKS = "chunked AS (SELECT doc_id, source, i::INT AS chunk_ix, substr(text, i
 CHUNK_TEXT = f"WITH {CHUNKS} SELECT doc_id, chunk_ix, chunk FROM chunked"
 
 
+def split_headers_fenced(spark, d):
+    """Headings outside fences that open and close."""
+    pages = concat_ordered(spark, d)
+    return ingest.split_headers_fenced(pages, "file_ord")
+
+
+def chunk_boundary(spark, d):
+    return ingest.chunk_boundary(I.table(spark, d, "documents"), "doc_id")
+
+
 def attach_metadata(spark, d):
     c = ingest.chunk_fixed(I.table(spark, d, "documents").select("doc_id", "source", "text"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -270,7 +281,7 @@ def vector_topk(spark, d):
     return retrieve.vector_topk(*I.vectors(spark, d))
 
 
-TOPK = f"""scored AS (SELECT q.vec_id AS qid, e.label AS store, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < {I.QUESTIONS}),
+TOPK = f"""scored AS (SELECT q.vec_id AS qid, e.label AS store, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % {I.EVERY} = 0),
 topk AS (SELECT *, row_number() OVER (PARTITION BY qid, store ORDER BY score DESC, chunk_id)::INT AS rank FROM scored WHERE score >= {DEFAULT.threshold} QUALIFY rank <= {DEFAULT.k})"""
 VECTOR_TOPK = f"WITH {TOPK} SELECT * FROM topk"
 
@@ -302,14 +313,14 @@ RANK_NUMBER = "SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY s
 
 def _reference_log(spark, d):
     m = I.messages(spark, d).where("role = 'user'")
-    return m.select("conv_id", F.col("turn").alias("seq"), F.substring("text", 1, 1).alias("retrieval_query"), F.length("text").alias("hits"))
+    return m.select("conv_id", F.col("turn").alias("seq"), F.split_part("text", F.lit(" "), F.lit(1)).alias("retrieval_query"), F.length("text").alias("hits"))
 
 
 def upsert_reference(spark, d):
     return retrieve.upsert_reference(_reference_log(spark, d))
 
 
-UPSERT = "SELECT conv_id, substr(text, 1, 1) AS retrieval_query, min(turn) AS first_seq, max_by(length(text), turn)::INT AS hits FROM conversations WHERE role = 'user' GROUP BY ALL"
+UPSERT = "SELECT conv_id, split_part(text, ' ', 1) AS retrieval_query, min(turn) AS first_seq, max_by(length(text), turn)::INT AS hits FROM conversations WHERE role = 'user' GROUP BY ALL"
 
 
 def adapt_k(spark, d):
@@ -331,13 +342,13 @@ HEADER_FIELDS = f"SELECT file_ord, section, {_FIELDS} AS fields FROM ({SPLIT_HEA
 def serialize_context(spark, d):
     """Each question's hits over the documents of the same ids, with braces in the text."""
     best = rerank_topn(spark, d)
-    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("{"), F.substring("text", 1, 50), F.lit("}")).alias("text"), F.concat(F.lit("Header 1: "), F.col("source")).alias("fields"))
+    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("{"), "text", F.lit("}")).alias("text"), F.concat(F.lit("Header 1: "), F.col("source")).alias("fields"))
     hits = best.join(docs, "chunk_id").select("qid", (F.col("rank") % 2).alias("query_seq"), F.concat(F.lit("query "), F.col("rank") % 2).alias("retrieval_query"), "rank", "fields", "text")
     return retrieve.serialize_context(hits, "qid")
 
 
 SERIALIZE = f"""WITH {RERANK},
-hits AS (SELECT qid, rank % 2 AS query_seq, rank, '{{' || substr(text, 1, 50) || '}}' AS text, 'Header 1: ' || source AS fields, count(*) OVER (PARTITION BY qid, rank % 2) AS n FROM best JOIN documents ON doc_id = chunk_id),
+hits AS (SELECT qid, rank % 2 AS query_seq, rank, '{{' || text || '}}' AS text, 'Header 1: ' || source AS fields, count(*) OVER (PARTITION BY qid, rank % 2) AS n FROM best JOIN documents ON doc_id = chunk_id),
 parts AS (SELECT qid, query_seq, '## query ' || query_seq || chr(10) || string_agg(chr(10) || chr(10) || '### Document ' || rank || '/' || n || ': ' || fields || chr(10) || chr(10) || ':' || text, '' ORDER BY rank) AS part FROM hits GROUP BY qid, query_seq)
 SELECT qid, replace(replace(string_agg(part, '' ORDER BY query_seq), '{{', '{{{{'), '}}', '}}}}') AS context FROM parts GROUP BY qid"""
 
@@ -353,7 +364,7 @@ ANSWER = f"WITH {RERANK} SELECT qid, text AS answer FROM best JOIN documents ON
 
 def text_retrieval(spark, d):
     """Text in, hits out: questions and chunks by the hashing embedder."""
-    chunks = ingest.embed(I.chunks(spark, d)).select("store", "chunk_id", "embedding")
+    chunks = saved(ingest.embed(I.chunks(spark, d)).select("store", "chunk_id", "embedding"), "chunks")
     asked = I.questions(spark, d).select("qid", X.hashed_vector(F.col("query"), DEFAULT.dim).alias("embedding"))
     return retrieve.rerank_topn(retrieve.vector_topk(asked, chunks))
 
@@ -366,19 +377,19 @@ def retrieval_quality(spark, d):
     ranked = agent.rank_number(hits.drop("rank"), "qid", F.desc("score"), F.col("chunk_id")).where("rank <= 5")
     lab = e.select(F.col("vec_id").alias("chunk_id"), "label")
     own = e.select(F.col("vec_id").alias("qid"), F.col("label").alias("own"))
-    x = ranked.join(lab, "chunk_id").join(F.broadcast(own.where(F.col("qid") < I.QUESTIONS)), "qid")
+    x = ranked.join(lab, "chunk_id").join(F.broadcast(own.where(F.col("qid") % I.EVERY == 0)), "qid")
     return x.groupBy("qid").agg(F.count_if(F.col("label") == F.col("own")).alias("n_same"), F.coalesce(F.round(1.0 / F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))), 6), F.lit(0.0)).alias("reciprocal_rank"))
 
 
 QUALITY = f"""WITH s AS (SELECT q.vec_id AS qid, q.label AS own, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < {I.QUESTIONS} QUALIFY rank <= 5)
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % {I.EVERY} = 0 QUALIFY rank <= 5)
 SELECT qid, count(*) FILTER (WHERE label = own) AS n_same, coalesce(round(1.0 / min(rank) FILTER (WHERE label = own), 6), 0.0) AS reciprocal_rank FROM s GROUP BY qid"""
 
 QUERIES = {
     "filter_mime": (filter_mime, FILTER_MIME), "read_md": (read_md, READ_MD), "open_store": (open_store, OPEN_STORE), "skip_existing": (skip_existing, SKIP_EXISTING), "known_existing": (known_existing, KNOWN), "name_hash": (name_hash, NAME_HASH),
     "scan_toc": (scan_toc, SCAN_TOC), "default_suffix": (default_suffix, DEFAULT_SUFFIX), "scan_lines": (scan_lines, SCAN_LINES), "include_files": (include_files, INCLUDE_FILES), "drop_prefix_lines": (drop_prefix_lines, DROP_PREFIX),
     "capture_anchors": (capture_anchors, CAPTURE_ANCHORS), "include_state": (include_state, INCLUDE_STATE), "split_by_path": (split_by_path, SPLIT_BY_PATH), "concat_ordered": (concat_ordered, CONCAT_ORDERED), "regex_rewrites": (regex_rewrites, REGEX_REWRITES),
-    "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, SINGLE), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "embed": (embed, EMBED),
+    "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, SINGLE), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "split_headers_fenced": (split_headers_fenced, None), "chunk_boundary": (chunk_boundary, None), "embed": (embed, EMBED),
     "embed_vectors": (embed_vectors, EMBED_VECTORS), "normalize_model_name": (normalize_model_name, NORMALIZE), "vector_topk": (vector_topk, VECTOR_TOPK), "union_stores": (union_stores, UNION), "rerank_topn": (rerank_topn, RERANK_TOPN), "rank_number": (rank_number, RANK_NUMBER),
     "upsert_reference": (upsert_reference, UPSERT), "adapt_k": (adapt_k, ADAPT), "header_fields": (header_fields, HEADER_FIELDS), "serialize_context": (serialize_context, SERIALIZE), "answer_from_context": (answer_from_context, ANSWER), "text_retrieval": (text_retrieval, None),
     "retrieval_quality": (retrieval_quality, QUALITY),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import name_hash
 from ..operators.ingest import chunk_fixed, split_lines
 
-QUESTIONS = 20  # vec_id below this ask; the others are stores' chunks too
+EVERY = 100  # vec_ids divisible by this ask; all are stores' chunks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +72,12 @@ def known_files(spark, sf_dir) -> DataFrame:
 
 def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < QUESTIONS).select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("label").alias("store"), F.col("vec_id").alias("chunk_id"), "embedding")
+    return e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("label").alias("store"), F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def chunks(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return chunk_fixed(d.select("doc_id", "source", "text")).select(F.col("source").alias("store"), (F.col("doc_id") * 1000 + F.col("chunk_ix")).alias("chunk_id"), F.col("chunk").alias("text"))
+    return chunk_fixed(d.select("doc_id", "source", "text")).select(F.col("source").alias("store"), (F.col("doc_id") * 1_000_000 + F.col("chunk_ix")).alias("chunk_id"), F.col("chunk").alias("text"))
 
 
 def messages(spark, sf_dir) -> DataFrame:
@@ -114,8 +114,8 @@ GRADES = """grades AS (
 
 def outputs(spark, sf_dir) -> DataFrame:
     """Model outputs of many shapes, made of documents."""
-    i, t = F.col("doc_id"), F.substring("text", 1, 30)
-    plain = F.regexp_replace(t, r'["\\\n\r]', " ")
+    i, t = F.col("doc_id"), F.col("text")
+    plain = F.regexp_replace(t, r'["\\\x00-\x1F]', " ")
     body = (
         F.when(i % 7 == 0, F.concat(F.lit('{"query_type": "domain_question", "note": "'), plain, F.lit('"}')))
         .when(i % 7 == 1, " general_question\n").when(i % 7 == 2, F.concat(F.lit('{"query_type": "other"}'))).when(i % 7 == 3, "{broken").when(i % 7 == 4, F.concat(F.lit("  "), t, F.lit(" \n")))
@@ -129,19 +129,19 @@ OUTPUTS = """outputs AS (
   SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>' || plain || '</think>' || body WHEN 1 THEN body ELSE 'a</think>' || chr(10) || body || '</think>' || plain END AS content
   FROM (SELECT doc_id, plain, CASE doc_id % 7 WHEN 0 THEN '{"query_type": "domain_question", "note": "' || plain || '"}' WHEN 1 THEN ' general_question' || chr(10) WHEN 2 THEN '{"query_type": "other"}'
           WHEN 3 THEN '{broken' WHEN 4 THEN '  ' || t || ' ' || chr(10) WHEN 5 THEN '{"note": "x"}' ELSE 'domain_code_generation' END AS body
-        FROM (SELECT doc_id, substr(text, 1, 30) AS t, regexp_replace(substr(text, 1, 30), '["\\\\\\n\\r]', ' ', 'g') AS plain FROM documents)))"""
+        FROM (SELECT doc_id, text AS t, regexp_replace(text, '["\\\\\\x00-\\x1F]', ' ', 'g') AS plain FROM documents)))"""
 
 
 def questions(spark, sf_dir) -> DataFrame:
     """First turns, some with the domain word and a verb of making."""
     i = F.col("conv_id")
     first = messages(spark, sf_dir).where("turn = 0")
-    q = F.when(i % 4 == 0, F.concat(F.lit("What is the Domain of "), F.substring("text", 1, 60))).when(i % 4 == 1, F.concat(F.lit("please WRITE code for the domain: "), F.substring("text", 1, 20))).when(i % 4 == 2, F.col("text")).otherwise(" ")
+    q = F.when(i % 4 == 0, F.concat(F.lit("What is the Domain of "), F.col("text"))).when(i % 4 == 1, F.concat(F.lit("please WRITE code for the domain: "), F.col("text"))).when(i % 4 == 2, F.col("text")).otherwise(" ")
     return first.select(i.alias("qid"), q.alias("query"))
 
 
 QUESTIONS_SQL = """questions AS (
-  SELECT conv_id AS qid, CASE conv_id % 4 WHEN 0 THEN 'What is the Domain of ' || substr(text, 1, 60) WHEN 1 THEN 'please WRITE code for the domain: ' || substr(text, 1, 20) WHEN 2 THEN text ELSE ' ' END AS query
+  SELECT conv_id AS qid, CASE conv_id % 4 WHEN 0 THEN 'What is the Domain of ' || text WHEN 1 THEN 'please WRITE code for the domain: ' || text WHEN 2 THEN text ELSE ' ' END AS query
   FROM conversations WHERE turn = 0)"""
 
 

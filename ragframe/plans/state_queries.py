@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import tools as T
-from ..operators import agent, ingest, memory, route
+from ..operators import agent, code, ingest, memory, route
+from ..sources.shared import saved
 from ..streaming import state as stream
 from . import inputs as I
 from .ingest_queries import TOKENS
@@ -69,19 +70,24 @@ SUMMARY_DUE = f"WITH {DUE} SELECT conv_id, n_new, due FROM due"
 
 
 def fold_summary(spark, d):
-    return memory.fold_summary(I.messages(spark, d), I.summaries(spark, d), N).select("conv_id", "summarised_till")
+    return memory.fold_summary(I.messages(spark, d), I.summaries(spark, d), N)
 
 
-FOLD = f"WITH {DUE} SELECT conv_id, CASE WHEN due THEN n ELSE coalesce(summarised_till, 0) END::BIGINT AS summarised_till FROM due LEFT JOIN state USING (conv_id)"
+_WORDS = "regexp_split_to_array(conversation, '[ \\t\\n\\x0B\\f\\r]+')"
+FOLD = f"""WITH {DUE},
+fresh AS (SELECT conv_id, replace(replace(string_agg(CASE WHEN role = 'assistant' THEN ': ' ELSE '' END || role || ': ' || text || chr(10), '' ORDER BY turn), '{{', '{{{{'), '}}', '}}}}') AS conversation
+  FROM conversations LEFT JOIN state USING (conv_id) WHERE turn >= coalesce(summarised_till, 0) AND role IN ('user', 'assistant') GROUP BY conv_id)
+SELECT conv_id, CASE WHEN due THEN concat_ws(' ', nullif(context_summary, ''), array_to_string({_WORDS}[1:40], ' ')) ELSE coalesce(context_summary, '') END AS context_summary,
+  CASE WHEN due THEN n ELSE coalesce(summarised_till, 0) END::BIGINT AS summarised_till FROM due LEFT JOIN state USING (conv_id) LEFT JOIN fresh USING (conv_id)"""
 
 
 def append_message(spark, d):
     m = I.messages(spark, d)
-    q = m.where("turn < 2").select("conv_id", F.col("turn").alias("ord"), F.lit("assistant").alias("role"), F.concat(F.lit("re: "), F.substring("text", 1, 20)).alias("text"))
+    q = m.where("role = 'user'").select("conv_id", F.col("turn").alias("ord"), F.lit("assistant").alias("role"), F.concat(F.lit("re: "), "text").alias("text"))
     return memory.append_message(m, q)
 
 
-APPEND = "SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, (SELECT max(turn) FROM conversations c WHERE c.conv_id = n.conv_id) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, 'assistant' AS role, 're: ' || substr(text, 1, 20) AS text FROM conversations n WHERE turn < 2"
+APPEND = "SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, (SELECT max(turn) FROM conversations c WHERE c.conv_id = n.conv_id) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, 'assistant' AS role, 're: ' || text AS text FROM conversations n WHERE role = 'user'"
 
 
 def reset_turn_state(spark, d):
@@ -135,14 +141,19 @@ REWRITE = f"WITH {I.QUESTIONS_SQL} SELECT qid, array_to_string(list_filter({TOKE
 
 
 def grade_answer(spark, d):
-    """Answers: benchmark texts; contexts: documents; questions: the contexts' sources and first words."""
-    b = I.table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer"))
-    docs = I.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("context"), F.substring("text", 1, 60).alias("question"))
+    """Answers: benchmark texts; contexts: all documents; questions: the benchmark text after the answer."""
+    b = I.table(spark, d, "benchmark").where("item_id IS NOT NULL").select("item_id", "text")
+    n = max(1, b.agg(F.max("item_id")).first()[0] + 1)
+    item = F.col("doc_id") % n
+    docs = I.table(spark, d, "documents").select("doc_id", item.alias("item_id"), ((item + 1) % n).alias("next_id"), F.col("text").alias("context"))
+    rows = docs.join(b.withColumnRenamed("text", "answer"), "item_id").join(b.select(F.col("item_id").alias("next_id"), F.col("text").alias("question")), "next_id")
     e = route.grade_answer(F.col("question"), F.col("context"), F.col("answer"))
-    return docs.join(b, "item_id").withColumn("e", e).select("doc_id", *[F.col(f"e.{x}").alias(x) for x in ("confidence", "coverage", "relevance", "groundedness", "coherence", "conciseness")])
+    return rows.withColumn("e", e).select("doc_id", *[F.col(f"e.{x}").alias(x) for x in ("confidence", "coverage", "relevance", "groundedness", "coherence", "conciseness")])
 
 
-GRADE = f"""WITH t AS (SELECT doc_id, list_distinct({TOKENS.format('substr(d.text, 1, 60)')}) AS q, list_distinct({TOKENS.format('d.text')}) AS c, list_distinct({TOKENS.format('b.text')}) AS a, len({TOKENS.format('b.text')}) AS n FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+GRADE = f"""WITH m AS (SELECT max(item_id) + 1 AS items FROM benchmark),
+t AS (SELECT doc_id, list_distinct({TOKENS.format('q.text')}) AS q, list_distinct({TOKENS.format('d.text')}) AS c, list_distinct({TOKENS.format('b.text')}) AS a, len({TOKENS.format('b.text')}) AS n
+  FROM documents d CROSS JOIN m JOIN benchmark b ON b.item_id = d.doc_id % items JOIN benchmark q ON q.item_id = (d.doc_id % items + 1) % items),
 x AS (SELECT *, len(list_intersect(c, a)) AS ca, len(list_intersect(c, q)) AS cq, len(list_intersect(a, q)) AS aq FROM t)
 SELECT doc_id, CASE WHEN len(c) + len(a) - ca > 0 THEN round(ca::DOUBLE / (len(c) + len(a) - ca), 6) ELSE 0.0 END AS confidence, CASE WHEN len(q) > 0 THEN round(cq::DOUBLE / len(q), 6) ELSE 0.0 END AS coverage,
   CASE WHEN len(q) > 0 THEN round(aq::DOUBLE / len(q), 6) ELSE 0.0 END AS relevance, CASE WHEN len(a) > 0 THEN round(ca::DOUBLE / len(a), 6) ELSE 0.0 END AS groundedness,
@@ -172,11 +183,7 @@ STATISTICS = f"WITH {ROUTED} SELECT action, k AS k0, count(*) AS n, round(avg(co
 
 
 def final_answer(spark, d):
-    return memory_answer(I.messages(spark, d))
-
-
-def memory_answer(m):
-    return route.final_answer(m)
+    return route.final_answer(I.messages(spark, d))
 
 
 FINAL = "SELECT conv_id, max_by(text, turn) AS reply FROM conversations GROUP BY conv_id"
@@ -205,7 +212,7 @@ RETURN_CODE = f"WITH {I.OUTPUTS} SELECT doc_id, content AS message_for_user FROM
 
 def answer_general(spark, d):
     general = classify_query(spark, d).where("query_type IN ('general_question', 'undefined')").select("qid")
-    return I.questions(spark, d).join(general, "qid", "left_semi").select("qid", F.concat(F.lit("You said: "), F.col("query")).alias("reply"))
+    return I.questions(spark, d).join(general, "qid", "left_semi").select("qid", route.answer_general(F.col("query")).alias("reply"))
 
 
 GENERAL = f"WITH {CLASSIFIED} SELECT qid, 'You said: ' || query AS reply FROM classified WHERE query_type IN ('general_question', 'undefined')"
@@ -242,8 +249,46 @@ def call_tool(spark, d):
 CALL = """SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'I got ' || url WHEN 1 THEN 'document = Document(id="MyModel' || page_id || '")' || chr(10) || 'network = document.add(Network(id="MyModel' || page_id || '_network"))' || chr(10) ELSE 'unknown tool: missing_tool' END AS output FROM pages"""
 
 
+def decide_tool(spark, d):
+    """Each question at the three stages of the code branch: nothing known, tool output there, code there."""
+    stages = I.questions(spark, d).withColumn("stage", F.explode(F.array(*map(F.lit, range(3)))))
+    call = code.decide_tool(F.col("query"), F.when(F.col("stage") == 2, "x = 1").otherwise(""), F.when(F.col("stage") == 1, "made").otherwise(""))
+    return stages.withColumn("call", call).select("qid", "stage", "call.action", "call.tool", F.coalesce(F.col("call.args")["text"], F.col("call.args")["name"]).alias("arg"), "call.reason")
+
+
+_NAME = f"array_to_string(list_transform(list_filter({TOKENS.format('query')}, lambda t: t NOT IN ({_STOP}))[1:3], lambda t: upper(t[1]) || t[2:]), ' ')"
+DECIDE = f"""WITH {I.QUESTIONS_SQL}, s AS (SELECT qid, query, unnest([0, 1, 2])::INT AS stage FROM questions)
+SELECT qid, stage, ['tool_call', 'update_code', 'final_answer'][stage + 1] AS action, CASE WHEN stage > 0 THEN '' WHEN contains(lower(query), 'model') THEN 'model_template_tool' ELSE 'echo_tool' END AS tool,
+  CASE WHEN stage = 0 THEN CASE WHEN contains(lower(query), 'model') THEN {_NAME} ELSE query END END AS arg, ['nothing is known yet', 'the tool''s output is new', 'the code is ready'][stage + 1] AS reason FROM s"""
+
+
+def _code_questions(spark, d):
+    """Code questions, every other one about a model."""
+    q = I.questions(spark, d).withColumn("query_type", route.classify_query(F.col("query"))).where("query_type = 'domain_code_generation'")
+    return q.select("qid", F.when(F.col("qid") % 8 == 1, F.concat(F.lit("Write a model "), "query")).otherwise(F.col("query")).alias("query"))
+
+
+_CODE_QUESTIONS = CLASSIFIED + ", coding AS (SELECT qid, CASE WHEN qid % 8 = 1 THEN 'Write a model ' || query ELSE query END AS query FROM classified WHERE query_type = 'domain_code_generation')"
+_WRITTEN = f"""CASE WHEN contains(lower(query), 'model') THEN 'document = Document(id="' || replace({_NAME}, ' ', '') || '")' || chr(10) || 'network = document.add(Network(id="' || replace({_NAME}, ' ', '') || '_network"))' || chr(10) ELSE 'I got ' || query END"""
+
+
+def generate_code(spark, d):
+    """The code branch to its end."""
+    return code.write_code(_code_questions(spark, d))[0].select("qid", "code", "rounds", F.col("call.action").alias("action"))
+
+
+GENERATE_CODE = f"WITH {_CODE_QUESTIONS} SELECT qid, {_WRITTEN} AS code, 2 AS rounds, 'final_answer' AS action FROM coding"
+
+
+def code_trace(spark, d):
+    return code.write_code(_code_questions(spark, d))[1]
+
+
+CODE_TRACE = f"WITH {_CODE_QUESTIONS} SELECT qid, unnest([1, 2]) AS round, unnest(['call_tool', 'return_code']) AS node FROM coding"
+
+
 def _chunks(spark, d):
-    return ingest.embed(I.chunks(spark, d))
+    return saved(ingest.embed(I.chunks(spark, d)), "chunks")
 
 
 def agent_loop(spark, d):
@@ -258,6 +303,25 @@ def ask(spark, d):
     return agent.ask(I.questions(spark, d), _chunks(spark, d))
 
 
+def _turn(spark, d):
+    """The first turns as questions after all that was said, with a state for every other conversation."""
+    asked = I.questions(spark, d).select("qid", F.col("qid").alias("conv_id"), "query")
+    return agent.converse(asked, _chunks(spark, d), messages=I.messages(spark, d), summaries=I.summaries(spark, d))
+
+
+def turn_state(spark, d):
+    """The whole state that a turn leaves, nested parts as JSON."""
+    return _turn(spark, d).states.withColumns({c: F.to_json(c) for c in ("evaluation", "reference_material")})
+
+
+def turn_messages(spark, d):
+    return _turn(spark, d).messages
+
+
+def turn_references(spark, d):
+    return _turn(spark, d).references
+
+
 def sessions(spark, d):
     """Derived, not of the reference: sessions of a user's events."""
     return stream.sessions(I.table(spark, d, "events")).select("user_id", "session_start", "session_end", "n_events", F.round("total", 6).alias("total"))
@@ -272,5 +336,6 @@ QUERIES = {
     "fold_summary": (fold_summary, FOLD), "append_message": (append_message, APPEND), "reset_turn_state": (reset_turn_state, RESET), "checkpoint": (checkpoint, CHECKPOINT), "classify_query": (classify_query, CLASSIFY), "route_query": (route_query, ROUTE_QUERY),
     "route_tool": (route_tool, ROUTE_TOOL), "rewrite_query": (rewrite_query, REWRITE), "grade_answer": (grade_answer, GRADE), "route_grades": (route_grades, ROUTE_GRADES), "grade_statistics": (grade_statistics, STATISTICS), "final_answer": (final_answer, FINAL),
     "ask_clarification": (ask_clarification, ASK), "not_available": (not_available, UNAVAILABLE), "return_code": (return_code, RETURN_CODE), "answer_general": (answer_general, GENERAL), "loop_edges": (loop_edges, EDGES), "loop_reachable": (loop_reachable, REACHABLE), "call_tool": (call_tool, CALL),
+    "decide_tool": (decide_tool, DECIDE), "generate_code": (generate_code, GENERATE_CODE), "code_trace": (code_trace, CODE_TRACE), "turn_state": (turn_state, None), "turn_messages": (turn_messages, None), "turn_references": (turn_references, None),
     "agent_loop": (agent_loop, None), "agent_trace": (agent_trace, None), "ask": (ask, None), "sessions": (sessions, SESSIONS),
 }

@@ -82,11 +82,11 @@ DEFAULTS = "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN coalesce(nullif(source,
 
 
 def doc_summary(spark, d):
-    t = F.concat(F.lit("  "), F.substring("text", 1, 40), F.when(F.col("doc_id") % 2 == 0, "\n\n:param x: y\n:param z: w").otherwise(" \n"))
+    t = F.concat(F.lit("  "), "text", F.when(F.col("doc_id") % 2 == 0, "\n\n:param x: y\n:param z: w").otherwise(" \n"))
     return I.table(spark, d, "documents").select("doc_id", X.doc_summary(t).alias("summary"))
 
 
-SUMMARY = f"WITH t AS (SELECT doc_id, '  ' || substr(text, 1, 40) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || ':param x: y' || chr(10) || ':param z: w' ELSE ' ' || chr(10) END AS t FROM documents) SELECT doc_id, {TRIM.format('string_split(t, ' + chr(39) + ':param' + chr(39) + ')[1]')} AS summary FROM t"
+SUMMARY = f"WITH t AS (SELECT doc_id, '  ' || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || ':param x: y' || chr(10) || ':param z: w' ELSE ' ' || chr(10) END AS t FROM documents) SELECT doc_id, {TRIM.format('string_split(t, ' + chr(39) + ':param' + chr(39) + ')[1]')} AS summary FROM t"
 
 
 def render_tools(spark, d):

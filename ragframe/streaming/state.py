@@ -16,15 +16,13 @@ SHOWN = ("user", "assistant")
 def _update(n: int):
     def update(key, batches, state: GroupState):
         count, new, till, last, reply = state.get if state.exists else (0, 0, 0, -1, "")
-        rows = pd.concat(list(batches)).sort_values("turn")
-        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-            count += 1
-            new += role in SHOWN
-            if turn > last:
-                last = int(turn)
-                reply = text or ""
-            if new >= n:  # a summary is due: the pointer moves to the message count
-                new, till = 0, count
+        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        shown = new + rows["role"].isin(SHOWN).to_numpy().cumsum()  # human and AI messages since the last summary
+        if shown[-1] >= n:  # a summary is due at every n-th: the pointer moves to the message count there
+            till = count + 1 + int((shown >= shown[-1] // n * n).argmax())
+        new, count = int(shown[-1] % n), count + len(rows)
+        if int(rows["turn"].iloc[-1]) > last:
+            last, reply = int(rows["turn"].iloc[-1]), rows["text"].iloc[-1] or ""
         state.update((count, new, till, last, reply))
         yield pd.DataFrame({"conv_id": [key[0]], "n_messages": [count], "n_new": [new], "summarised_till": [till], "reply": [reply]})
 

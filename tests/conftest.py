@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -18,7 +19,7 @@ def spark():
 
     from ragframe.config import SESSION
 
-    b = SparkSession.builder.master("local[4]").appName("ragframe-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+    b = SparkSession.builder.master("local[4]").appName("ragframe-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ragframe-tests-"))
     for k, v in SESSION.items():
         b = b.config(k, v)
     s = b.getOrCreate()

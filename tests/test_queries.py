@@ -28,7 +28,7 @@ def test_inputs_read_all_documents(spark, tmp_path):
 
     docs = [(i, f"text {i}", "en", "s", 8) for i in (1, 70, 250, 900)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r["chunk_id"] // 1000 for r in inputs.chunks(spark, str(tmp_path)).collect()} == {1, 70, 250, 900}
+    assert {r["chunk_id"] // 1_000_000 for r in inputs.chunks(spark, str(tmp_path)).collect()} == {1, 70, 250, 900}
     assert ingest_queries._included(spark, str(tmp_path)).count() == 4
 
 
