@@ -7,10 +7,11 @@ length compare. The least wins; ties go to the language that sorts first. Score:
 2**-bits over all languages, 0 to 1.
 
 Texts are lower-cased; runs of anything but letters become one space; letters that no sample has break a phrase. Whole
-texts are parsed, in segments of SEGMENT symbols whose phrases are counted alike for all languages.
+texts are parsed; segments of SEGMENT symbols are worked on side by side, which doesn't change the phrases.
 
 The automata are the only thing that is sampled (TRAIN_CHARS characters a language, TOTAL_CHARS in all, from up to
-BUCKETS documents a language, spread by hash): their size is bounded, so they are broadcast.
+BUCKETS documents a language, spread by hash; the LANGUAGES labels of most documents): their size is bounded, so they are
+broadcast.
 
 Defined cases: null text, or one without a letter: `und`, score 0; no labelled text at all: every text is `und`; rows
 without lang are predicted like others and never learned from; a null id counts as the empty id; repeated rows are
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import in_parts, table
 
-TRAIN_CHARS, TOTAL_CHARS, BUCKETS, SEGMENT = 48_000, 480_000, 256, 512
+TRAIN_CHARS, TOTAL_CHARS, BUCKETS, LANGUAGES, SEGMENT = 48_000, 480_000, 256, 400, 2048
 #: Characters of a document that go into its language's sample, and letters of a language whose transitions stand in a
 #: table; those of its other letters stand in a sorted list.
 SLICE, LETTERS = 1024, 60
@@ -109,6 +110,14 @@ class Automaton:
         more.sort()
         self.keys, self.to = np.array([k for k, _ in more], np.int64), np.array([t for _, t in more], np.int32)
 
+    def step(self, state: np.ndarray, symbol: np.ndarray, rare: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol each, and whether a new phrase began. rare: whether the text has symbols outside the table."""
+        to = self.table.ravel()[state * np.int32(self.columns) + self.column[symbol]]
+        if rare and len(some := np.flatnonzero(self.rare[symbol])):
+            to[some] = self.listed(state[some], symbol[some])
+        miss = to == 0
+        return np.where(miss, self.first[symbol], to), miss
+
     def listed(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Where rare symbols lead."""
         key = state.astype(np.int64) * self.symbols + symbol
@@ -135,7 +144,12 @@ class Model:
         return np.where(points == 0, 0, np.where(self.letters[at] == points, at + 2, 1)).astype(np.int32)
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each encoded text by language."""
+        """Phrases of each encoded text by language.
+
+        All segments of all texts are parsed side by side, each as if a text began there. Then each one but a text's first
+        is parsed on from where the one before ended, beside the parse from its own start, until both are in the same
+        state; what the two counted differently so far is put right. So the phrases are those of the whole text.
+        """
         out = np.zeros((len(docs), len(self.langs)), np.int64)
         owner, start, size, at = [], [], [], 0
         for i, d in enumerate(docs):
@@ -150,22 +164,40 @@ class Model:
         owner, start, size = map(np.concatenate, (owner, start, size))
         flat = np.concatenate(docs)
         order = np.argsort(-size, kind="stable")
+        place = np.argsort(order)
+        follows = np.flatnonzero(np.concatenate(([False], owner[1:] == owner[:-1])))
+        before = np.full(len(size), -1)  # the segment before, and the one after, by place in the order
+        before[place[follows]] = place[follows - 1]
+        after = np.full(len(size), -1)
+        after[place[follows - 1]] = place[follows]
         owner, start, size = owner[order], start[order], size[order]
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))  # lanes that are longer than t
         for k, a in enumerate(self.automata):
-            steps, column, wide = a.table.ravel(), a.column, np.int32(a.columns)
-            rare = a.rare if len(a.keys) and a.rare[flat].any() else None
+            rare = bool(len(a.keys)) and bool(a.rare[flat].any())
             state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)  # from state 0 nothing leads on
             for t in range(int(size[0])):
                 n = int(active[t])
-                c = flat[start[:n] + t]
-                to = steps[state[:n] * wide + column[c]]
-                if rare is not None and len(some := np.flatnonzero(rare[c])):
-                    to[some] = a.listed(state[some], c[some])
-                miss = to == 0
+                state[:n], miss = a.step(state[:n], flat[start[:n] + t], rare)
                 count[:n] += miss
-                state[:n] = np.where(miss, a.first[c], to)
-            np.add.at(out[:, k], owner, count)
+            alone, more = state.copy(), np.zeros(len(size), np.int64)
+            lanes = np.flatnonzero(before >= 0)
+            while len(lanes):
+                own, fresh, changed, t = state[before[lanes]], np.zeros(len(lanes), np.int32), [], 0
+                more[lanes] = 0
+                while len(lanes):
+                    c = flat[start[lanes] + t]
+                    (own, miss), (fresh, other) = a.step(own, c, rare), a.step(fresh, c, rare)
+                    more[lanes] += miss.astype(np.int64) - other
+                    t += 1
+                    left = (own != fresh) & (size[lanes] > t)
+                    end = np.where(own == fresh, alone[lanes], own)
+                    if (late := ~left & (end != state[lanes])).any():  # the next segment begins elsewhere than thought
+                        state[lanes[late]] = end[late]
+                        changed.append(after[lanes[late]])
+                    lanes, own, fresh = lanes[left], own[left], fresh[left]
+                lanes = np.concatenate(changed) if changed else lanes
+                lanes = lanes[lanes >= 0]
+            np.add.at(out[:, k], owner, count + more)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -195,6 +227,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Model:
     """A model of the labelled documents that are not held out; what reaches the driver is bounded by the parameters."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    known = known.join(F.broadcast(common), "lang")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # Of each bucket the document of least hash: a pre-aggregated minimum, whatever a language's share. The slice starts
     # at a hashed place, so that samples don't favour openings.

@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index.
 
 Words: A-Z lower-cased, runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, over whole texts. Document frequencies of the
-template words are counted over all documents (a bounded vocabulary); each template posts the places of its RARE words
-of highest IDF. A file looks up all of its words that are posted, intersects the postings by relative position (place
-in the file less place in the template), aligns the template at each offset with enough votes, and takes its label if a
+template words are counted over all documents (a bounded vocabulary); each template posts its places of highest IDF, so
+many (a share of 1 - MATCH of its words, and VOTES more) that a place where MATCH of its words agree gets VOTES votes in
+any case. A file looks up all of its words that are posted, intersects the postings by relative position (place in the
+file less place in the template), aligns the template at each offset with enough votes, and takes its label if a
 mandatory key phrase stands at its place and MATCH of the template's words agree.
 Short fixed phrases (BASE) are found wherever their words stand consecutively; their labels are kept.
 
@@ -23,8 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import in_parts, table
 
-RARE, VOTES, MATCH, SLACK = 8, 3, 0.75, 3
-#: Offsets of one template that are aligned; all with enough votes are, in order of votes.
+VOTES, MATCH, SLACK = 3, 0.75, 3
 _DELIMS = bytes(c for c in range(0x80) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A))
 _TABLE = bytes(0x20 if c in _DELIMS else c for c in range(256))
 
@@ -49,6 +49,19 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     ("cc-by", "Licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("creative commons attribution noderivatives",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit", ("creative commons attribution sharealike",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit", ("creative commons attribution noncommercial",)),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("permission is granted to anyone to use this software for any purpose",)),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software", ("any person or organization obtaining a copy",)),
+    ("boost", "Distributed under the Boost Software License, Version 1.0", ("boost software license",)),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", ("eclipse public license",)),
+    ("artistic", "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License", ("artistic license",)),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", ("bsd style license",)),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("copies or substantial portions of the software",)),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License", ("unless required by applicable law or agreed to in writing",)),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0)", ("waived all copyright and related or neighboring rights",)),
 )
 
@@ -71,7 +84,7 @@ def places(found: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 class Index:
-    """Postings (template, place) of each template's rarest words."""
+    """Postings (template, place) of each template's rarest places."""
 
     def __init__(self, templates, df: dict[bytes, int], n: int):
         self.words = [words(t) for _, t, _ in templates]
@@ -80,10 +93,9 @@ class Index:
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for t in self.words for w in t}
         self.post: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, t in enumerate(self.words):
-            rare = sorted(set(t), key=lambda w: (-self.idf[w], w))[:RARE]
-            for i, w in enumerate(t):
-                if w in rare:
-                    self.post[w].append((k, i))
+            rare = sorted(range(len(t)), key=lambda i: (-self.idf[t[i]], t[i], i))
+            for i in rare[: math.ceil((1 - MATCH) * len(t)) + VOTES]:
+                self.post[t[i]].append((k, i))
         self.rare = frozenset(self.post)
 
     def aligned(self, found: list[bytes], k: int, offset: int) -> float:

@@ -285,6 +285,27 @@ def test_phrases_are_longest_matches():
         assert m.phrases([m.encode(langid.folded(t))])[0, 0] == n
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 64])
+def test_segments_do_not_change_the_parse(monkeypatch, segment):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = random.Random(segment)
+    samples = {k: "".join(rng.choice(letters) for _ in range(400)) for k, letters in (("x", "ab"), ("y", "abc"), ("z", "aaaaab"))}
+    m = langid.Model({k: [t] for k, t in samples.items()})
+    texts = ["".join(rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(1, 150))) for _ in range(60)] + [samples["x"], samples["y"] * 2, "a" * 300]
+    got = m.phrases([m.encode(langid.folded(t)) for t in texts])
+    for t, row in zip(texts, got.tolist()):
+        for lang, count in zip(m.langs, row):
+            sample, at, n = samples[lang] + " ", 0, 0
+            while at < len(t):
+                k = 1
+                while at + k < len(t) and t[at : at + k + 1] in sample:
+                    k += 1
+                at, n = at + k, n + 1
+            assert count == n
+    bits = got * m.bits
+    assert m.predict(texts)[0] == [m.langs[i] for i in bits.argmin(axis=1)]
+
+
 def test_languages_of_many_letters():
     rng = random.Random(10)
     letters = {"ar": range(0x627, 0x64B), "el": range(0x3B1, 0x3CA), "ka": range(0x10D0, 0x10F1), "ru": range(0x430, 0x450), "xa": range(0x4E00, 0x5600), "xb": range(0x5600, 0x5E00), "zz": range(0x61, 0x7B)}
@@ -336,6 +357,29 @@ def test_license_scan_of_many_notices_in_one_file(spark):
     assert "unlicense" in got[2]
 
 
+def test_license_scan_misses_no_alignment():
+    rng = random.Random(12)
+    index = lic.Index(lic.TEMPLATES, {w: rng.randint(0, 900) for _, t, _ in lic.TEMPLATES for w in lic.words(t)}, 1000)
+    common = [w for t in index.words for w in t]
+    seen = 0
+    for n in range(1, 18):
+        for _ in range(6):
+            found = []
+            for k in rng.sample(range(len(index.words)), n):
+                t = list(index.words[k])
+                for _ in range(rng.randint(0, len(t) // 4)):  # some words replaced
+                    t[rng.randrange(len(t))] = rng.choice(common)
+                found += [*t, *(rng.choice(common) for _ in range(rng.randint(0, 20)))]
+            want = {}
+            for k, label in enumerate(index.labels):
+                best = max((index.aligned(found, k, at) for at in range(-len(index.words[k]), len(found))), default=0.0)
+                if best >= lic.MATCH:
+                    want[label] = max(want.get(label, 0.0), best)
+            assert index.scan(found) == want
+            seen += len(want)
+    assert seen > 300
+
+
 # language model
 
 
