@@ -7,21 +7,24 @@ than that limit, so seen contributions plus limit * unseen count bound each scor
 best accumulators give a threshold; vectors whose bound is below it are proven out. When the rest is a small share
 (or all segments are done), the rest is rescored exactly: nothing is dropped without proof.
 
-The index is dealt in blocks by row, each proven by itself; only a block's best leave it.
+The index is a table of blocks of rows, each proven by itself; only a block's best leave it.
 
-Defined cases: see vectors.cleaned (all-zero vectors do take part); ties go to the smaller id; fewer candidates than
-asked for give fewer rows; an empty table gives no rows; other columns are neither read nor returned.
+Defined cases: see vectors.cleaned (all-zero vectors do take part); rows that share an id are candidates each, and
+queries each; vectors of different lengths don't meet; ties go to the smaller id; fewer candidates than asked for give
+fewer rows; components of any size are scored exactly, and a score beyond a long is the largest or smallest long; an
+empty table gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import table
-from .vectors import TOP, best, cleaned, searched
+from .vectors import TOP, best, cleaned, none_found, searched
 
 SCALE, STEP = 256, 8
 #: Limits of the rounds, as shares of the largest contribution; share of a block that is rescored rather than narrowed.
@@ -80,19 +83,48 @@ class ImpactIndex:
 
 
 def quantised(v: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * v).astype(np.int64)
+    """floor(256 * x); as Python's integers where a long is too small."""
+    x = np.floor(SCALE * v)
+    return x.astype(np.int64) if np.abs(x).max(initial=0) < 2**53 else np.array([[int(c) if np.isfinite(c) else SCALE * int(o) for c, o in zip(r, w)] for r, w in zip(x, v)], object).reshape(x.shape)
+
+
+class Block:
+    """The index of some rows; without one, if scores could leave 62 bits: then all rows are scored with Python's integers."""
+
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray):
+        x = quantised(rows)
+        self.ids, self.numbers, self.x = ids, numbers, x
+        self.index = ImpactIndex(x) if x.dtype != object and self._most(x) < 2**31 else None
+
+    @staticmethod
+    def _most(x: np.ndarray) -> float:
+        """So large that the product of two such numbers bounds what the search computes."""
+        return (float(np.abs(x).max(initial=0)) + STEP) * (2 * x.shape[1] + 2)
+
+    def best(self, number: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.index is not None and q.dtype != object and self._most(q[None, :]) < 2**31:
+            some = self.index.members(q, np.flatnonzero(self.numbers == number))
+            return best(self.ids[some], self.x[some] @ q)
+        some = np.flatnonzero(self.numbers != number)
+        exact = (self.x[some].astype(object) @ q.astype(object)).tolist()
+        return best(self.ids[some], np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64))
 
 
 def top_scores(clean: DataFrame, n: int) -> DataFrame:
-    def block(ids, rows, qids, queries):
-        index = ImpactIndex(quantised(rows))
-        for q, v in zip(qids, quantised(queries)):
-            some = index.members(v, np.flatnonzero(ids == q))
-            yield q, *best(ids[some], index.x[some] @ v)
+    """The search among vectors of one dimension."""
+
+    def ask(block: Block, numbers: np.ndarray, queries: np.ndarray):
+        for q, v in zip(numbers.tolist(), quantised(queries)):
+            yield q, *block.best(q, v)
+
+    return searched(clean, n, Block, ask, "long")
+
 
-    return searched(clean, n, block, "long")
+def scores(vectors: DataFrame) -> DataFrame:
+    """query, query_id, rank, vec_id, score: the highest scores of each query; each dimension has an index of its own."""
+    clean, dims = cleaned(vectors, zero=True)
+    return reduce(DataFrame.unionByName, [top_scores(clean.where(F.size("v") == d), n) for d, n in dims], none_found(vectors.sparkSession, "long"))
 
 
 def op3_impact_topk(spark, sf_dir: str) -> DataFrame:
-    clean, _, n = cleaned(table(spark, sf_dir, "embeddings"), zero=True)
-    return top_scores(clean, n)
+    return scores(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")

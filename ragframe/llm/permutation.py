@@ -7,30 +7,31 @@ pivot saves against that maximum: 2 * (PREFIX - max(rank, rank)). The SHARE of a
 distance, CANDIDATES at least, and all that are as near as the last of them, are compared exactly by cosine in double
 precision. Equal vectors count as one, in the pivots and in a block's index; their smallest ids are all reported.
 
-All rows are indexed; the index is dealt in blocks by row (each with its inverted files), so that memory is bounded
-and candidates grow with the rows.
+All rows are indexed; the index is a table of blocks of rows (each with its inverted files), so that memory is bounded
+and candidates grow with the rows, whatever the cluster.
 
-Defined cases: see vectors.cleaned; ties go to the smaller id; fewer candidates than asked for give fewer rows; an
-empty table gives no rows; other columns are neither read nor returned.
+Defined cases: see vectors.cleaned; rows that share an id are candidates each, and queries each; vectors of different
+lengths don't meet; ties go to the smaller id; fewer candidates than asked for give fewer rows; an empty table gives no
+rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import table
-from .vectors import TOP, best, cleaned, searched
+from .vectors import TOP, best, cleaned, none_found, searched
 
 PIVOTS, PREFIX, SHARE, CANDIDATES = 256, 64, 0.08, 256
 
 
 def pivots(clean: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """The vectors of least hash, as unit vectors; at most n, all different."""
-    ones = clean.groupBy(F.xxhash64("v").alias("h")).agg(F.min("vec_id").alias("vec_id"))
-    some = ones.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(n).select("vec_id")
-    rows = clean.join(F.broadcast(some), "vec_id").orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").collect()  # n at most
-    p = np.array([r["v"] for r in rows])
+    some = clean.groupBy(F.xxhash64("v", F.lit("pivot")).alias("h")).agg(F.min("v").alias("v")).orderBy("h").limit(n)
+    p = np.array([r["v"] for r in some.orderBy("h").collect()])  # n at most
     return p / np.linalg.norm(p, axis=1, keepdims=True) if len(p) else p
 
 
@@ -61,41 +62,50 @@ class InvertedFiles:
         return out
 
 
-def distinct(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different rows; and of each the TOP + 1 smallest ids (one may be the query's) with the number of their row. ids ascend."""
-    rows = np.ascontiguousarray(rows + 0.0)  # -0.0 equals 0.0
-    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    starts = np.searchsorted(group[order], np.arange(len(first)))
-    kept = np.sort(order[np.arange(len(ids)) - starts[group[order]] <= TOP])
-    return rows[first], ids[kept], group[kept]
+class Block:
+    """The index of some rows. Equal vectors are indexed once; of each the TOP + 1 smallest ids are reported (one may be the query's own row)."""
+
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray, p: np.ndarray):
+        rows = np.ascontiguousarray(rows + 0.0)  # -0.0 equals 0.0
+        _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
+        order = np.argsort(group, kind="stable")  # ids ascend
+        starts = np.searchsorted(group[order], np.arange(len(first)))
+        kept = np.sort(order[np.arange(len(ids)) - starts[group[order]] <= TOP])
+        self.n, self.rows, self.ids, self.numbers, self.group = len(ids), rows[first], ids[kept], numbers[kept], group[kept]
+        self.norm = np.linalg.norm(self.rows, axis=1)
+        self.alone = np.bincount(self.group) == 1
+        self.files = InvertedFiles(prefixes(self.rows / self.norm[:, None], p, min(PREFIX, len(p))), len(p))
+
+    def best(self, number: int, v: np.ndarray, prefix: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+        near = self.files.nearness(prefix)
+        own = self.group[self.numbers == number]
+        near[own[self.alone[own]]] = -1
+        some = near >= (np.partition(near, len(near) - take)[len(near) - take] if take < len(near) else 0)
+        scores = np.full(len(self.rows), -np.inf)
+        scores[some] = np.einsum("ij,j->i", self.rows[some], v) / (self.norm[some] * np.linalg.norm(v))  # row by row: equal rows score alike
+        which = some[self.group] & (self.numbers != number)
+        return best(self.ids[which], scores[self.group[which]])
 
 
 def nearest(clean: DataFrame, n: int, share: float = SHARE, candidates: int = CANDIDATES) -> DataFrame:
+    """The search among vectors of one dimension."""
     p = pivots(clean)
-    length = min(PREFIX, len(p))
     shared = clean.sparkSession.sparkContext.broadcast(p)
 
-    def block(ids, rows, qids, queries):
-        p = shared.value
-        take = max(candidates, int(np.ceil(share * len(ids))))
-        rows, ids, group = distinct(ids, rows)
-        norm, qnorm = np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1)
-        files = InvertedFiles(prefixes(rows / norm[:, None], p, length), len(p))
-        alone = np.bincount(group) == 1
-        for q, v, size, prefix in zip(qids, queries, qnorm, prefixes(queries / qnorm[:, None], p, length)):
-            near = files.nearness(prefix)
-            own = group[ids == q]
-            near[own[alone[own]]] = -1
-            some = near >= (np.partition(near, len(near) - take)[len(near) - take] if take < len(near) else 0)
-            scores = np.full(len(rows), -np.inf)
-            scores[some] = np.einsum("ij,j->i", rows[some], v) / (norm[some] * size)  # row by row: equal rows score alike
-            which = some[group] & (ids != q)
-            yield q, *best(ids[which], scores[group[which]])
-
-    return searched(clean, n, block, "double")
+    def ask(block: Block, numbers: np.ndarray, queries: np.ndarray):
+        take = max(candidates, int(np.ceil(share * block.n)))
+        norms = np.linalg.norm(queries, axis=1, keepdims=True)
+        for q, v, prefix in zip(numbers.tolist(), queries, prefixes(queries / norms, shared.value, min(PREFIX, len(p))) if len(queries) else ()):
+            yield q, *block.best(q, v, prefix, take)
+
+    return searched(clean, n, lambda ids, numbers, rows: Block(ids, numbers, rows, shared.value), ask, "double")
 
 
 def op1_permutation_ann(spark, sf_dir: str) -> DataFrame:
-    clean, _, n = cleaned(table(spark, sf_dir, "embeddings"))
-    return nearest(clean, n)
+    return neighbours(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+def neighbours(vectors: DataFrame) -> DataFrame:
+    """query, query_id, rank, vec_id, score: the nearest found of each query; each dimension has an index of its own."""
+    clean, dims = cleaned(vectors)
+    return reduce(DataFrame.unionByName, [nearest(clean.where(F.size("v") == d), n) for d, n in dims], none_found(vectors.sparkSession, "double"))

@@ -1,8 +1,11 @@
-"""What the vector searches share: cleaned vectors, and blocks of queries against blocks of rows."""
+"""What the vector searches share: vectors that take part, an index table of blocks, and passes of queries over it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -12,54 +15,70 @@ from .common import saved
 
 #: Every QUERY_EVERY-th id is a query.
 QUERY_EVERY, TOP = 50, 5
-#: Rows and queries that meet in one task.
-ROW_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Rows of an index block, and queries that go over the index in one pass (what is broadcast); both whatever the cluster.
+ROW_BLOCK, QUERY_BLOCK = 8192, 16_384
 
+#: (ids, numbers, vectors) of a block, ids ascending -> its index.
+Build = Callable[[np.ndarray, np.ndarray, np.ndarray], Any]
+#: (index, numbers, vectors) of queries -> (number of the query, ids, scores) of the best of the block.
+Ask = Callable[[Any, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
 
-def cleaned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = False) -> tuple[DataFrame, int, int]:
-    """vec_id, v (array<double>) of the vectors that take part, saved; their dimension and count.
 
-    No part is taken by null ids, by vectors that are null or empty, hold null or non-finite components, are all zero
-    (unless zero), or differ in length from most. Of rows that share an id one takes part, the smallest vector.
+def cleaned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = False) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """row (a number of each row's own), vec_id, v (array<double>) of the vectors that take part, saved; and (dimension, count) of them.
+
+    No part is taken by null ids, and by vectors that are null or empty, hold null or non-finite components, or are all
+    zero (unless zero). Rows that share an id take part each.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0)
     if not zero:
         fine = fine & F.exists(v, lambda x: x != 0)
     some = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
-    one = saved(some.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    sizes = one.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return one, 0, 0
-    return one.where(F.size("v") == sizes["d"]), sizes["d"], sizes["count"]
+    clean = saved(some.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    return clean, sorted((r["d"], r["count"]) for r in clean.groupBy(F.size("v").alias("d")).count().collect())
+
 
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy())
 
-def searched(clean: DataFrame, n: int, block: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list], kind: str, top: int = TOP, every: int = QUERY_EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score: the best `top` rows of each query.
 
-    block(row ids, rows, query ids, queries) gives (query_id, ids, scores) of the best rows of a block. Rows are dealt
-    by hash to blocks of about ROW_BLOCK, queries to blocks of about QUERY_BLOCK, and every block meets every other;
-    each gives at most `top` rows a query.
+def searched(clean: DataFrame, n: int, build: Build, ask: Ask, kind: str, top: int = TOP, every: int = QUERY_EVERY) -> DataFrame:
+    """query (the row), query_id, rank, vec_id, score: the best `top` rows of each query among vectors of one dimension.
+
+    Rows are dealt by hash to blocks of about ROW_BLOCK, each is indexed once, and the index is a table of its own. The
+    queries go over it in passes of about QUERY_BLOCK, which are broadcast; each block gives at most `top` rows a query.
     """
-    rows, queries = max(1, -(-n // ROW_BLOCK)), max(1, -(-n // (every * QUERY_BLOCK)))
-    rows = max(rows, min(clean.sparkSession.sparkContext.defaultParallelism, -(-n // 512))) if n else 1
-    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = clean.select("vec_id", "v", deal("vec_id", rows).alias("rb"), each(queries).alias("qb")).groupBy("rb", "qb")
+    spark = clean.sparkSession
+    dealt = clean.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // ROW_BLOCK)))))
+
+    def built(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["vec_id", "row"])
+        index = build(pdf["vec_id"].to_numpy(), pdf["row"].to_numpy(), _matrix(pdf["v"]))
+        return pd.DataFrame({"block": [key[0]], "index": [pickle.dumps(index, protocol=5)]})
+
+    blocks = saved(dealt.groupBy("block").applyInPandas(built, "block long, index binary"), "vector-index")
     asked = clean.where(F.pmod("vec_id", F.lit(every)) == 0)
-    right = asked.select("vec_id", "v", each(rows).alias("rb"), deal("vec_id", queries).alias("qb")).groupBy("rb", "qb")
+    passes = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = []
+    for i in range(passes):
+        some = asked.where(F.pmod(F.xxhash64("row", F.lit("pass")), F.lit(passes)) == i).toArrow()
+        numbers = some["row"].to_numpy()
+        queries = some["v"].combine_chunks().flatten().to_numpy().reshape(len(numbers), -1) if len(numbers) else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast((numbers, some["vec_id"].to_numpy(), queries))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            a, b = a.sort_values("vec_id"), b.sort_values("vec_id")
-            for q, ids, scores in block(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy())):
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64" if kind == "long" else "float64")})
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            numbers, names, queries = shared.value
+            name = dict(zip(numbers.tolist(), names.tolist()))
+            for b in batches:
+                for blob in b["index"]:
+                    rows = [(q, name[q], x, s) for q, ids, scores in ask(pickle.loads(blob), numbers, queries) for x, s in zip(ids.tolist(), scores.tolist())]
+                    yield pd.DataFrame(rows, columns=["query", "query_id", "vec_id", "score"])
 
-    found = left.cogroup(right).applyInPandas(run, f"query_id long, vec_id long, score {kind}")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        best = blocks.mapInPandas(run, f"query long, query_id long, vec_id long, score {kind}")
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        found.append(best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "query_id", "rank", "vec_id", "score"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
@@ -68,5 +87,9 @@ def best(ids: np.ndarray, scores: np.ndarray, top: int = TOP) -> tuple[np.ndarra
         least = np.partition(scores, len(scores) - top)[len(scores) - top]
         keep = scores >= least
         ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:top]
+    order = np.lexsort((ids, ~scores if scores.dtype.kind == "i" else -scores))[:top]  # ~ has no overflow
     return ids[order], scores[order]
+
+
+def none_found(spark, kind: str) -> DataFrame:
+    return spark.createDataFrame([], f"query long, query_id long, rank int, vec_id long, score {kind}")

@@ -607,6 +607,10 @@ def brute_top(rows, measure, top=5):
     return sorted(out)
 
 
+def found(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
 @pytest.mark.parametrize("n", [3, 400, 3000])
 def test_vector_searches(spark, n):
     rng = np.random.default_rng(n)
@@ -614,19 +618,62 @@ def test_vector_searches(spark, n):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     x[n // 2] = x[0]  # ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(100_000, None), (100_050, [float("nan")] * 16), (100_100, [None] + [0.1] * 15), (100_150, [float("inf")] + [0.1] * 15), (100_200, []), (100_250, [0.5] * 3), (None, [0.1] * 16)]
-    df = make_vectors(spark, rows + bad + rows[:2])
-    clean, d, count = vectors.cleaned(df)
-    assert (d, count) == (16, n)
+    bad = [(100_000, None), (100_050, [float("nan")] * 16), (100_100, [None] + [0.1] * 15), (100_150, [float("inf")] + [0.1] * 15), (100_200, []), (None, [0.1] * 16)]
+    df = make_vectors(spark, rows + bad)
+    assert vectors.cleaned(df)[1] == [(16, n)]
     cosine = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
     exact = brute_top([(i, np.array(v)) for i, v in rows], cosine)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in permutation.nearest(clean, count).collect())
+    got = found(permutation.neighbours(df))
     assert len(got) == len(exact)
     assert len({(q, v) for q, _, v, _ in got} & {(q, v) for q, _, v, _ in exact}) >= 0.95 * len(exact)
     whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
-    clean, _, count = vectors.cleaned(df, zero=True)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in impact.top_scores(clean, count).collect())
-    assert got == brute_top(whole, lambda a, b: int(a @ b))
+    assert found(impact.scores(df)) == brute_top(whole, lambda a, b: int(a @ b))
+
+
+def test_vectors_of_shared_ids_and_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i % 70, rng.standard_normal(4 if i % 5 else 3).round(2).tolist()) for i in range(200)] + [(50, [1.0, 2.0, 3.0, 4.0])] * 2
+    want1, want3 = Counter(), Counter()
+    for a, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            others = [(j, w) for b, (j, w) in enumerate(rows) if b != a and len(w) == len(v)]
+            near = sorted((-round(float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), 9), j) for j, w in others)[:5]
+            want1.update((i, r, j, -s) for r, (s, j) in enumerate(near, 1))
+            ints = lambda u: np.floor(256 * np.float32(u).astype(float)).astype(int)
+            high = sorted((-int(ints(v) @ ints(w)), j) for j, w in others)[:5]
+            want3.update((i, r, j, -s) for r, (s, j) in enumerate(high, 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter((q, r, v, round(s, 9)) for q, r, v, s in found(permutation.neighbours(df))) == want1
+    assert Counter(found(impact.scores(df.selectExpr("vec_id", "CAST(embedding AS array<float>) AS embedding")))) == want3
+
+
+def test_scores_of_huge_components(spark):
+    rows = [(0, [1e17, 2.0]), (1, [1.0, -1.0]), (2, [3e30, 0.0]), (3, [-1e17, 5.0]), (50, [0.5, 1e4]), (51, [2.0, 1e5])]
+    whole = [(i, [int(256 * x) if abs(x) > 1e15 else int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for i, a in whole:
+        if i % 50 == 0:
+            long = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+            scores = sorted((-long(sum(x * y for x, y in zip(a, b))), j) for j, b in whole if j != i)[:5]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    assert found(impact.scores(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == sorted(want)
+
+
+def test_permutation_recall_over_blocks(spark):
+    """Recall does not hang on the number of blocks or cores."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((30_000, 64)).astype(np.float32)
+    got = {}
+    for r in permutation.neighbours(make_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 30_000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert len(got) == 600 and hits >= 0.93 * 3000
 
 
 def test_permutation_index_of_equal_vectors(spark):
@@ -637,28 +684,26 @@ def test_permutation_index_of_equal_vectors(spark):
     x[0] = x[equal[0]] + 0.05 * x[0]  # its best are the smallest ids of the group
     x[50] = x[equal[0]]
     x[100] = 2 * x[equal[0]]
-    clean, _, count = vectors.cleaned(make_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
     got = {}
-    for r in permutation.nearest(clean, count).orderBy("query_id", "rank").collect():
+    for r in permutation.neighbours(make_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     group = [i for i in range(9000) if np.array_equal(x[i], x[50])]
     assert [i for i, _ in got[0]] == [i for i in group if i != 0][:5] and len({s for _, s in got[0]}) == 1
     hits = total = 0
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    for q, found in got.items():
+    for q, some in got.items():
         scores = np.round(u @ u[q], 12)
         scores[q] = -2
         right = np.lexsort((np.arange(9000), -scores))[:5].tolist()
-        hits, total = hits + len({i for i, _ in found} & set(right)), total + 5
+        hits, total = hits + len({i for i, _ in some} & set(right)), total + 5
     assert total == 900 and hits >= 0.95 * total
 
 
 def test_vector_searches_of_nothing(spark):
-    df = make_vectors(spark, [(1, None), (50, [0.0, 0.0])])
-    clean, _, n = vectors.cleaned(df)
-    assert n == 0 and permutation.nearest(clean, n).count() == 0
-    clean, _, n = vectors.cleaned(make_vectors(spark, []), zero=True)
-    assert n == 0 and impact.top_scores(clean, n).count() == 0
+    for df in (make_vectors(spark, [(1, None), (50, [0.0, 0.0])]), make_vectors(spark, [])):
+        assert permutation.neighbours(df).count() == 0
+    assert impact.scores(make_vectors(spark, [])).count() == 0
+    assert found(impact.scores(make_vectors(spark, [(50, [0.0, 0.0]), (51, [0.0, 0.0])]))) == [(50, 1, 51, 0)]
 
 
 def test_impact_bounds_prove():
