@@ -1,12 +1,13 @@
-"""What the operators of this subpackage share: tables, lineage cuts, word rules."""
+"""What the operators of this subpackage share: tables, word rules, and the lineage cut (saved) of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.shared import saved
+
+__all__ = ["WORD", "in_parts", "n_words", "saved", "table"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,34 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="ragframe-checkpoint-")
-        sc.setCheckpointDir(at)
-    return at
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage is cut, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column | str) -> Column:
     """Number of words of a text, null counting as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def crc_of_id(doc_id: Column | str) -> Column:
-    """crc32 of the id as text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary"))
-
-
 def in_parts(df: DataFrame, least: int = 0) -> DataFrame:
     """df over at least so many partitions (the cluster's cores by default), for Python work on few, large files."""
     n = max(least, df.sparkSession.sparkContext.defaultParallelism)

@@ -23,9 +23,12 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(links)
     for _ in range(MAX_ROUNDS if state[0] else 0):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # The minima are tables of their own, so that both sides of a join are plain shuffles, whose large parts Spark splits:
+        # the root of a giant component is one key.
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large, "large")
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         links = saved(small, "links")
         if (now := _state(links)) == state:

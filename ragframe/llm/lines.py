@@ -107,7 +107,8 @@ def removed(docs: DataFrame) -> DataFrame:
     named = named.select(*DOC, "s", "e", "m", "ra", "rb")
     named = saved(named.where("ra is not null and rb is not null"), "line-named")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "s")
-    firsts = named.groupBy("m", "ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # A table of its own, so that both sides of the join are plain shuffles, whose large parts Spark splits: an interval is one key.
+    firsts = saved(named.groupBy("m", "ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-firsts")
     later = named.join(firsts, ["m", "ra", "rb"]).where(place > F.col("first")).select(*DOC, "s", "e")
     w = Window.partitionBy(*DOC).orderBy("s", "e")
     parts = later.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1), 1).otherwise(0))

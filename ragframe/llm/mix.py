@@ -19,6 +19,8 @@ from .common import n_words, saved, table
 WEIGHTS, BUDGET, CAP, SEEDS = (3, 1, 2), 1.5, 2, 32
 #: Per-source tables of up to so many rows are broadcast; larger ones join by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Sources that one task numbers.
+RANGE_ROWS = 20_000
 
 
 def draw(id_text: Column, seed: Column | int) -> Column:
@@ -34,19 +36,42 @@ def _id_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes, saved, with rank, the place of the source by code point, null last. Ranges of sources are numbered apart, so that no task holds them all."""
+    parts = max(1, -(-sizes.count() // RANGE_ROWS))
+    order = F.col("source").asc_nulls_last()
+    dealt = saved(sizes.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id()), "mix-ranges")
+    counts, offsets, at = {r["__p"]: r["count"] for r in dealt.groupBy("__p").count().collect()}, [], 0
+    for p in sorted(counts):
+        offsets.append((p, at))
+        at += counts[p]
+    first = sizes.sparkSession.createDataFrame(offsets, "__p int, __o long")
+    nth = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    return saved(dealt.withColumn("__n", nth).join(F.broadcast(first), "__p").select(*sizes.columns, (F.col("__o") + F.col("__n") - 1).alias("rank")), "mix-ranked")
+
+
+def _level(weighed: DataFrame) -> float | None:
+    """What a weight of one gets: sources whose cap is below their share are taken out at their caps until none is."""
+    cap, level = F.lit(CAP) * F.col("source_size"), None
+    budget = weighed.agg(F.sum("source_size").alias("n")).first()["n"]
+    while budget is not None:
+        over = F.lit(False) if level is None else F.lit(level) * F.col("weight") > cap
+        r = weighed.agg(F.sum(F.when(over, cap)).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("free")).first()
+        if not r["free"]:
+            return level
+        now = (BUDGET * budget - (r["capped"] or 0)) / r["free"]
+        if level is not None and now <= level:
+            return level
+        level = now
+    return level
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size -> with rank, weight, target and rate. One row per source, so the windows see few rows."""
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("double"))
-    by_ratio = Window.orderBy((F.lit(CAP) * F.col("source_size") / F.col("weight")), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    # With the sources before this one at their caps, the rest share what is left; the largest such level is the true one.
-    level = (F.lit(BUDGET) * F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(CAP) * F.col("source_size")).over(by_ratio), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0))
-    )
-    out = ranked.withColumn("__l", level).withColumn("__level", F.max("__l").over(everything))
-    out = out.withColumn("target", F.least(F.lit(float(CAP)) * F.col("source_size"), F.col("__level") * F.col("weight")))
+    """source, source_size -> with target and rate."""
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    weighed = _ranked(saved(sizes, "mix-sources")).withColumn("weight", weight)
+    level = _level(weighed)
+    out = weighed.withColumn("target", F.least(F.lit(float(CAP)) * F.col("source_size"), F.lit(level if level is not None else 0.0) * F.col("weight")))
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(float(CAP)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0)))
     return out.select("source", "source_size", "target", "rate")
 

@@ -130,6 +130,17 @@ def test_mixing(spark, odd, empty):
     assert mix.mixed(empty).count() == 0
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mix, "RANGE_ROWS", 7)
+    rng = random.Random(4)
+    sizes = {f"s{i}\U0001f600"[: rng.randint(2, 5)] + str(i): int(rng.paretovariate(0.5)) % 100_000 for i in range(60)} | {None: 70, "": 5, "\ue000": 9, "zero": 0}
+    got = {r["source"]: r["target"] for r in mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = brute_targets(sizes)
+    assert got == {s: pytest.approx(want[s]) for s in sizes} and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert {r["target"] for r in mix.targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size long")).collect()} == {0.0}
+    assert mix.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
 # simhash
 
 
