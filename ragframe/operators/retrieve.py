@@ -61,7 +61,7 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     if len(first) <= BROADCAST_QUESTIONS:
-        asked = chunks.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in first], np.int64), unit(np.array([r["embedding"] for r in first], np.float64).reshape(len(first), -1))))
+        asked = chunks.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in first], np.int64), unit(np.array([r["embedding"] for r in first], np.float64).reshape(len(first), len(first[0]["embedding"]) if first else 0))))
 
         def run(batches: Iterator[pd.DataFrame]):
             qids, q = asked.value
