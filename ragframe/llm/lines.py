@@ -10,8 +10,9 @@ suffixes of the same rank whose following 2**k lines rank lower. Equal ranks are
 whose longest common prefix is 2**k lines or more; suffixes alone in their interval drop out. From every line the
 shortest run that reaches MIN_WORDS is taken, forwards and backwards: these runs cover exactly what all longer repeated
 runs cover. A run of m lines is named by m and the ranks of its first and last 2**k lines (2**k <= m < 2**(k+1)), which
-is its interval at depth m; all but the interval's first member are later copies. Doubling ends at the longest such
-run's length, or as soon as no interval is left.
+is its interval at depth m; all but the interval's first member are later copies. Copies that go on at one distance from
+their first are one maximal run (`repeats`), whose length is the longest common prefix of the two suffixes. Doubling
+ends at the longest shortest run's length, or as soon as no interval is left.
 
 Ranks come from pre-aggregated counts of distinct (rank, following rank) pairs with two-level running sums, so that no
 task sorts the whole, and a line that is a third of all counts as one row there.
@@ -84,8 +85,12 @@ def _runs(at: DataFrame) -> DataFrame:
     return ahead.unionByName(behind).distinct()
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """id, th, gaps: for documents that lose lines, the (s, e) stretches that go, apart from each other and in order."""
+def repeats(docs: DataFrame) -> DataFrame:
+    """id, th, s, e, lcp, first: the maximal runs (lines s to e, lcp of them) that an earlier copy has from `first` (z, id, th, s) on.
+
+    Shortest runs that overlap or touch and lie at one distance from their first copies are one longer run: as far as they
+    go on, so far the two suffixes have the same lines.
+    """
     at, total = _positions(docs)
     runs = saved(_runs(at).withColumn("m", F.col("e") - F.col("s") + 1), "line-runs")
     longest = runs.agg(F.max("m")).first()[0] or 1
@@ -109,9 +114,21 @@ def removed(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "s")
     # A table of its own, so that both sides of the join are plain shuffles, whose large parts Spark splits: an interval is one key.
     firsts = saved(named.groupBy("m", "ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-firsts")
-    later = named.join(firsts, ["m", "ra", "rb"]).where(place > F.col("first")).select(*DOC, "s", "e")
+    later = named.join(firsts, ["m", "ra", "rb"]).where(place > F.col("first"))
+    later = later.select(*DOC, "s", "e", F.col("first.z").alias("z"), F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), (F.col("s") - F.col("first.s")).alias("apart"))
+    diagonal = [*DOC, "z", "first_id", "first_th", "apart"]
+    w = Window.partitionBy(*diagonal).orderBy("s", "e")
+    runs = later.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("nth", F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1), 1).otherwise(0)).over(w))
+    runs = runs.groupBy(*diagonal, "nth").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    first = F.struct("z", F.col("first_id").alias("id"), F.col("first_th").alias("th"), (F.col("s") - F.col("apart")).alias("s"))
+    return runs.select(*DOC, "s", "e", (F.col("e") - F.col("s") + 1).alias("lcp"), first.alias("first"))
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """id, th, gaps: for documents that lose lines, the (s, e) stretches that go, apart from each other and in order."""
     w = Window.partitionBy(*DOC).orderBy("s", "e")
-    parts = later.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1), 1).otherwise(0))
+    parts = repeats(docs).withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1), 1).otherwise(0))
     parts = parts.withColumn("gap", F.sum("new").over(w)).groupBy(*DOC, "gap").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     return parts.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gaps"))
 

@@ -262,6 +262,23 @@ def test_line_dedup(spark, odd, empty):
     assert lines.deduped(empty).count() == 0 == lines.cut(empty).count()
 
 
+def test_repeats_are_maximal_runs(spark):
+    import hashlib
+
+    rng = random.Random(14)
+    pool = [text(rng, rng.choice([2, 20, 30, 51])) for _ in range(9)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.85 else text(rng, 9) for _ in range(rng.randint(2, 14))), "en", "s") for i in range(50)]
+    split = {(i, hashlib.md5(t.encode()).hexdigest()): t.split("\n") for i, t, _, _ in rows}
+    size = lambda ls: sum(len(words(x)) for x in ls)
+    got = lines.repeats(make(spark, rows)).collect()
+    for r in got:
+        own, first = split[r["id"], r["th"]], split[r["first"]["id"], r["first"]["th"]]
+        at = r["first"]["s"]
+        assert own[r["s"] : r["e"] + 1] == first[at : at + r["lcp"]] and size(own[r["s"] : r["e"] + 1]) >= lines.MIN_WORDS
+        assert (r["first"]["id"], r["first"]["th"], at) < (r["id"], r["th"], r["s"])
+    assert len(got) > 20 and len({(r["id"], r["s"], r["e"], r["first"]) for r in got}) == len(got)
+
+
 # language
 
 
