@@ -9,8 +9,14 @@ All but the last return the columns of documents:
 - mix_sources emits each document as often as its source's rate says.
 - pack returns one row for each piece of a document, with its place in a sequence.
 
-An empty table gives an empty result. DuckDB has neither the hashes nor the tokenizer of these stages, so the pipeline
-is tested against brute force.
+The order is given. Line dedup comes first, so of a near copy it leaves the lines that differ; what is left is no near copy
+of anything, and stays.
+
+Defined cases: an empty table gives an empty result; a null text or one without a letter goes in the first stage; a null id
+is an id like any other, last in order, and rows without one are told apart by their texts; rows that agree in id and text
+are cut alike, and one of them stays; the smaller id, then the smaller text hash, decides ties; columns beyond those of
+documents pass through all stages but the last, whatever their names.
+DuckDB has neither the hashes nor the tokenizer of these stages, so the pipeline is tested against brute force.
 """
 
 from __future__ import annotations
@@ -20,8 +26,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ragframe.llm import langid, lines, mix, pack, simhash
 from ragframe.llm.common import saved
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.predicted(docs, docs.columns, ("__lang", "__score")).where(F.col("__lang") != langid.UND)
