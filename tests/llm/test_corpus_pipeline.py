@@ -33,6 +33,26 @@ def test_stages(spark, tmp_path):
     assert Counter(r["doc_id"] for r in last if r["piece"] == 0) == Counter(r["doc_id"] for r in fourth.collect())
 
 
+def test_stages_with_null_ids_and_repeats(spark):
+    import random
+
+    rng = random.Random(15)
+    own = [text(rng, 70) for _ in range(6)]
+    rows = [(None, own[0], None, None), (None, own[1], "en", "s0"), (None, own[1], "en", "s0"), (3, own[2], "en", None), (3, own[3], "fr", "s1"), (3, own[3], "fr", "s1"), (4, own[3], "fr", "s1"), (5, None, None, "s1"), (None, None, None, None), (6, own[4] * 40, "en", "s0")]
+    docs = make(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "").cache()
+        if name in ("language_id", "line_dedup", "near_dedup"):
+            got = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+            kept = {(None, own[0]): 1, (None, own[1]): 2, (3, own[2]): 1, (3, own[3]): 2, (6, own[4] * 40): 1}
+            if name == "language_id":
+                kept[4, own[3]] = 1
+            elif name == "near_dedup":
+                kept = dict.fromkeys(kept, 1)
+            assert got == kept, name
+    assert docs.count() > 0 and docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_run_on_small_and_empty_tables(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
