@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from .common import n_words, saved, table
 
 MIN_WORDS = 50
-#: Groups for two-level running sums.
-BUCKETS = 4096
+#: Groups for two-level running sums at most, and ranks of one.
+BUCKETS, BUCKET_ROWS = 4096, 512
 
 DOC = ("id", "th")
 
@@ -65,7 +65,8 @@ def _doubled(at: DataFrame, k: int, total: int) -> DataFrame:
     w = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(step, step)
     pairs = saved(at.withColumn("__next", F.first(now).over(w)), "line-pairs")
     counts = pairs.where(F.col(now).isNotNull() & F.col("__next").isNotNull()).groupBy(now, "__next").agg(F.count("*").alias("n"))
-    bucket = F.floor(F.col("__next") * F.lit(BUCKETS) / F.lit(max(1, total))).cast("long")
+    buckets = max(1, min(BUCKETS, total // BUCKET_ROWS))
+    bucket = F.floor(F.col("__next") * F.lit(buckets) / F.lit(max(1, total))).cast("long")
     ranks = _running(counts, [now], bucket, ["__next"], "n").where("n > 1").select(F.col(now).alias("__a"), F.col("__next").alias("__b"), (F.col(now) + F.col("before")).alias(f"r{k + 1}"))
     out = pairs.join(ranks, (pairs[now] == ranks["__a"]) & (pairs["__next"] == ranks["__b"]), "left").drop("__a", "__b", "__next")
     return saved(out, "line-ranks")
