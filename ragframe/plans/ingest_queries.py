@@ -369,6 +369,17 @@ def text_retrieval(spark, d):
     return retrieve.rerank_topn(retrieve.vector_topk(asked, chunks))
 
 
+_BUCKET = "(('0x' || substr(md5(t), 1, 8))::BIGINT % " + f"{DEFAULT.dim})::INT"
+TEXT_RETRIEVAL = f"""WITH {I.QUESTIONS_SQL}, {CHUNKS},
+c AS (SELECT source AS store, doc_id * 1000000 + chunk_ix AS chunk_id, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT source, doc_id, chunk_ix, unnest({TOKENS.format('chunk')}) AS t FROM chunked) GROUP BY ALL),
+q AS (SELECT qid, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT qid, unnest({TOKENS.format('query')}) AS t FROM questions) GROUP BY ALL),
+cn AS (SELECT store, chunk_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL), qn AS (SELECT qid, sqrt(sum(n * n)) AS norm FROM q GROUP BY ALL),
+dots AS (SELECT qid, store, chunk_id, sum(q.n * c.n) AS dot FROM q JOIN c USING (bucket) GROUP BY ALL),
+scored AS (SELECT qid, store, chunk_id, round(dot / (qn.norm * cn.norm), 6) AS score FROM dots JOIN qn USING (qid) JOIN cn USING (store, chunk_id)),
+topk AS (SELECT * FROM scored WHERE score >= {DEFAULT.threshold} QUALIFY row_number() OVER (PARTITION BY qid, store ORDER BY score DESC, chunk_id) <= {DEFAULT.k})
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, store, chunk_id)::INT AS rank FROM topk QUALIFY rank <= {DEFAULT.max_references}"""
+
+
 def retrieval_quality(spark, d):
     """Derived, not of the reference: recall at 5 and reciprocal rank of hits that share the question's label."""
     e = I.table(spark, d, "embeddings")
@@ -391,6 +402,6 @@ QUERIES = {
     "capture_anchors": (capture_anchors, CAPTURE_ANCHORS), "include_state": (include_state, INCLUDE_STATE), "split_by_path": (split_by_path, SPLIT_BY_PATH), "concat_ordered": (concat_ordered, CONCAT_ORDERED), "regex_rewrites": (regex_rewrites, REGEX_REWRITES),
     "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, SINGLE), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "split_headers_fenced": (split_headers_fenced, None), "chunk_boundary": (chunk_boundary, None), "embed": (embed, EMBED),
     "embed_vectors": (embed_vectors, EMBED_VECTORS), "normalize_model_name": (normalize_model_name, NORMALIZE), "vector_topk": (vector_topk, VECTOR_TOPK), "union_stores": (union_stores, UNION), "rerank_topn": (rerank_topn, RERANK_TOPN), "rank_number": (rank_number, RANK_NUMBER),
-    "upsert_reference": (upsert_reference, UPSERT), "adapt_k": (adapt_k, ADAPT), "header_fields": (header_fields, HEADER_FIELDS), "serialize_context": (serialize_context, SERIALIZE), "answer_from_context": (answer_from_context, ANSWER), "text_retrieval": (text_retrieval, None),
+    "upsert_reference": (upsert_reference, UPSERT), "adapt_k": (adapt_k, ADAPT), "header_fields": (header_fields, HEADER_FIELDS), "serialize_context": (serialize_context, SERIALIZE), "answer_from_context": (answer_from_context, ANSWER), "text_retrieval": (text_retrieval, TEXT_RETRIEVAL),
     "retrieval_quality": (retrieval_quality, QUALITY),
 }
