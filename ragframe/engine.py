@@ -53,5 +53,5 @@ class Engine:
         new = saved(out.states.select("conv_id", "reply", "context_summary", "summarised_till"), "engine")
         rest = None if self.summaries is None else self.summaries.join(new.select("conv_id"), "conv_id", "left_anti")
         mine = new.select("conv_id", "context_summary", "summarised_till")
-        self.messages, self.summaries = out.messages, saved(mine if rest is None else mine.unionByName(rest), "engine")
+        self.messages, self.summaries = saved(out.messages, "engine"), saved(mine if rest is None else mine.unionByName(rest), "engine")
         return new.first()["reply"] or "I was unable to answer."

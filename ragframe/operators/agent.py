@@ -154,7 +154,8 @@ def _finished(states: DataFrame, trace: DataFrame, log: DataFrame, refs: DataFra
     nth = Window.partitionBy("conv_id").orderBy("qid", "ord")
     new = log.withColumn("ord", F.row_number().over(nth)).select("conv_id", "ord", "role", "text")
     before = spark.createDataFrame([], "conv_id long, turn long, role string, text string") if messages is None else messages
-    whole = written(memory.append_message(before, new), "agent-messages")
+    more = written(memory.numbered(before, new), "agent-messages")  # the log itself is not written again
+    whole = before.select(*more.columns).unionByName(more)
     kept = spark.createDataFrame([], "conv_id long, context_summary string, summarised_till long") if summaries is None else summaries
     mine = whole.join(states.select("conv_id").distinct(), "conv_id", "left_semi")
     folded = memory.fold_summary(mine, kept, cfg.window)

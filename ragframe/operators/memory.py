@@ -70,12 +70,16 @@ def fold_summary(messages: DataFrame, state: DataFrame, n: int = DEFAULT.window,
     return x.select("conv_id", F.when(F.col("due"), fresh).otherwise(F.coalesce("context_summary", F.lit(""))).alias("context_summary"), F.when(F.col("due"), F.col("__all")).otherwise(F.coalesce("summarised_till", F.lit(0))).cast("long").alias("summarised_till"))
 
 
+def numbered(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """The new messages (conv_id, ord, role, text) with the turns that follow each conversation's last."""
+    last = messages.join(new.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.max("turn").alias("__last"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("ord"))
+    return new.withColumn("__n", nth).join(last, "conv_id", "left").select("conv_id", (F.coalesce("__last", F.lit(-1)) + F.col("__n")).cast("long").alias("turn"), "role", "text")
+
+
 def append_message(messages: DataFrame, new: DataFrame) -> DataFrame:
     """The log with new messages (conv_id, ord, role, text) after each conversation's last turn."""
-    last = messages.groupBy("conv_id").agg(F.max("turn").alias("__last"))
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("ord"))
-    more = new.withColumn("__n", nth).join(last, "conv_id", "left").select("conv_id", (F.coalesce("__last", F.lit(-1)) + F.col("__n")).cast("long").alias("turn"), "role", "text")
-    return messages.select("conv_id", "turn", "role", "text").unionByName(more)
+    return messages.select("conv_id", "turn", "role", "text").unionByName(numbered(messages, new))
 
 
 def reset_turn_state(state: DataFrame) -> DataFrame:
