@@ -24,14 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import in_parts, table
+from .common import in_parts, parts_of, table
 
-TRAIN_CHARS, TOTAL_CHARS, BUCKETS, LANGUAGES, SEGMENT = 48_000, 480_000, 256, 400, 2048
+TRAIN_CHARS, TOTAL_CHARS, BUCKETS, LANGUAGES, SEGMENT = 48_000, 480_000, 256, 400, 512
 #: Characters of a document that go into its language's sample, and letters of a language whose transitions stand in a
 #: table; those of its other letters stand in a sorted list.
 SLICE, LETTERS = 1024, 60
-#: Symbols parsed at once.
-BATCH = 1 << 21
 UND = "und"
 
 
@@ -108,11 +106,12 @@ class Automaton:
                 else:
                     self.table[s, column[c]] = t
         more.sort()
+        self.flat, self.wide = self.table.ravel(), np.int32(self.columns)
         self.keys, self.to = np.array([k for k, _ in more], np.int64), np.array([t for _, t in more], np.int32)
 
     def step(self, state: np.ndarray, symbol: np.ndarray, rare: bool) -> tuple[np.ndarray, np.ndarray]:
         """The states after a symbol each, and whether a new phrase began. rare: whether the text has symbols outside the table."""
-        to = self.table.ravel()[state * np.int32(self.columns) + self.column[symbol]]
+        to = self.flat[state * self.wide + self.column[symbol]]
         if rare and len(some := np.flatnonzero(self.rare[symbol])):
             to[some] = self.listed(state[some], symbol[some])
         miss = to == 0
@@ -184,39 +183,34 @@ class Model:
             while len(lanes):
                 own, fresh, changed, t = state[before[lanes]], np.zeros(len(lanes), np.int32), [], 0
                 more[lanes] = 0
-                while len(lanes):
+                while len(lanes):  # some ten symbols, as a rule
                     c = flat[start[lanes] + t]
                     (own, miss), (fresh, other) = a.step(own, c, rare), a.step(fresh, c, rare)
                     more[lanes] += miss.astype(np.int64) - other
+                    apart = own != fresh
                     t += 1
-                    left = (own != fresh) & (size[lanes] > t)
-                    end = np.where(own == fresh, alone[lanes], own)
-                    if (late := ~left & (end != state[lanes])).any():  # the next segment begins elsewhere than thought
-                        state[lanes[late]] = end[late]
-                        changed.append(after[lanes[late]])
-                    lanes, own, fresh = lanes[left], own[left], fresh[left]
+                    left = apart & (size[lanes] > t)
+                    if not left.all():
+                        end = np.where(apart, own, alone[lanes])
+                        if (late := ~left & (end != state[lanes])).any():  # the next segment begins elsewhere than thought
+                            state[lanes[late]] = end[late]
+                            changed.append(after[lanes[late]])
+                        lanes, own, fresh = lanes[left], own[left], fresh[left]
                 lanes = np.concatenate(changed) if changed else lanes
                 lanes = lanes[lanes >= 0]
             np.add.at(out[:, k], owner, count + more)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        points = [folded(t) for t in texts]
         names, scores = [UND] * len(texts), np.zeros(len(texts))
-        at = 0
-        while at < len(points) and self.langs:
-            end, total = at, 0
-            while end < len(points) and (end == at or total + len(points[end]) <= BATCH):
-                total += len(points[end])
-                end += 1
-            part = [self.encode(p) for p in points[at:end]]
+        part = [self.encode(folded(t)) for t in texts]
+        if any(map(len, part)) and self.langs:
             bits = self.phrases(part) * self.bits
             best = bits.argmin(axis=1)
             share = 1.0 / np.exp2(np.minimum(0, bits[np.arange(len(part)), best][:, None] - bits)).sum(axis=1)
             for i, p in enumerate(part):
                 if len(p):
-                    names[at + i], scores[at + i] = self.langs[best[i]], share[i]
-            at = end
+                    names[i], scores[i] = self.langs[best[i]], share[i]
         return names, scores
 
 
@@ -259,7 +253,12 @@ def predicted(docs: DataFrame, keep: list[str], names: tuple[str, str] = ("lang_
     def run(batches):
         m = model.value
         for b in batches:
-            langs, scores = m.predict(b.column(0).to_pylist())
+            langs, scores = [], []
+            for at, end in parts_of(b.column(0)):
+                more, shares = m.predict(b.column(0).slice(at, end - at).to_pylist())
+                langs += more
+                scores.append(shares)
+            scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)

@@ -135,7 +135,7 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[dict[bytes, int],
     def run(batches):
         total, df = 0, defaultdict(int)
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in (x.as_py() for x in b.column(0)):
                 total += 1
                 for w in vocabulary.intersection(words(t)):
                     df[w] += 1
@@ -166,7 +166,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         x = index.value
         for b in batches:
-            cols = list(zip(*[one(x, t) for t in b.column(1).to_pylist()])) or [[]] * 7
+            cols = list(zip(*[one(x, t.as_py()) for t in b.column(1)])) or [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 

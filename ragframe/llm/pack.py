@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_parts, saved, table
+from .common import in_parts, parts_of, saved, table
 
 LENGTH, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 40, 4, 11
@@ -36,8 +36,8 @@ CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 40, 4, 11
 INJECTED, DISSOLVED = 0.5, 0.04
 #: Sequences filled less than this are packed once more, together with those of other cells.
 WELL_FILLED = 0.97
-#: Distinct words whose ids a worker remembers in each of two halves, and texts that it encodes together.
-CACHE, TEXTS = 400_000, 500
+#: Distinct words whose ids a worker remembers in each of two halves.
+CACHE = 200_000
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -137,7 +137,7 @@ class Encoder:
             known[w] = ids[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. A few hundred texts at a time: their unknown words are encoded together."""
+        """Ids of each text. Some megabytes of texts at a time: their unknown words are encoded together."""
         if len(self.known) > CACHE:  # what is still in use comes back from the older half
             self.known, self.older = {}, self.known
         texts = [t or "" for t in texts]
@@ -168,9 +168,8 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, length: int = LENGTH) -> Dat
         enc, end = encoder(vocabulary_path(name)), np.array([END], "<u4").tobytes()
         for b in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            texts = b.column(1).to_pylist()
-            for first in range(0, len(texts), TEXTS):
-                for i, ids in enumerate(enc.encode(texts[first : first + TEXTS]), first):
+            for first, last in parts_of(b.column(1)):
+                for i, ids in enumerate(enc.encode(b.column(1).slice(first, last - first).to_pylist()), first):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]

@@ -489,7 +489,7 @@ def test_words_of_batches():
     distinct = w.distinct.to_pylist()
     assert [distinct[c] for c in w.codes] == [x for t in texts for x in lm.words(t)] and w.count.tolist() == [len(lm.words(t)) for t in texts]
     assert [w.low[a:b].tobytes() for a, b in zip(w.begins, w.ends)] == [distinct[c] for c in w.codes]
-    assert len(lm.Words(pa.array([], pa.binary())).codes) == 0 and list(lm.parts_of(pa.array([], pa.binary()))) == []
+    assert len(lm.Words(pa.array([], pa.binary())).codes) == 0 and list(common.parts_of(pa.array([], pa.binary()))) == []
     ids, sizes = lm.subwords().encode(distinct)
     for x, part in zip(distinct, np.split(ids, np.cumsum(sizes)[:-1])):
         assert part.tolist() == lm.subwords().pieces.encode_ordinary(" " + x.decode("utf-8", "replace"))
