@@ -543,6 +543,13 @@ def test_score_beats_the_base_and_tells_copies(spark, sf_dir):
     assert known and np.mean([g > 0.05 for g in gains]) >= 0.7, gains
 
 
+def test_memory_of_short_documents():
+    for n in range(12):
+        docs = [np.arange(n), np.arange(0)]
+        assert lm.remembered(docs, np.zeros(n + 2), np.array([0, n + 1]))[1] == ([], [], [])
+        assert [len(x) for x in lm.remembered([np.arange(n)], np.zeros(n + 1), np.array([0]))[0]] in ([0] * 3, [1] * 3)
+
+
 def test_weights_of_shards_are_averaged(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 4)
     monkeypatch.setattr(lm, "FAN", 2)
