@@ -260,6 +260,7 @@ def predicted(docs: DataFrame, keep: list[str], names: tuple[str, str] = ("lang_
                 scores.append(shares)
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
+        pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
     return src.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

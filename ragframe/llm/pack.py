@@ -36,8 +36,8 @@ CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 40, 4, 11
 INJECTED, DISSOLVED = 0.5, 0.04
 #: Sequences filled less than this are packed once more, together with those of other cells.
 WELL_FILLED = 0.97
-#: Distinct words whose ids a worker remembers in each of two halves.
-CACHE = 200_000
+#: Words whose ids a worker remembers: those that two parts of a batch in a row had.
+CACHE = 150_000
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -71,7 +71,7 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.recent = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         model, (split, _) = rules["model"], rules["pre_tokenizer"]["pretokenizers"]
@@ -112,18 +112,18 @@ class Encoder:
             return [w for w in words if "<|" in w or not odd.isdisjoint(w)]
         return []
 
-    def learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        if older:
-            for w in older.keys() & words:
-                known[w] = older[w]
-        new = list(words.difference(known))
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words that are not remembered, which are known from now on; those that the last texts had too are remembered."""
+        known, recent = self.known, self.recent
+        for w in recent.keys() & words:
+            known[w] = recent[w]
+        new, fresh = list(words.difference(known)), {}
         if odd := self._odd(new):
             for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            new = [w for w in new if w not in known]
+                fresh[w] = np.array(e.ids, "<u4").tobytes()
+            new = [w for w in new if w not in fresh]
         if not new:
-            return
+            return fresh
         mark, gap = self._MARK, self._GAP
         low = unicodedata.normalize("NFC", gap.join(new)).lower().split(gap)
         alone = [w.isalpha() for w in low]  # one letter run
@@ -134,18 +134,24 @@ class Encoder:
         gaps = 4 * np.flatnonzero(found == self.gap)
         ids = self.ids_of[found].tobytes()
         for w, a, b in zip(new, [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(ids)]):
-            known[w] = ids[a:b]
+            fresh[w] = ids[a:b]
+        return fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text. Some megabytes of texts at a time: their unknown words are encoded together."""
-        if len(self.known) > CACHE:  # what is still in use comes back from the older half
-            self.known, self.older = {}, self.known
         texts = [t or "" for t in texts]
         odd = [any(c in t for c in self._ODD) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
+        if len(self.known) > CACHE:
+            self.known = {}
         known = self.known
-        self.learn(set().union(*split).difference(known))
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(known.__getitem__, ws)) for t, o, ws in zip(texts, odd, split)]
+        fresh = self.learn(set().union(*split).difference(known))
+        known.update(fresh)
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(known.__getitem__, ws)) for t, o, ws in zip(texts, odd, split)]
+        for w in fresh:
+            del known[w]
+        self.recent = fresh
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.encode([text])[0]
@@ -179,6 +185,7 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, length: int = LENGTH) -> Dat
                         size.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, size, crc)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     src = in_parts(docs.select("doc_id", "text"))
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
