@@ -16,6 +16,9 @@ MODULES = {
     "op8_sharding": "shard",
     "op9_simhash": "simhash",
     "op10_license_scan": "license",
+    "op11_vector_codes": "codebooks",
+    "op12_spelling_groups": "spelling",
+    "op13_token_counts": "counts",
 }
 
 
