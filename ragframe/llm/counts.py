@@ -140,7 +140,9 @@ def token_counts(docs: DataFrame, cache: str, name: str = VOCABULARY, limit: int
         texts = in_parts(docs.select(content, text.alias("text"))).dropDuplicates(["content"])  # one copy leaves each task
         new = counted(texts.join(missing, "content", "left_semi"), name)
         new.select(F.lit(tokenizer).alias("tokenizer"), "content", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
-    out = rows.join(cached(spark, cache, tokenizer), "content")
+    # Saved, so that a content of many documents is split where it meets its count.
+    counts = saved(rows.select("content").distinct().join(cached(spark, cache, tokenizer), "content"), "token-counts")
+    out = rows.join(counts, "content")
     return out.select("doc_id", "content", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
