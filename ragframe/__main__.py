@@ -8,6 +8,8 @@ from dataclasses import replace
 
 from .config import Config
 from .engine import Engine, session
+from .operators import route
+from .sources import shared
 
 
 def main(args: list[str] | None = None, read: Callable[[str], str] = input, write: Callable[[str], None] = print) -> None:
@@ -19,8 +21,11 @@ def main(args: list[str] | None = None, read: Callable[[str], str] = input, writ
     p.add_argument("--regen-vector-stores", action="store_true")
     p.add_argument("--sources", help="folder of stores, each a folder of markdown files")
     p.add_argument("--store", required=True, help="where the chunks are kept")
+    p.add_argument("--graph", action="store_true", help="print the control graph as mermaid text and end")
     p.add_argument("--serve", type=int, metavar="PORT", help="answer POST /query?query=... instead")
     a = p.parse_args(args)
+    if a.graph:
+        return write(route.mermaid())
     engine = Engine(session(), a.store, replace(cfg, chat_model=a.chat_model, embedding_model=a.embedding_model))
     if a.sources:
         engine.load(a.sources, a.regen_vector_stores)
@@ -38,3 +43,4 @@ def main(args: list[str] | None = None, read: Callable[[str], str] = input, writ
 
 if __name__ == "__main__":
     main()
+    shared.clear(session())

@@ -30,7 +30,9 @@ class Config:
     grader_temperature: float = 0.0
     probe_timeout: int = 30
     probe_tries: int = 3
+    answer_tries: int = 3  # calls for one answer until it can be read
     chat_model: str = "rule:offline"
+    model_nodes: str = ""  # nodes that ask the chat model, by comma; all, if empty
     embedding_model: str = "hash:offline"
     code_route: bool = False  # whether code questions take the code branch
 

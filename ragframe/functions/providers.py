@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import queue
 import threading
 import time
@@ -27,16 +28,19 @@ def register_embedder(prefix: str, factory) -> None:
     _EMBEDDERS[prefix] = factory
 
 
-def _made(kind: dict, name: str):
+def _made(kind: dict, name: str, **settings):
+    """What the provider makes; of the settings it gets those that it knows."""
     prefix, _, rest = name.partition(":")
     if prefix.lower() not in kind:
         raise ValueError(f"no provider is registered for {name!r}; known: {sorted(kind)}")
-    return kind[prefix.lower()](rest)
+    factory = kind[prefix.lower()]
+    known = inspect.signature(factory).parameters
+    return factory(rest, **{k: v for k, v in settings.items() if k in known})
 
 
-def setup_llm(name: str) -> Chat:
-    """The chat model of a name `provider:model`."""
-    return _made(_CHATS, name)
+def setup_llm(name: str, **settings) -> Chat:
+    """The chat model of a name `provider:model`. settings: temperature, for providers that take it."""
+    return _made(_CHATS, name, **settings)
 
 
 def setup_embedding(name: str):

@@ -1,49 +1,24 @@
 """The question loop: all unfinished questions go round by round through retrieve, generate, grade and route.
 
 A round is one DataFrame program over all unfinished questions; rounds are bounded, and each is written to the shared
-folder, so that lineage stays short and a lost executor costs its tasks only.
+folder, so that lineage stays short and a lost executor costs its tasks only. What decides or writes is a set of nodes
+(operators.nodes): offline rules, or a chat model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..config import DEFAULT, Config
-from ..functions import providers
 from ..functions.text import default_if_null
 from ..sources.shared import saved as written
 from . import code, memory, retrieve, route
 from .ingest import embedder
+from .nodes import EVALUATION, GRADES, Rules, configured
 
-#: (question, context) columns -> answer column.
-Generate = Callable[[Column, Column], Column]
-Grade = Callable[[Column, Column, Column], Column]
-GRADES = ("confidence", "coverage", "relevance", "groundedness", "coherence", "conciseness")
-EVALUATION = f"struct<{', '.join(f'{x}: double' for x in GRADES)}, next_step: string, summary: string>"
-
-
-def extractive(question: Column, context: Column) -> Column:
-    """The best hit's text."""
-    return F.coalesce(context, F.lit(""))
-
-
-def chat_generator(chat: Callable[[pd.Series], pd.Series]) -> Generate:
-    """A chat model as generator: one Arrow batch of prompts a call."""
-
-    @F.pandas_udf("string")
-    def ask_model(prompts: pd.Series) -> pd.Series:
-        return chat(prompts)
-
-    return lambda q, c: ask_model(F.concat_ws("\n\n", F.concat(F.lit("Question: "), q), F.lit("Context:"), c))
-
-
-def generator(cfg: Config) -> Generate:
-    """What the configured chat model answers with; the offline rule model extracts."""
-    return extractive if cfg.chat_model == DEFAULT.chat_model else chat_generator(providers.setup_llm(cfg.chat_model))
+__all__ = ["EVALUATION", "GRADES", "Conversation", "agent_loop", "answer_from_context", "ask", "converse", "rank_number"]
 
 
 class Conversation(NamedTuple):
@@ -51,6 +26,8 @@ class Conversation(NamedTuple):
     trace: DataFrame  # qid, round, node
     messages: DataFrame  # conv_id, turn, role, text: the log with what this turn added
     references: DataFrame  # qid, query_seq, retrieval_query, rank, store, chunk_id, score, fields, text
+    added: DataFrame  # conv_id, turn, role, text: what this turn added
+    updates: DataFrame  # qid, conv_id, seq, node, update (JSON): what each node set, in order
 
 
 def _documents(chunks: DataFrame) -> DataFrame:
@@ -59,10 +36,10 @@ def _documents(chunks: DataFrame) -> DataFrame:
     return chunks.select("store", "chunk_id", (retrieve.header_fields(*heads) if heads else F.lit("")).alias("fields"), "text")
 
 
-def _upserted(refs: DataFrame | None, asked: DataFrame, best: DataFrame, chunks: DataFrame, i: int) -> DataFrame:
+def _upserted(refs: DataFrame | None, asked: DataFrame, best: DataFrame, i: int) -> DataFrame:
     """References of the questions in work: those of this round's retrieval queries anew, at their first place; a query without hits has one row without rank."""
     mine = asked.select("qid", "retrieval_query")
-    new = mine.join(best.join(_documents(chunks), ["store", "chunk_id"]), "qid", "left")
+    new = mine.join(best, "qid", "left")
     columns = ["qid", "query_seq", "retrieval_query", "rank", "store", "chunk_id", "score", "fields", "text"]
     if refs is None:
         return new.withColumn("query_seq", F.lit(i)).select(*columns)
@@ -72,83 +49,85 @@ def _upserted(refs: DataFrame | None, asked: DataFrame, best: DataFrame, chunks:
     return old.select(*columns).unionByName(new.select(*columns))
 
 
-def converse(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, generate: Generate | None = None, grade: Grade = route.grade_answer, messages: DataFrame | None = None, summaries: DataFrame | None = None) -> Conversation:
+def converse(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, nodes: Rules | None = None, messages: DataFrame | None = None, summaries: DataFrame | None = None) -> Conversation:
     """questions (qid, query, and conv_id if it is not qid), chunks (store, chunk_id, text, embedding, perhaps h1..h4) and the
     conversations so far (messages: conv_id, turn, role, text; summaries: conv_id, context_summary, summarised_till).
 
     Every question ends in a terminal node after at most max_rounds, and its conversation is then summarised if that is due.
-    Hits are retrieved at k_max once for each retrieval query; rounds that only widen k filter them by rank. The log gets the
-    question, each retrieval query, each draft and the fixed replies but the call for another wording.
+    Hits are retrieved with their texts at k_max, once for each retrieval query; rounds that only widen k filter them by rank.
+    The log gets the question, each retrieval query, each draft and the fixed replies but the call for another wording.
+    nodes: what decides and writes; by default as configured.
     """
-    generate, embed = generate or generator(cfg), embedder(cfg)
+    nodes, embed = nodes or configured(questions.sparkSession, cfg), embedder(cfg)
     conv = F.col("conv_id" if "conv_id" in questions.columns else "qid")
-    typed = questions.select("qid", conv.cast("long").alias("conv_id"), "query", route.classify_query(F.col("query"), cfg.domain).alias("query_type"))
-    node = route.route(F.col("query_type"), "classify")
-    typed = typed.withColumn("node", F.when(F.lit(cfg.code_route) & (F.col("query_type") == "domain_code_generation"), "return_code").otherwise(node))
-    reply = F.when(F.col("node") == "not_available", route.not_available()).when(F.col("node") == "answer_general", route.answer_general(F.col("query"))).otherwise("")
-    start = typed.withColumns({"k": F.lit(cfg.k), "modify": F.lit(False), "rounds": F.lit(0), "retrieval_query": F.lit(""), "draft": F.lit(""), "e": F.lit(None).cast(EVALUATION), "reply": reply})
-    states = written(start, "agent")
+    given = questions.select("qid", conv.cast("long").alias("conv_id"), "query")
+    given = given.withColumn("recalled", F.lit("")) if messages is None else given.join(_recalled(given, messages, summaries, cfg), "qid", "left").withColumn("recalled", F.coalesce("recalled", F.lit("")))
+    node = F.when(F.lit(cfg.code_route) & (F.col("query_type") == "domain_code_generation"), "return_code").otherwise(route.route(F.col("query_type"), "classify"))
+    fresh = {"k": F.lit(cfg.k), "modify": F.lit(False), "rounds": F.lit(0), "retrieval_query": F.lit(""), "draft": F.lit(""), "e": F.lit(None).cast(EVALUATION), "reply": F.when(F.col("node") == "not_available", route.not_available()).otherwise("")}
+    start = nodes.classify(given).withColumn("node", node).withColumns(fresh)
+    general = nodes.general(start.where("node = 'answer_general'").drop("reply")).select(*start.columns)
+    states = written(start.where("node <> 'answer_general'").unionByName(general), "agent")
     if cfg.code_route:
-        coded = code.write_code(states.where("node = 'return_code'").select("qid", "query"), cfg)[0]
+        coded = code.write_code(states.where("node = 'return_code'").select("qid", "query"), cfg, nodes=nodes)[0]
         states = written(states.drop("reply").join(states.select("qid", "reply").join(coded, "qid", "left").select("qid", F.coalesce("code", "reply").alias("reply")), "qid"), "agent")
-    ended_at_once = F.col("node") != "rewrite"
     said = lambda df, at, role, text: df.select("qid", "conv_id", F.lit(at).alias("ord"), F.lit(role).alias("role"), text.alias("text"))
     log = [said(states, 0, memory.HUMAN, F.col("query")), said(states.where(F.col("node").isin("not_available", "answer_general")), 1, memory.AI, F.col("reply"))]
     trace = [states.select("qid", F.lit(0).alias("round"), "node")]
-    done, open_ = [states.where(ended_at_once)], states.where("node = 'rewrite'")
-    recalled = None if messages is None else _recalled(states, messages, summaries, cfg)
+    updates = [_update(states, 0, "init", "k", "modify"), _update(states, 1, "classify", "query", "query_type"), _update(states.where("node <> 'rewrite'"), 2, F.col("node"), "reply")]
+    done, open_ = [states.where("node <> 'rewrite'")], states.where("node = 'rewrite'")
     hits = refs = None
     references = []
     for i in range(1, cfg.max_rounds + 1):
-        # A question that was sent back for rewriting keeps fewer words each time: another query, still deterministic.
-        words = F.split(route.rewrite_query(F.col("query")), " ")
-        shorter = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.size(words) - F.when(F.col("modify"), F.col("rounds")).otherwise(0))), " ")
-        asked = open_.withColumn("last_query", F.col("retrieval_query")).withColumn("retrieval_query", F.when(F.col("node") == "rewrite", shorter).otherwise(F.col("retrieval_query")))
+        now = open_.withColumn("last_query", F.col("retrieval_query")).withColumn("feedback", F.coalesce("e.summary", F.lit("")))
+        rewritten = nodes.rewrite(now.where("node = 'rewrite'").drop("retrieval_query"))
+        asked = rewritten.unionByName(now.where("node <> 'rewrite'"))
         log.append(said(asked.where("node = 'rewrite'"), 10 * i, memory.AI, F.col("retrieval_query")))
+        updates.append(_update(asked.where("node = 'rewrite'"), 10 * i, "rewrite", "retrieval_query"))
         changed = asked if hits is None else asked.where(F.col("retrieval_query") != F.col("last_query"))
         if hits is None or not changed.isEmpty():
             found = retrieve.vector_topk(changed.select("qid", embed(F.col("retrieval_query")).alias("embedding")), chunks, cfg.k_max, cfg.threshold)
+            found = found.join(_documents(chunks), ["store", "chunk_id"])
             same = None if hits is None else hits.join(asked.where(F.col("retrieval_query") == F.col("last_query")).select("qid"), "qid", "left_semi")
             hits = written(found if same is None else found.unionByName(same), "agent-hits")
         own = hits.join(asked.select("qid", "k"), "qid").where(F.col("rank") <= F.col("k")).drop("k")
-        refs = written(_upserted(refs, asked, retrieve.rerank_topn(own, cfg.max_references), chunks, i), "agent-references")
+        refs = written(_upserted(refs, asked, retrieve.rerank_topn(own, cfg.max_references), i), "agent-references")
         context = retrieve.serialize_context(refs, "qid")
-        top = refs.where("rank = 1").select("qid", "retrieval_query", F.col("text").alias("top"))
-        drafted = asked.join(context, "qid", "left").join(top, ["qid", "retrieval_query"], "left")
-        if generate is not extractive and recalled is not None:
-            drafted = drafted.join(recalled, "qid", "left").withColumn("prompt", F.concat(F.coalesce("context", F.lit("")), F.coalesce("recalled", F.lit(""))))
-        given = "top" if generate is extractive else "prompt" if recalled is not None else "context"
-        drafted = drafted.withColumn("draft", generate(F.col("query"), F.col(given)))
-        graded = drafted.withColumn("e", grade(F.col("query"), F.coalesce("context", F.lit("")), F.col("draft")))
-        # The overlap grader has no step of its own to propose: all grades passing means continue.
-        passing = F.least(*[F.col(f"e.{x}") for x in GRADES]) >= cfg.pass_bar
-        step = F.when((F.col("e.next_step") == "undefined") & passing, "continue").otherwise(F.col("e.next_step"))
-        e = F.struct(*[F.col(f"e.{x}").alias(x) for x in GRADES], step.alias("next_step"), F.col("e.summary").alias("summary"))
-        routed = graded.withColumn("e", e).withColumn("r", route.route_grades(F.col("e"), F.col("k"), cfg))
+        fits = F.struct(route.held(F.col("retrieval_query"), F.col("text")).alias("n"), (-F.col("rank")).alias("r"))
+        best = refs.where("rank IS NOT NULL").groupBy("qid", "retrieval_query").agg(F.max_by("text", fits).alias("best"))
+        texts = refs.groupBy("qid").agg(F.array_join(F.collect_list("text"), "\n").alias("texts"))
+        given = asked.drop("draft", "e").join(context, "qid", "left").join(texts, "qid", "left").join(best, ["qid", "retrieval_query"], "left")
+        graded = nodes.grade(nodes.draft(given))
+        routed = graded.withColumn("r", route.route_grades(F.col("e"), F.col("k"), cfg))
         action = F.col("r.action")
         to = F.when(action == "continue", "reply").when(action == "undefined", "ask_clarification").when(F.lit(i == cfg.max_rounds), "ask_clarification").when(action == "modify_query", "rewrite").otherwise("generate")
         told = F.when(to == "reply", default_if_null(F.col("draft"), route.CLARIFY)).when(to == "ask_clarification", route.ask_clarification()).otherwise("")
-        out = written(routed.select("qid", "conv_id", "query", "query_type", to.alias("node"), F.col("r.k").alias("k"), (F.col("modify") | F.col("r.modify")).alias("modify"), F.lit(i).alias("rounds"), "retrieval_query", "draft", F.col("e").cast(EVALUATION).alias("e"), told.alias("reply")), "agent")
+        out = written(routed.select("qid", "conv_id", "query", "recalled", "query_type", to.alias("node"), F.col("r.k").alias("k"), (F.col("modify") | F.col("r.modify")).alias("modify"), F.lit(i).alias("rounds"), "retrieval_query", "draft", F.col("e").cast(EVALUATION).alias("e"), told.alias("reply")), "agent")
         log.append(said(out, 10 * i + 1, memory.AI, F.col("draft")))
         trace.append(out.select("qid", F.lit(i).alias("round"), "node"))
         ended = F.col("node").isin("reply", "ask_clarification")
+        updates += [_update(out, 10 * i + 1, "generate", "draft"), _update(out, 10 * i + 2, "grade", "e", "k", "modify", "rounds"), _update(out.where(ended), 10 * i + 3, F.col("node"), "reply")]
         done.append(out.where(ended))
         references.append(refs.join(out.where(ended).select("qid"), "qid", "left_semi"))
         open_ = out.where(~ended)
         if open_.isEmpty():
             break
-    return _finished(retrieve.union_stores(done), retrieve.union_stores(trace), retrieve.union_stores(log), retrieve.union_stores(references), messages, summaries, cfg)
+    return _finished(*map(retrieve.union_stores, (done, trace, log, references, updates)), messages, summaries, cfg, nodes)
+
+
+def _update(states: DataFrame, seq: int, node: Column | str, *fields: str) -> DataFrame:
+    """What a node set: qid, conv_id, seq, node, update."""
+    return states.select("qid", "conv_id", F.lit(seq).alias("seq"), (F.lit(node) if isinstance(node, str) else node).alias("node"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("update"))
 
 
-def _recalled(states: DataFrame, messages: DataFrame, summaries: DataFrame | None, cfg: Config) -> DataFrame:
+def _recalled(questions: DataFrame, messages: DataFrame, summaries: DataFrame | None, cfg: Config) -> DataFrame:
     """qid, recalled: summary and recent messages of each question's conversation, for a model's prompt."""
     recent = memory.render_conversation(memory.role_filter(memory.recent_window(messages, cfg.window)))
-    out = states.select("qid", "conv_id").join(recent, "conv_id", "left")
+    out = questions.select("qid", "conv_id").join(recent, "conv_id", "left")
     out = out.withColumn("context_summary", F.lit("")) if summaries is None else out.join(summaries.select("conv_id", "context_summary"), "conv_id", "left")
     return out.select("qid", memory.memory_block(F.col("context_summary"), F.col("conversation"), F.lit("")).alias("recalled"))
 
 
-def _finished(states: DataFrame, trace: DataFrame, log: DataFrame, refs: DataFrame, messages: DataFrame | None, summaries: DataFrame | None, cfg: Config) -> Conversation:
+def _finished(states: DataFrame, trace: DataFrame, log: DataFrame, refs: DataFrame, updates: DataFrame, messages: DataFrame | None, summaries: DataFrame | None, cfg: Config, nodes: Rules) -> Conversation:
     """The log with the turn's messages, the summaries where they are due, and all of it in the states."""
     spark = states.sparkSession
     nth = Window.partitionBy("conv_id").orderBy("qid", "ord")
@@ -158,17 +137,19 @@ def _finished(states: DataFrame, trace: DataFrame, log: DataFrame, refs: DataFra
     whole = before.select(*more.columns).unionByName(more)
     kept = spark.createDataFrame([], "conv_id long, context_summary string, summarised_till long") if summaries is None else summaries
     mine = whole.join(states.select("conv_id").distinct(), "conv_id", "left_semi")
-    folded = memory.fold_summary(mine, kept, cfg.window)
+    folded = written(memory.fold_summary(mine, kept, cfg.window, summarise=nodes.summarise), "agent-summaries")
     one = F.struct("rank", "store", "chunk_id", "score", "fields", "text")
     material = refs.groupBy("qid", "query_seq", "retrieval_query").agg(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), one))).alias("hits"))
     material = material.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("query_seq", "retrieval_query", "hits"))).alias("reference_material"))
     states = states.join(folded, "conv_id", "left").join(material, "qid", "left").withColumn("code", F.when(F.col("node") == "return_code", F.col("reply")).otherwise(""))
-    return Conversation(states.select("qid", "conv_id", "query", "query_type", "node", "k", "rounds", "retrieval_query", F.col("e").alias("evaluation"), "code", "reply", "reference_material", "context_summary", "summarised_till"), trace, whole, refs)
+    states = states.select("qid", "conv_id", "query", "query_type", "node", "k", "rounds", "retrieval_query", F.col("e").alias("evaluation"), "code", "reply", "reference_material", "context_summary", "summarised_till")
+    updates = updates.unionByName(_update(states, 10 * cfg.max_rounds + 10, "summarise", "context_summary", "summarised_till"))
+    return Conversation(states, trace, whole, refs, more, updates)
 
 
-def agent_loop(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, generate: Generate | None = None, grade: Grade = route.grade_answer) -> tuple[DataFrame, DataFrame]:
+def agent_loop(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, nodes: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """Questions without a conversation -> states (qid, query_type, node, k, rounds, reply) and the trace (qid, round, node)."""
-    out = converse(questions, chunks, cfg, generate, grade)
+    out = converse(questions, chunks, cfg, nodes)
     return out.states.select("qid", "query_type", "node", "k", "rounds", "reply"), out.trace
 
 

@@ -63,13 +63,18 @@ def chat_coder(chat: Callable[[pd.Series], pd.Series]) -> Write:
     return lambda query, code, output: strip_thoughts(ask_model(F.concat_ws("\n\n", F.concat(F.lit("Existing code:\n"), code), F.concat(F.lit("Tool output:\n"), output), F.concat(F.lit("User query: "), query))))
 
 
-def write_code(questions: DataFrame, cfg: Config = DEFAULT, decide: Decide = decide_tool, write: Write = generate_code, tools: dict[str, Callable[..., str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """questions (qid, query) -> states (qid, query, call, code, rounds) and the trace (qid, round, node). After max_rounds the code goes out as it is."""
+def write_code(questions: DataFrame, cfg: Config = DEFAULT, decide: Decide = decide_tool, write: Write = generate_code, tools: dict[str, Callable[..., str]] | None = None, nodes=None) -> tuple[DataFrame, DataFrame]:
+    """questions (qid, query) -> states (qid, query, call, code, rounds) and the trace (qid, round, node). After max_rounds the code goes out as it is.
+
+    nodes: a set of nodes (operators.nodes) that decides and writes instead.
+    """
     tools = T.register_tools([T]) if tools is None else tools
+    decided = nodes.decide if nodes else lambda rows: rows.withColumn("call", decide(F.col("query"), F.col("code"), F.col("output")))
+    rewritten = nodes.write if nodes else lambda rows: rows.withColumn("code", write(F.col("query"), F.col("code"), F.col("output")))
     open_ = questions.select("qid", "query", F.lit("").alias("code"), F.lit("").alias("output"))
     done, trace = [], []
     for i in range(1, cfg.max_rounds + 1):
-        asked = written(open_.withColumn("call", decide(F.col("query"), F.col("code"), F.col("output"))), "code")
+        asked = written(decided(open_), "code")
         node = route.route(F.col("call.action"), "decide")
         asked = asked.withColumn("node", F.when(F.lit(i == cfg.max_rounds), "return_code").otherwise(node))
         trace.append(asked.select("qid", F.lit(i).alias("round"), "node"))
@@ -77,7 +82,7 @@ def write_code(questions: DataFrame, cfg: Config = DEFAULT, decide: Decide = dec
         rest = asked.where("node <> 'return_code'")
         called = T.call_tools(rest.where("node = 'call_tool'").select(F.col("qid").alias("id"), "call.tool", "call.args"), tools).select(F.col("id").alias("qid"), F.col("output").alias("fresh"))
         rest = rest.join(called, "qid", "left").withColumn("output", F.coalesce("fresh", "output"))
-        open_ = written(rest.select("qid", "query", write(F.col("query"), F.col("code"), F.col("output")).alias("code"), "output"), "code")
+        open_ = written(rewritten(rest.select("qid", "query", "code", "output")).select("qid", "query", "code", "output"), "code")
         if open_.isEmpty():
             break
     return union_stores(done), union_stores(trace)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..config import DEFAULT
@@ -59,15 +61,27 @@ def summary_due(messages: DataFrame, state: DataFrame, n: int = DEFAULT.window)
     return counted.agg(F.count_if((F.col("turn") >= till) & F.col("role").isin(*SHOWN)).alias("n_new")).withColumn("due", F.col("n_new") >= n)
 
 
-def fold_summary(messages: DataFrame, state: DataFrame, n: int = DEFAULT.window, words: int = 40) -> DataFrame:
-    """New state (conv_id, context_summary, summarised_till): where a summary is due, the old one and the new messages' first words; the pointer moves to the message count."""
+def first_words(summary: Column, conversation: Column, words: int) -> Column:
+    """The summary so far, and the first words of what is new."""
+    short = F.array_join(F.slice(F.split(conversation, r"\s+"), 1, words), " ")
+    return F.concat_ws(" ", F.nullif(summary, F.lit("")), short)
+
+
+def fold_summary(messages: DataFrame, state: DataFrame, n: int = DEFAULT.window, words: int = 40, summarise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """New state (conv_id, context_summary, summarised_till): where a summary is due, it is made anew and the pointer moves to the message count.
+
+    summarise: rows (conv_id, context_summary, conversation: the new messages) -> with summary; by default the old summary and
+    the new messages' first words.
+    """
     due = summary_due(messages, state, n)
     total = messages.groupBy("conv_id").agg(F.count("*").alias("__all"))
     text = render_conversation(role_filter(unsummarised(messages, state)))
     x = due.join(total, "conv_id").join(text, "conv_id", "left").join(state, "conv_id", "left")
-    short = F.array_join(F.slice(F.split("conversation", r"\s+"), 1, words), " ")
-    fresh = F.concat_ws(" ", F.nullif(F.col("context_summary"), F.lit("")), short)
-    return x.select("conv_id", F.when(F.col("due"), fresh).otherwise(F.coalesce("context_summary", F.lit(""))).alias("context_summary"), F.when(F.col("due"), F.col("__all")).otherwise(F.coalesce("summarised_till", F.lit(0))).cast("long").alias("summarised_till"))
+    if summarise is None:
+        x = x.withColumn("summary", first_words(F.col("context_summary"), F.col("conversation"), words))
+    else:
+        x = x.join(summarise(x.where("due").select("conv_id", "context_summary", "conversation")).select("conv_id", "summary"), "conv_id", "left")
+    return x.select("conv_id", F.when(F.col("due"), F.col("summary")).otherwise(F.coalesce("context_summary", F.lit(""))).alias("context_summary"), F.when(F.col("due"), F.col("__all")).otherwise(F.coalesce("summarised_till", F.lit(0))).cast("long").alias("summarised_till"))
 
 
 def numbered(messages: DataFrame, new: DataFrame) -> DataFrame:

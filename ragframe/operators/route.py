@@ -53,27 +53,51 @@ def rewrite_query(q: Column, most: int = 8) -> Column:
     return F.array_join(F.slice(F.filter(tokens(q), lambda t: ~t.isin(*STOP_WORDS)), 1, most), " ")
 
 
-def grade_answer(question: Column, context: Column, answer: Column) -> Column:
-    """Six grades by token overlap, 0 to 1, at 6 decimals; next_step is left open.
+_named = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  binds a value to a name: it is computed once a row
+_share = lambda n, d: F.round(F.when(d > 0, n / d).otherwise(0.0), 6)
+_both = lambda x, y: F.size(F.array_intersect(x, y))
+
 
-    The one-element transforms bind a value to a name: token sets and their common parts are each computed once a row.
-    """
-    named = lambda x, f: F.transform(F.array(x), f)[0]
-    share = lambda n, d: F.round(F.when(d > 0, n / d).otherwise(0.0), 6)
-    size, both = F.size, lambda x, y: F.size(F.array_intersect(x, y))
+def _style(a: Column, n: Column) -> list[Column]:
+    """Grades of an answer's words alone: a distinct ones of n."""
+    return [_share(a, n).alias("coherence"), F.round(F.when(a > 0, F.least(F.lit(1.0), F.lit(60.0) / a)).otherwise(0.0), 6).alias("conciseness")]
+
+
+def grade_answer(question: Column, context: Column, answer: Column) -> Column:
+    """Six grades by token overlap, 0 to 1, at 6 decimals; next_step is left open."""
+    size = F.size
 
     def grades(s: Column, n: Column) -> Column:
         q, c, a = size(s["q"]), size(s["c"]), size(s["a"])
         return F.struct(
-            share(n["ca"], c + a - n["ca"]).alias("confidence"), share(n["cq"], q).alias("coverage"), share(n["aq"], q).alias("relevance"), share(n["ca"], a).alias("groundedness"),
-            share(a, s["n"]).alias("coherence"), F.round(F.when(a > 0, F.least(F.lit(1.0), F.lit(60.0) / a)).otherwise(0.0), 6).alias("conciseness"),
-            F.lit("undefined").alias("next_step"), F.lit("").alias("summary"),
+            _share(n["ca"], c + a - n["ca"]).alias("confidence"), _share(n["cq"], q).alias("coverage"), _share(n["aq"], q).alias("relevance"), _share(n["ca"], a).alias("groundedness"),
+            *_style(a, s["n"]), F.lit("undefined").alias("next_step"), F.lit("").alias("summary"),
         )
 
     words = F.struct(*[tokens(x).alias(k) for k, x in (("q", question), ("c", context), ("a", answer))])
     sets = lambda w: F.struct(*[F.array_distinct(w[k]).alias(k) for k in "qca"], size(w["a"]).alias("n"))
-    common = lambda s: F.struct(*[both(s[x], s[y]).alias(x + y) for x, y in ("ca", "cq", "aq")])
-    return named(words, lambda w: named(sets(w), lambda s: named(common(s), lambda n: grades(s, n))))
+    common = lambda s: F.struct(*[_both(s[x], s[y]).alias(x + y) for x, y in ("ca", "cq", "aq")])
+    return _named(words, lambda w: _named(sets(w), lambda s: _named(common(s), lambda n: grades(s, n))))
+
+
+def grade_retrieved(asked: Column, references: Column, best: Column, answer: Column) -> Column:
+    """Six grades by containment: how much of the search query's words all references hold (coverage), their best one (confidence) and the answer (relevance), how much of the answer's the references hold (groundedness). summary: the words that no reference has."""
+
+    def grades(s: Column) -> Column:
+        q, a = F.size(s["q"]), F.size(s["a"])
+        return F.struct(
+            _share(_both(s["b"], s["q"]), q).alias("confidence"), _share(_both(s["c"], s["q"]), q).alias("coverage"), _share(_both(s["a"], s["q"]), q).alias("relevance"), _share(_both(s["a"], s["c"]), a).alias("groundedness"),
+            *_style(a, s["n"]), F.lit("undefined").alias("next_step"), F.array_join(F.array_except(s["q"], s["c"]), " ").alias("summary"),
+        )
+
+    words = F.struct(*[tokens(x).alias(k) for k, x in (("q", asked), ("c", references), ("b", best), ("a", answer))])
+    sets = lambda w: F.struct(*[F.array_distinct(w[k]).alias(k) for k in "qcba"], F.size(w["a"]).alias("n"))
+    return _named(words, lambda w: _named(sets(w), grades))
+
+
+def held(asked: Column, text: Column) -> Column:
+    """How many distinct words of the search query a text has."""
+    return _both(tokens(text), F.array_distinct(tokens(asked)))
 
 
 def route_grades(e: Column, k: Column, cfg: Config = DEFAULT) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, state_queries, text_queries
+from . import ingest_queries, loop_queries, state_queries, store_queries, text_queries
 
 
 def _all() -> dict:
-    return {**ingest_queries.QUERIES, **text_queries.QUERIES, **state_queries.QUERIES}
+    return {**ingest_queries.QUERIES, **text_queries.QUERIES, **state_queries.QUERIES, **loop_queries.QUERIES, **store_queries.QUERIES}
 
 
 def queries() -> dict:

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import tools as T
-from ..operators import agent, code, ingest, memory, route
-from ..sources.shared import saved
+from ..operators import code, memory, route
 from ..streaming import state as stream
 from . import inputs as I
 from .ingest_queries import TOKENS
@@ -287,41 +286,6 @@ def code_trace(spark, d):
 CODE_TRACE = f"WITH {_CODE_QUESTIONS} SELECT qid, unnest([1, 2]) AS round, unnest(['call_tool', 'return_code']) AS node FROM coding"
 
 
-def _chunks(spark, d):
-    return saved(ingest.embed(I.chunks(spark, d)), "chunks")
-
-
-def agent_loop(spark, d):
-    return agent.agent_loop(I.questions(spark, d), _chunks(spark, d))[0]
-
-
-def agent_trace(spark, d):
-    return agent.agent_loop(I.questions(spark, d), _chunks(spark, d))[1]
-
-
-def ask(spark, d):
-    return agent.ask(I.questions(spark, d), _chunks(spark, d))
-
-
-def _turn(spark, d):
-    """The first turns as questions after all that was said, with a state for every other conversation."""
-    asked = I.questions(spark, d).select("qid", F.col("qid").alias("conv_id"), "query")
-    return agent.converse(asked, _chunks(spark, d), messages=I.messages(spark, d), summaries=I.summaries(spark, d))
-
-
-def turn_state(spark, d):
-    """The whole state that a turn leaves, nested parts as JSON."""
-    return _turn(spark, d).states.withColumns({c: F.to_json(c) for c in ("evaluation", "reference_material")})
-
-
-def turn_messages(spark, d):
-    return _turn(spark, d).messages
-
-
-def turn_references(spark, d):
-    return _turn(spark, d).references
-
-
 def sessions(spark, d):
     """Derived, not of the reference: sessions of a user's events."""
     return stream.sessions(I.table(spark, d, "events")).select("user_id", "session_start", "session_end", "n_events", F.round("total", 6).alias("total"))
@@ -336,6 +300,5 @@ QUERIES = {
     "fold_summary": (fold_summary, FOLD), "append_message": (append_message, APPEND), "reset_turn_state": (reset_turn_state, RESET), "checkpoint": (checkpoint, CHECKPOINT), "classify_query": (classify_query, CLASSIFY), "route_query": (route_query, ROUTE_QUERY),
     "route_tool": (route_tool, ROUTE_TOOL), "rewrite_query": (rewrite_query, REWRITE), "grade_answer": (grade_answer, GRADE), "route_grades": (route_grades, ROUTE_GRADES), "grade_statistics": (grade_statistics, STATISTICS), "final_answer": (final_answer, FINAL),
     "ask_clarification": (ask_clarification, ASK), "not_available": (not_available, UNAVAILABLE), "return_code": (return_code, RETURN_CODE), "answer_general": (answer_general, GENERAL), "loop_edges": (loop_edges, EDGES), "loop_reachable": (loop_reachable, REACHABLE), "call_tool": (call_tool, CALL),
-    "decide_tool": (decide_tool, DECIDE), "generate_code": (generate_code, GENERATE_CODE), "code_trace": (code_trace, CODE_TRACE), "turn_state": (turn_state, None), "turn_messages": (turn_messages, None), "turn_references": (turn_references, None),
-    "agent_loop": (agent_loop, None), "agent_trace": (agent_trace, None), "ask": (ask, None), "sessions": (sessions, SESSIONS),
+    "decide_tool": (decide_tool, DECIDE), "generate_code": (generate_code, GENERATE_CODE), "code_trace": (code_trace, CODE_TRACE), "sessions": (sessions, SESSIONS),
 }

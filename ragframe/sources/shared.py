@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/{sc.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Whether there was something to delete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -29,5 +40,4 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has saved; results that still read it are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
