@@ -2,9 +2,10 @@
 
 For each language a suffix automaton is built over a bounded sample of its labelled text. A text is parsed greedily
 into the longest phrases that occur in that sample (Ziv and Merhav 1993); the fewer phrases, the closer the language.
-Phrases are normalised to bits per character, phrases * log2(sample length) / length, so that samples of different
-length compare. The least wins; ties go to the language that sorts first. Score: the winner's share of
-2**-bits over all languages, 0 to 1.
+Phrases are normalised to the bits that name them, phrases * log2(sample length), so that samples of different length
+compare; a text's own length is the same for all languages and changes no order. The least wins; ties go to the language that
+sorts first. Score: the winner's share of 2**-bits over all languages, from 0 to 1: how likely the whole text is the winner's
+if it is one of them, near 1 for all but very short texts.
 
 Texts are lower-cased; runs of anything but letters become one space; letters that no sample has break a phrase. Whole
 texts are parsed; segments of SEGMENT symbols are worked on side by side, which doesn't change the phrases.

@@ -225,7 +225,8 @@ def _rooted(firsts: DataFrame) -> DataFrame:
 def clustered(fps: DataFrame) -> DataFrame:
     """(doc_id, fp), saved -> doc_id, fp, component_id."""
     in_group = _rooted(saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct"))
-    ids = in_group.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Saved, so that the root of a giant component is split where its members meet it.
+    ids = saved(in_group.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
     return fps.join(in_group.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 

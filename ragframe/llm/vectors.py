@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window
 
+from ..sources.shared import shared_dir
 from .common import saved
 
 #: Every QUERY_EVERY-th id is a query.
@@ -47,7 +48,8 @@ def searched(clean: DataFrame, n: int, build: Build, ask: Ask, kind: str, top: i
     """query (the row), query_id, rank, vec_id, score: the best `top` rows of each query among vectors of one dimension.
 
     Rows are dealt by hash to blocks of about ROW_BLOCK, each is indexed once, and the index is a table of its own. The
-    queries go over it in passes of about QUERY_BLOCK, which are broadcast; each block gives at most `top` rows a query.
+    queries go over it in passes: about QUERY_BLOCK of them are on the driver and in a broadcast at a time, each pass adds
+    its rows to a table, and then its broadcast goes. Each block gives at most `top` rows a query.
     """
     spark = clean.sparkSession
     dealt = clean.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // ROW_BLOCK)))))
@@ -60,11 +62,17 @@ def searched(clean: DataFrame, n: int, build: Build, ask: Ask, kind: str, top: i
     blocks = saved(dealt.groupBy("block").applyInPandas(built, "block long, index binary"), "vector-index")
     asked = clean.where(F.pmod("vec_id", F.lit(every)) == 0)
     passes = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = []
+    nth = F.pmod(F.xxhash64("row", F.lit("pass")), F.lit(passes))
+    path = f"{shared_dir(spark)}/vector-hits-{uuid.uuid4().hex}"
+    schema = f"query long, query_id long, rank int, vec_id long, score {kind}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     for i in range(passes):
-        some = asked.where(F.pmod(F.xxhash64("row", F.lit("pass")), F.lit(passes)) == i).toArrow()
+        some = asked.where(nth == i).toArrow()
+        if not len(some):
+            continue
         numbers = some["row"].to_numpy()
-        queries = some["v"].combine_chunks().flatten().to_numpy().reshape(len(numbers), -1) if len(numbers) else np.zeros((0, 1))
+        queries = some["v"].combine_chunks().flatten().to_numpy().reshape(len(numbers), -1)
         shared = spark.sparkContext.broadcast((numbers, some["vec_id"].to_numpy(), queries))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -75,10 +83,10 @@ def searched(clean: DataFrame, n: int, build: Build, ask: Ask, kind: str, top: i
                     rows = [(q, name[q], x, s) for q, ids, scores in ask(pickle.loads(blob), numbers, queries) for x, s in zip(ids.tolist(), scores.tolist())]
                     yield pd.DataFrame(rows, columns=["query", "query_id", "vec_id", "score"])
 
-        best = blocks.mapInPandas(run, f"query long, query_id long, vec_id long, score {kind}")
-        w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-        found.append(best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "query_id", "rank", "vec_id", "score"))
-    return reduce(DataFrame.unionByName, found)
+        found = blocks.mapInPandas(run, f"query long, query_id long, vec_id long, score {kind}").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+        found.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:

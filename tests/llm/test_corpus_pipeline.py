@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_llm_operators import brute_components, brute_fingerprint, brute_lines, make, near_copies, text
 
 
@@ -57,3 +58,21 @@ def test_run_on_small_and_empty_tables(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """Columns beyond those of documents pass whatever their names, those included that operators use themselves."""
+    import random
+
+    rng = random.Random(21)
+    rows = near_copies(rng, 6) + [(100 + i, text(rng, 60), "en", f"s{i % 2}") for i in range(6)]
+    docs = make(spark, rows).drop("rate", "copies", "score", "row", "id")
+    odd = ["__id", "__source", "__lang", "Rate", "a.b", "Text", "__th", "carried_row", "__gaps", "seed", "c0", "told", "row`s"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{i} "), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(odd)])
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == names
+        got = docs.collect()
+        assert got and all(r[names.index(n)] == f"{i} {r['doc_id']}" for r in got for i, n in enumerate(odd)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
