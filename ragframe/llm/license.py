@@ -3,9 +3,11 @@
 Words: A-Z lower-cased, runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, over whole texts. Document frequencies of the
 template words are counted over all documents (a bounded vocabulary); each template posts its places of highest IDF, so
 many (a share of 1 - MATCH of its words, and VOTES more) that a place where MATCH of its words agree gets VOTES votes in
-any case. A file looks up all of its words that are posted, intersects the postings by relative position (place in the
-file less place in the template), aligns the template at each offset with enough votes, and takes its label if a
-mandatory key phrase stands at its place and MATCH of the template's words agree.
+any case. A file looks up all of its words that are posted and intersects the postings by relative position (place in the
+file less place in the template). Words may have been put in or left out, so votes count together, and words may agree, within
+a band around an offset: `half` places to either side, a sixth of the template's words, 2 to 4. Wherever a band has enough
+votes the template is aligned with the file (a longest common subsequence inside the band), and its label is taken if a
+mandatory key phrase stands at its place, give or take the band, and MATCH of the template's words agree.
 Short fixed phrases (BASE) are found wherever their words stand consecutively; their labels are kept.
 
 Score: the largest agreement of a labelled alignment; 1 if a base phrase stands; 0 without a label.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import in_parts, table
 
-VOTES, MATCH, SLACK = 3, 0.75, 3
+VOTES, MATCH = 3, 0.75
 _DELIMS = bytes(c for c in range(0x80) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A))
 _TABLE = bytes(0x20 if c in _DELIMS else c for c in range(256))
 
@@ -46,9 +48,9 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0", "creative commons attribution 3 0")),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
-    ("cc-by", "Licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0", "cc by nc 3 0", "cc by nc 2 0")),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0", "cc by sa 3 0", "cc by sa 2 0")),
+    ("cc-by", "Licensed under CC BY 4.0", ("cc by 4 0", "cc by 3 0", "cc by 2 0")),
     ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("creative commons attribution noderivatives",)),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit", ("creative commons attribution sharealike",)),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit", ("creative commons attribution noncommercial",)),
@@ -63,8 +65,20 @@ TEMPLATES = (
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("copies or substantial portions of the software",)),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License", ("unless required by applicable law or agreed to in writing",)),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0)", ("waived all copyright and related or neighboring rights",)),
+    ("bsd", "BSD 3-Clause License", ("bsd 3 clause license", "bsd 2 clause license")),
+    ("gpl", "Licensed under the GPLv3", ("gplv3", "gplv2", "gpl v3", "gpl v2")),
+    ("lgpl", "Licensed under the LGPLv3", ("lgplv3", "lgplv2", "lgpl v3", "lgpl v2")),
+    ("cc0", "Licensed under CC0 1.0", ("cc0 1 0",)),
 )
 
+# Short identifiers of licences, with their labels.
+SPDX = (
+    ("mit", "MIT"), ("isc", "ISC"), ("apache", "Apache-2.0"), ("gpl", "GPL-2.0"), ("gpl", "GPL-3.0"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl", "AGPL-3.0"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"), ("mpl", "MPL-2.0"),
+    ("unlicense", "Unlicense"), ("zlib", "Zlib"), ("boost", "BSL-1.0"), ("epl", "EPL-2.0"), ("artistic", "Artistic-2.0"), ("wtfpl", "WTFPL"), ("cc0", "CC0-1.0"),
+    ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc-by-nc", "CC-BY-NC-4.0"), ("cc-by-nd", "CC-BY-ND-4.0"),
+)
+TEMPLATES += tuple((label, f"SPDX-License-Identifier: {name}", (f"spdx license identifier {name}",)) for label, name in SPDX)
+
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).split()
@@ -89,7 +103,9 @@ class Index:
     def __init__(self, templates, df: dict[bytes, int], n: int):
         self.words = [words(t) for _, t, _ in templates]
         self.labels = [label for label, _, _ in templates]
-        self.keys = [[words(p) for p in keys] for _, _, keys in templates]
+        self.half = [max(2, min(4, len(t) // 6)) for t in self.words]
+        #: Key phrases, and their place less the band, if the template has them itself.
+        self.keys = [[(key := words(p), next((i - half for i in places(t, key)), None)) for p in keys] for (_, _, keys), t, half in zip(templates, self.words, self.half)]
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for t in self.words for w in t}
         self.post: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, t in enumerate(self.words):
@@ -99,32 +115,46 @@ class Index:
         self.rare = frozenset(self.post)
 
     def aligned(self, found: list[bytes], k: int, offset: int) -> float:
-        """Share of template k's words that stand within SLACK of their place at this offset, if a key phrase does; else 0."""
-        t = self.words[k]
-        part = found[max(0, offset - SLACK) : max(0, offset + len(t) + SLACK)]
-        if not any(places(part, key) for key in self.keys[k]):
+        """Share of template k's words that agree in order within the band around this offset, if a key phrase stands there; else 0."""
+        t, half = self.words[k], self.half[k]
+        start, n = offset - half, len(found)
+        part = found[max(0, start) : max(0, offset + len(t) + half)]
+        at = max(0, start)
+        if not any(any(low is None or low <= p + at - offset <= low + 2 * half for p in places(part, key)) for key, low in self.keys[k]):
             return 0.0
-        best = 0
-        for shift in range(-1, 2):
-            base = offset + shift
-            best = max(best, sum(1 for i, w in enumerate(t) if 0 <= base + i < len(found) and found[base + i] == w))
-        return best / len(t)
+        width = 2 * half + 1
+        best = [0] * (width + 1)  # of the words so far, up to each place of the band; one more for what the band leaves behind
+        for i, w in enumerate(t):
+            now, left = [0] * (width + 1), 0
+            for d in range(width):
+                p = start + i + d
+                left = max(left, best[d + 1], best[d] + (0 <= p < n and found[p] == w))
+                now[d] = left
+            now[width] = left
+            best = now
+        return best[width - 1] / len(t)
 
     def scan(self, found: list[bytes]) -> dict[str, float]:
         """Labels with their largest agreement."""
         look = self.rare.intersection(found)
         if not look:
             return {}
-        votes: dict[tuple[int, int], int] = defaultdict(int)
+        votes: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(found):
             if w in look:
                 for k, j in self.post[w]:
-                    votes[k, i - j] += 1
+                    votes[k].append(i - j)
         out: dict[str, float] = {}
-        for (k, offset), v in votes.items():
-            near = sum(votes.get((k, offset + d), 0) for d in (-1, 1)) + v
-            if near >= min(VOTES, len(self.words[k])) and (got := self.aligned(found, k, offset)) >= MATCH:
-                out[self.labels[k]] = max(out.get(self.labels[k], 0.0), got)
+        for k, offsets in votes.items():
+            need, half = min(VOTES, len(self.words[k])), self.half[k]
+            offsets.sort()
+            done = None
+            for first, last in zip(offsets, offsets[need - 1 :]):
+                if last - first <= 2 * half:
+                    for offset in range(last - half if done is None else max(done + 1, last - half), first + half + 1):
+                        done = offset
+                        if (got := self.aligned(found, k, offset)) >= MATCH:
+                            out[self.labels[k]] = max(out.get(self.labels[k], 0.0), got)
         return out
 
 

@@ -408,6 +408,28 @@ def test_license_scan_misses_no_alignment():
     assert seen > 300
 
 
+def test_license_scan_with_words_put_in_or_left_out():
+    index = lic.Index(lic.TEMPLATES, {}, 1000)
+    filler = [w.encode() for w in WORDS]
+    for k, (label, t, keys) in enumerate(lic.TEMPLATES):
+        found, half = lic.words(t), index.half[k]
+        if len(found) < 10:
+            continue
+        keep = {i for p in keys for at in lic.places(found, lic.words(p)) for i in range(at, at + len(lic.words(p)))}
+        for i in (x for x in range(1, len(found)) if x not in keep or x - 1 not in keep):  # not inside the key phrase
+            assert label in index.scan([*filler, *found[:i], b"put", b"in", *found[i:], *filler]), (t, i)
+        free = [i for i in range(len(found)) if i not in keep]
+        for i in free[:: max(1, len(free) // 5)]:
+            assert label in index.scan([*filler, *found[:i], *found[i + 1 :], *filler]), (t, i)
+    said = {
+        "licensed under CC BY-SA 3.0": "cc-by-sa", "// SPDX-License-Identifier: Apache-2.0": "apache", "see the BSD 2-Clause License": "bsd", "It is licensed under the GPLv3.": "gpl",
+        "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc", "licensed under the GPL v2": "gpl", "Licensed under CC BY 4.0": "cc-by",
+    }
+    for t, label in said.items():
+        assert set(index.scan(lic.words(t))) == {label}, t
+    assert index.scan(lic.words("the identifier of a license, and a clause of bsd; cc by, sa 4 0 and no more under the license version")) == {}
+
+
 # language model
 
 
