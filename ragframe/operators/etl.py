@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.text import dropped_line, regex_rewrites, strip
 
@@ -34,13 +34,28 @@ def capture_anchors(lines: DataFrame, file: tuple[str, ...] = FILE) -> tuple[Dat
 
     Of several anchors in a row the last counts, as does the last of equal names in the whole corpus.
     """
+    kept, titles = titled_anchors(lines, file)
+    return kept, last_titles(titles, file)
+
+
+def last_titles(titles: DataFrame, file: tuple[str, ...] = FILE) -> DataFrame:
+    """ref, title: of equal names the last in the corpus."""
+    return titles.groupBy("ref").agg(F.max_by("title", F.struct(*file, "line_no")).alias("title"))
+
+
+def titled_anchors(lines: DataFrame, file: tuple[str, ...] = FILE) -> tuple[DataFrame, DataFrame]:
+    """Lines without anchors; and what each page names: file, line_no, ref, title."""
     w = Window.partitionBy(*file).orderBy("line_no")
     x = lines.withColumn("anchor", _anchor(F.col("line"))).withColumn("after", F.lead("line").over(w))
     found = x.where(F.col("anchor") & F.col("after").isNotNull() & ~_anchor(F.col("after")))
     ref = F.concat(F.lit("<"), F.regexp_extract("line", r"^\((.*)\)=", 1), F.lit(">"))
     title = F.concat(F.lit("(see section: "), strip(F.replace("after", F.lit("#"), F.lit(""))), F.lit(")"))
-    refs = found.groupBy(ref.alias("ref")).agg(F.max_by(title, F.struct(*file, "line_no")).alias("title"))
-    return x.where(~F.col("anchor")).drop("anchor", "after"), refs
+    return x.where(~F.col("anchor")).drop("anchor", "after"), found.select(*file, "line_no", ref.alias("ref"), title.alias("title"))
+
+
+def include_path() -> Column:
+    """The file that an include line (path, line) names, beside its page."""
+    return F.concat(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("/"), strip(F.split_part("line", F.lit("{literalinclude}"), F.lit(2))))
 
 
 def include_files(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,9 +87,14 @@ def concat_ordered(lines: DataFrame, by: tuple[str, ...], order: tuple[str, ...]
     return lines.groupBy(*by).agg(F.array_join(F.transform(parts, lambda s: s["line"]), sep).alias("text"))
 
 
+def named_refs(text: Column) -> Column:
+    """The distinct `<ref>`s of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"<[^<>\s]+>"), F.lit(0)))
+
+
 def resolve_refs(texts: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """Every known `<ref>` in the texts becomes its title; each text meets only the refs that it has."""
-    names = texts.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<[^<>\s]+>"), F.lit(0)))).alias("ref"))
+    names = texts.select(F.col(key).alias("__key"), F.explode(named_refs(F.col("text"))).alias("ref"))
     pairs = names.join(refs, "ref").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("ref", "title"))).alias("__refs"))
     joined = texts.join(pairs, texts[key].eqNullSafe(pairs["__key"]), "left")
     done = F.aggregate(F.coalesce("__refs", F.array().cast("array<struct<ref:string,title:string>>")), F.col("text"), lambda t, r: F.replace(t, r["ref"], r["title"]))
@@ -89,10 +109,13 @@ def single_markdown(lines: DataFrame, files: DataFrame) -> DataFrame:
     a pattern that would begin in one page and end in the next isn't found.
     """
     kept, refs = capture_anchors(drop_prefix_lines(lines))
+    return resolve_refs(rewritten_pages(kept, files), refs, "file_ord")
+
+
+def rewritten_pages(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """kind, file_ord, path, text of pages (lines without anchors) with their includes, rewritten, references still by name."""
     stated = include_state(kept).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     whole = split_by_path(include_files(stated, files))
     pages = concat_ordered(whole, ("kind", "file_ord", "path"), ("line_no",))
-    rewritten = regex_rewrites(F.concat("text", F.lit("\n")))
-    pages = pages.withColumn("text", rewritten)
-    pages = pages.withColumn("text", F.substring("text", F.lit(1), F.length("text") - 1))
-    return resolve_refs(pages, refs, "file_ord")
+    pages = pages.withColumn("text", regex_rewrites(F.concat("text", F.lit("\n"))))
+    return pages.withColumn("text", F.substring("text", F.lit(1), F.length("text") - 1))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..config import DEFAULT, Config
+from ..functions import fences
 from ..functions.providers import setup_embedding
-from ..functions.text import hashed_vector, name_hash
+from ..functions.text import hashed_vector, name_hash, strip
 
 # File types by name ending.
 MIME = {
@@ -45,10 +45,15 @@ def split_headers(lines: DataFrame, key: str, levels: int = 4) -> DataFrame:
     fence = F.startswith("line", F.lit("```"))
     x = lines.withColumn("fence", fence).withColumn("inside", F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
     x = x.withColumn("level", F.when(~F.col("inside") & ~F.col("fence"), F.nullif(F.length(F.regexp_extract("line", f"^(#{{1,{levels}}}) ", 1)), F.lit(0))))
-    title = F.trim(F.substring(F.col("line"), F.col("level") + 2, F.length("line")))
+    return _sections(x.withColumn("title", F.trim(F.substring(F.col("line"), F.col("level") + 2, F.length("line")))), key, levels)
+
+
+def _sections(x: DataFrame, key: str, levels: int) -> DataFrame:
+    """Sections of lines whose headings have a level and a title."""
+    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("section", F.count("level").over(upto))
     for n in range(1, levels + 1):
-        own = F.last(F.when(F.col("level") == n, F.struct("line_no", title.alias("t"))), True).over(upto)
+        own = F.last(F.when(F.col("level") == n, F.struct("line_no", F.col("title").alias("t"))), True).over(upto)
         above = F.last(F.when(F.col("level") < n, F.col("line_no")), True).over(upto)
         x = x.withColumn(f"h{n}", F.when(above.isNull() | (own["line_no"] > above), own["t"]))
     heads = [f"h{n}" for n in range(1, levels + 1)]
@@ -56,36 +61,19 @@ def split_headers(lines: DataFrame, key: str, levels: int = 4) -> DataFrame:
     return x.groupBy(key, "section", *heads).agg(text.alias("text"))
 
 
-def fenced_sections(text: str) -> list[tuple[int, list[str | None], str]]:
-    """Sections with open/close-aware fences: a fence closes only at a bare fence of its kind, at least as long."""
-    out, heads, lines, fence, n = [], [None] * 4, [], "", 0
-    for line in (text or "").split("\n"):
-        mark = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", line)
-        if mark and not fence:
-            fence = mark[1]
-        elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
-            fence = ""
-        elif not fence and (m := re.match(r"(#{1,4}) +(.*)$", line)):
-            if lines or n:
-                out.append((n, heads[:], "\n".join(lines)))
-            level = len(m[1])
-            heads[level - 1 :] = [m[2].strip(), *[None] * (4 - level)]
-            lines, n = [], n + 1
-        lines.append(line)
-    out.append((n, heads[:], "\n".join(lines)))
-    return out
-
-
-def split_headers_fenced(docs: DataFrame, key: str) -> DataFrame:
-    """split_headers with open/close-aware fences, file by file."""
+def split_headers_fenced(docs: DataFrame, key: str, levels: int = 4) -> DataFrame:
+    """split_headers of texts, with fences that open and close by their kind and length (functions.fences).
 
-    def run(batches):
-        for b in batches:
-            rows = [(k, n, *h, t) for k, text in zip(b[key], b["text"]) for n, h, t in fenced_sections(text)]
-            yield pd.DataFrame(rows, columns=[key, "section", "h1", "h2", "h3", "h4", "text"])
-
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, section long, h1 string, h2 string, h3 string, h4 string, text string")
+    Where fences open and close is found from each file's fence lines alone; windows carry that to all lines.
+    """
+    lines = split_lines(docs, key)
+    marks = lines.withColumn("fence", fences.mark(F.col("line"))).where("fence <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "fence", fences.bare(F.col("line")).alias("bare")))).alias("marks"))
+    turns = marks.select(F.col(key).alias("__key"), F.inline(fences.turns(F.col("marks")))).withColumnRenamed("line_no", "__at")
+    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = lines.join(turns, (F.col(key) == F.col("__key")) & (F.col("line_no") == F.col("__at")), "left")
+    x = x.withColumn("inside", F.coalesce(F.last("opens", True).over(upto), F.lit(False))).drop("__key", "__at", "opens")
+    x = x.withColumn("level", F.when(~F.col("inside"), F.nullif(F.length(F.regexp_extract("line", f"^(#{{1,{levels}}}) ", 1)), F.lit(0))))
+    return _sections(x.withColumn("title", strip(F.substring(F.col("line"), F.col("level") + 1, F.length("line")))), key, levels)
 
 
 def chunk_fixed(docs: DataFrame, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chunk_overlap) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..config import DEFAULT
 from ..functions.text import escape_braces
+from ..sources.shared import saved, shared_dir
 
-#: Questions up to this number are broadcast to the chunks' tasks; more meet them block by block.
-BROADCAST_QUESTIONS, QUESTION_BLOCK, CHUNK_BLOCK = 2048, 2048, 65_536
+#: Questions up to this number are broadcast to the chunks' tasks at once; more in passes of about so many, whose hits are saved.
+BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 8192
 
 
 def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.DataFrame]:
@@ -53,36 +56,37 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
     """
     fine = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     chunks, questions = fine(chunks.select("store", "chunk_id", "embedding")), fine(questions.select("qid", "embedding"))
-    schema = f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double"
     first = questions.limit(BROADCAST_QUESTIONS + 1).collect()
-
-    def unit(m):
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
     if len(first) <= BROADCAST_QUESTIONS:
-        asked = chunks.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in first], np.int64), unit(np.array([r["embedding"] for r in first], np.float64).reshape(len(first), len(first[0]["embedding"]) if first else 0))))
-
-        def run(batches: Iterator[pd.DataFrame]):
-            qids, q = asked.value
-            for b in batches:
-                yield from _best(qids, q, b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)
-
-        hits = chunks.mapInPandas(run, schema)
-    else:
-        many, blocks = chunks.count(), max(1, -(-questions.count() // QUESTION_BLOCK))
-        parts = max(1, -(-many // CHUNK_BLOCK))
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = questions.select("*", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("qb"), each(parts).alias("cb"))
-        right = chunks.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("cb"), each(blocks).alias("qb"))
-
-        def meet(a, b):
-            none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "store": pd.Series(dtype="object"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-            return pd.concat([none, *_best(a["qid"].to_numpy(), unit(_matrix(a["embedding"])), b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)])
-
-        hits = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
+        return _topk(first, chunks, k, threshold)[0]
+    spark, path = chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/topk-{uuid.uuid4().hex}"
+    questions = saved(questions, "topk-questions")
+    passes = max(1, -(-questions.count() // QUESTION_BLOCK))
+    schema = None
+    for i in range(passes):
+        some = questions.where(F.pmod(F.xxhash64("qid", F.lit("pass")), F.lit(passes)) == i).collect()
+        hits, asked = _topk(some, chunks, k, threshold)
+        schema = hits.schema
+        hits.write.mode("append").parquet(path)
+        asked.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _topk(rows: list, chunks: DataFrame, k: int, threshold: float) -> tuple[DataFrame, Broadcast]:
+    """The hits of questions that are on the driver, and what was broadcast for them."""
+    m = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    asked = chunks.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), unit))
+
+    def run(batches: Iterator[pd.DataFrame]):
+        qids, q = asked.value
+        for b in batches:
+            yield from _best(qids, q, b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)
+
+    hits = chunks.mapInPandas(run, f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double")
     w = Window.partitionBy("qid", "store").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), asked
 
 
 def rerank_topn(hits: DataFrame, n: int = DEFAULT.max_references) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions import text as X
-from ..operators import agent, etl, ingest, retrieve
-from ..sources.shared import saved
+from ..functions import tables, text as X
+from ..operators import agent, book, etl, ingest, retrieve
+from ..sources.shared import saved, shared_dir
 from . import inputs as I
 
 W = r"[^ \t\n\x0B\f\r]+"
@@ -203,6 +205,20 @@ SELECT CASE WHEN contains(path, 'Schemas/') THEN 'schema' ELSE 'main' END AS kin
 FROM rewritten r LEFT JOIN pairs p ON r.file_ord = p.file_ord"""
 
 
+def pages_updated(spark, d):
+    """The pages cleaned once, then kept up to date with edits of one in a hundred."""
+    lines, files, pages = I.marked_lines(spark, d), _included(spark, d), book.Book(spark, f"{shared_dir(spark)}/book-{uuid.uuid4().hex}")
+    pages.update(lines, files)
+    edited = F.col("file_ord") % 100 == 2
+    now = lines.withColumn("line", F.when(edited & (F.col("line_no") % 17 == 9), F.concat("line", F.lit(" edited"))).otherwise(F.col("line")))
+    pages.update(now, files, lines.where(edited).select("file_ord").distinct())
+    return pages.pages()
+
+
+_EDITED = I.MARKED.replace("marked AS (", "first_marked AS (") + ", marked AS (SELECT file_ord, path, line_no, CASE WHEN file_ord % 100 = 2 AND line_no % 17 = 9 THEN line || ' edited' ELSE line END AS line FROM first_marked)"
+UPDATED = SINGLE.replace(I.MARKED, _EDITED)
+
+
 def split_headers(spark, d):
     lines = I.marked_lines(spark, d).select("file_ord", "line_no", "line")
     return ingest.split_headers(lines, "file_ord").select("file_ord", F.col("section").cast("long").alias("section"), "h1", "h2", "h3", "h4", "text")
@@ -231,13 +247,67 @@ CHUNK_TEXT = f"WITH {CHUNKS} SELECT doc_id, chunk_ix, chunk FROM chunked"
 def split_headers_fenced(spark, d):
     """Headings outside fences that open and close."""
     pages = concat_ordered(spark, d)
-    return ingest.split_headers_fenced(pages, "file_ord")
+    return ingest.split_headers_fenced(pages, "file_ord").withColumn("section", F.col("section").cast("long"))
+
+
+_FENCE = "'^ {0,3}(`{3,}|~{3,})'"
+FENCED = f"""WITH RECURSIVE {I.MARKED},
+marks AS (SELECT file_ord, line_no, regexp_extract(line, {_FENCE}, 1) AS fence, length(trim(regexp_replace(line, {_FENCE}, ''), chr(32) || chr(9) || chr(13))) = 0 AS bare, row_number() OVER (PARTITION BY file_ord ORDER BY line_no) AS nth FROM marked WHERE regexp_matches(line, {_FENCE})),
+walk AS (SELECT file_ord, line_no, nth, fence AS open FROM marks WHERE nth = 1
+  UNION ALL SELECT m.file_ord, m.line_no, m.nth, CASE WHEN w.open = '' THEN m.fence WHEN m.fence[1] = w.open[1] AND length(m.fence) >= length(w.open) AND m.bare THEN '' ELSE w.open END FROM walk w JOIN marks m ON m.file_ord = w.file_ord AND m.nth = w.nth + 1),
+inside AS (SELECT l.*, coalesce(last_value(open IGNORE NULLS) OVER (PARTITION BY l.file_ord ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') <> '' AS inside FROM marked l LEFT JOIN walk w ON w.file_ord = l.file_ord AND w.line_no = l.line_no),
+levels AS (SELECT *, CASE WHEN NOT inside THEN nullif(length(regexp_extract(line, '^(#{{1,4}}) ', 1)), 0) END AS level FROM inside),
+titles AS (SELECT *, {TRIM.format('substr(line, level + 1)')} AS title FROM levels),
+carried AS (SELECT *, count(level) {_UP} AS section, {_LEVELS} FROM titles),
+headed AS (SELECT file_ord, line_no, line, section, {_HEADS} FROM carried)
+SELECT file_ord, section, h1, h2, h3, h4, string_agg(line, chr(10) ORDER BY line_no) AS text FROM headed GROUP BY file_ord, section, h1, h2, h3, h4"""
+
+
+def sections_table(spark, d):
+    """The same by the table function, from a SQL text."""
+    tables.register(spark)
+    I.marked_lines(spark, d).select("file_ord", "line_no", "line").createOrReplaceTempView("ragframe_lines")
+    return spark.sql("SELECT * FROM sections(TABLE(ragframe_lines), 'file_ord')")
 
 
 def chunk_boundary(spark, d):
     return ingest.chunk_boundary(I.table(spark, d, "documents"), "doc_id")
 
 
+def _cut(sep: str) -> str:
+    """Where the last separator in the window from lo ends; null without one."""
+    w, n = "substr(text, lo + 1, hard - lo)", len(sep)
+    s = f"'{sep}'" if sep == " " else " || ".join(["chr(10)"] * n)
+    return f"CASE WHEN hard > lo AND contains({w}, {s}) THEN lo + length({w}) - instr(reverse({w}), {s}) + 1 END"
+
+
+_SIZE, _OVER = DEFAULT.chunk_size, DEFAULT.chunk_overlap
+_ENDED = f"CASE WHEN hard < length(text) THEN coalesce({_cut(chr(10) * 2)}, {_cut(chr(10))}, {_cut(' ')}, hard) ELSE hard END"
+_PIECE = f"SELECT doc_id, text, i, since, {_ENDED} AS stop FROM (SELECT *, least(length(text), since + {_SIZE}) AS hard, since + {_OVER} + 1 AS lo FROM {{}})"
+BOUNDARY = f"""WITH RECURSIVE pieces AS (
+  {_PIECE.format("(SELECT doc_id, text, 0 AS i, 0::BIGINT AS since FROM documents WHERE length(text) > 0)")}
+  UNION ALL
+  {_PIECE.format("(SELECT doc_id, text, i + 1 AS i, CASE WHEN contains(back, ' ') THEN early + instr(back, ' ') ELSE stop END AS since FROM (SELECT doc_id, text, i, stop, early, substr(text, early + 1, stop - early) AS back FROM (SELECT *, greatest(since + 1, stop - " + str(_OVER) + ") AS early FROM pieces WHERE stop < length(text))))")})
+SELECT doc_id, i::INT AS chunk_ix, substr(text, since + 1, stop - since) AS chunk FROM pieces"""
+
+
+def boundary_table(spark, d):
+    """The same by the table function, from a SQL text."""
+    tables.register(spark)
+    I.table(spark, d, "documents").createOrReplaceTempView("ragframe_documents")
+    return spark.sql(f"SELECT doc_id, c.chunk_ix, c.chunk FROM ragframe_documents, LATERAL boundary_chunks(text, {_SIZE}, {_OVER}) c")
+
+
+def tool_functions(spark, d):
+    """Tools called from a SQL text."""
+    tables.register(spark)
+    I.table(spark, d, "pages").createOrReplaceTempView("ragframe_pages")
+    return spark.sql("SELECT page_id, echo_tool(url) AS echoed, model_template_tool(concat('My Model ', page_id)) AS made FROM ragframe_pages")
+
+
+TOOL_FUNCTIONS = """SELECT page_id, 'I got ' || url AS echoed, 'document = Document(id="MyModel' || page_id || '")' || chr(10) || 'network = document.add(Network(id="MyModel' || page_id || '_network"))' || chr(10) AS made FROM pages"""
+
+
 def attach_metadata(spark, d):
     c = ingest.chunk_fixed(I.table(spark, d, "documents").select("doc_id", "source", "text"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -313,14 +383,14 @@ RANK_NUMBER = "SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY s
 
 def _reference_log(spark, d):
     m = I.messages(spark, d).where("role = 'user'")
-    return m.select("conv_id", F.col("turn").alias("seq"), F.split_part("text", F.lit(" "), F.lit(1)).alias("retrieval_query"), F.length("text").alias("hits"))
+    return m.select("conv_id", F.col("turn").alias("seq"), F.split_part("text", F.lit(" "), F.lit(1)).alias("retrieval_query"), F.col("text").alias("hits"))
 
 
 def upsert_reference(spark, d):
     return retrieve.upsert_reference(_reference_log(spark, d))
 
 
-UPSERT = "SELECT conv_id, split_part(text, ' ', 1) AS retrieval_query, min(turn) AS first_seq, max_by(length(text), turn)::INT AS hits FROM conversations WHERE role = 'user' GROUP BY ALL"
+UPSERT = "SELECT conv_id, split_part(text, ' ', 1) AS retrieval_query, min(turn) AS first_seq, max_by(text, turn) AS hits FROM conversations WHERE role = 'user' GROUP BY ALL"
 
 
 def adapt_k(spark, d):
@@ -400,7 +470,7 @@ QUERIES = {
     "filter_mime": (filter_mime, FILTER_MIME), "read_md": (read_md, READ_MD), "open_store": (open_store, OPEN_STORE), "skip_existing": (skip_existing, SKIP_EXISTING), "known_existing": (known_existing, KNOWN), "name_hash": (name_hash, NAME_HASH),
     "scan_toc": (scan_toc, SCAN_TOC), "default_suffix": (default_suffix, DEFAULT_SUFFIX), "scan_lines": (scan_lines, SCAN_LINES), "include_files": (include_files, INCLUDE_FILES), "drop_prefix_lines": (drop_prefix_lines, DROP_PREFIX),
     "capture_anchors": (capture_anchors, CAPTURE_ANCHORS), "include_state": (include_state, INCLUDE_STATE), "split_by_path": (split_by_path, SPLIT_BY_PATH), "concat_ordered": (concat_ordered, CONCAT_ORDERED), "regex_rewrites": (regex_rewrites, REGEX_REWRITES),
-    "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, SINGLE), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "split_headers_fenced": (split_headers_fenced, None), "chunk_boundary": (chunk_boundary, None), "embed": (embed, EMBED),
+    "resolve_refs": (resolve_refs, RESOLVE_REFS), "single_markdown": (single_markdown, SINGLE), "pages_updated": (pages_updated, UPDATED), "split_headers": (split_headers, SPLIT_HEADERS), "chunk_text": (chunk_text, CHUNK_TEXT), "attach_metadata": (attach_metadata, ATTACH), "split_headers_fenced": (split_headers_fenced, FENCED), "chunk_boundary": (chunk_boundary, BOUNDARY), "sections_table": (sections_table, FENCED), "boundary_table": (boundary_table, BOUNDARY), "tool_functions": (tool_functions, TOOL_FUNCTIONS), "embed": (embed, EMBED),
     "embed_vectors": (embed_vectors, EMBED_VECTORS), "normalize_model_name": (normalize_model_name, NORMALIZE), "vector_topk": (vector_topk, VECTOR_TOPK), "union_stores": (union_stores, UNION), "rerank_topn": (rerank_topn, RERANK_TOPN), "rank_number": (rank_number, RANK_NUMBER),
     "upsert_reference": (upsert_reference, UPSERT), "adapt_k": (adapt_k, ADAPT), "header_fields": (header_fields, HEADER_FIELDS), "serialize_context": (serialize_context, SERIALIZE), "answer_from_context": (answer_from_context, ANSWER), "text_retrieval": (text_retrieval, TEXT_RETRIEVAL),
     "retrieval_quality": (retrieval_quality, QUALITY),

@@ -25,15 +25,15 @@ def marked_lines(spark, sf_dir) -> DataFrame:
     """Lines with the markup that the page sources have, by line number."""
     n = F.col("line_no")
     text = (
-        F.when(n % 11 == 0, F.concat(F.lit("# "), F.substring("line", 1, 20)))
-        .when(n % 11 == 2, F.concat(F.lit("## "), F.substring("line", 1, 20)))
-        .when(n % 11 == 4, F.concat(F.lit("#### "), F.substring("line", 1, 20)))
+        F.when(n % 11 == 0, F.concat(F.lit("# "), F.col("line")))
+        .when(n % 11 == 2, F.concat(F.lit("## "), F.col("line")))
+        .when(n % 11 == 4, F.concat(F.lit("#### "), F.col("line")))
         .when(n % 13 == 5, "```")
-        .when(n % 13 == 7, F.concat(F.lit("```{literalinclude} f"), ((F.col("doc_id") + 1) % 50).cast("string"), F.lit(".txt")))
+        .when(n % 13 == 7, F.concat(F.lit("```{literalinclude} f"), (F.col("doc_id") + 1).cast("string"), F.lit(".txt")))
         .when(n % 17 == 6, ":width: 80%")
         .when(n % 17 == 8, F.concat(F.lit("(sec"), F.col("doc_id").cast("string"), F.lit("_"), n.cast("string"), F.lit(")=")))
-        .when(n % 17 == 9, F.concat(F.lit("{ref}`see <sec"), F.col("doc_id").cast("string"), F.lit("_8>` and {cite}`"), F.substring("line", 1, 5), F.lit("` <sec1_8>")))
-        .when(n % 17 == 10, F.concat(F.lit("{note} "), F.substring("line", 1, 30)))
+        .when(n % 17 == 9, F.concat(F.lit("{ref}`see <sec"), F.col("doc_id").cast("string"), F.lit("_8>` and {cite}`"), F.col("line"), F.lit("` <sec1_8>")))
+        .when(n % 17 == 10, F.concat(F.lit("{note} "), F.col("line")))
         .otherwise(F.col("line"))
     )
     return lines(spark, sf_dir).select(F.col("doc_id").alias("file_ord"), F.concat(F.when(F.col("doc_id") % 7 == 0, "Schemas/p").otherwise("book/p"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "line_no", text.alias("line"))
@@ -42,11 +42,11 @@ def marked_lines(spark, sf_dir) -> DataFrame:
 MARKED = LINES + """,
 marked AS (
   SELECT doc_id AS file_ord, (CASE WHEN doc_id % 7 = 0 THEN 'Schemas/p' ELSE 'book/p' END) || doc_id || '.md' AS path, line_no,
-    CASE WHEN line_no % 11 = 0 THEN '# ' || substr(line, 1, 20) WHEN line_no % 11 = 2 THEN '## ' || substr(line, 1, 20) WHEN line_no % 11 = 4 THEN '#### ' || substr(line, 1, 20)
-         WHEN line_no % 13 = 5 THEN '```' WHEN line_no % 13 = 7 THEN '```{literalinclude} f' || ((doc_id + 1) % 50) || '.txt'
+    CASE WHEN line_no % 11 = 0 THEN '# ' || line WHEN line_no % 11 = 2 THEN '## ' || line WHEN line_no % 11 = 4 THEN '#### ' || line
+         WHEN line_no % 13 = 5 THEN '```' WHEN line_no % 13 = 7 THEN '```{literalinclude} f' || (doc_id + 1) || '.txt'
          WHEN line_no % 17 = 6 THEN ':width: 80%' WHEN line_no % 17 = 8 THEN '(sec' || doc_id || '_' || line_no || ')='
-         WHEN line_no % 17 = 9 THEN '{ref}`see <sec' || doc_id || '_8>` and {cite}`' || substr(line, 1, 5) || '` <sec1_8>'
-         WHEN line_no % 17 = 10 THEN '{note} ' || substr(line, 1, 30) ELSE line END AS line
+         WHEN line_no % 17 = 9 THEN '{ref}`see <sec' || doc_id || '_8>` and {cite}`' || line || '` <sec1_8>'
+         WHEN line_no % 17 = 10 THEN '{note} ' || line ELSE line END AS line
   FROM lines)"""
 
 

@@ -92,12 +92,12 @@ SUMMARY = f"WITH t AS (SELECT doc_id, '  ' || text || CASE WHEN doc_id % 2 = 0 T
 def render_tools(spark, d):
     t = I.table(spark, d, "pages").select(
         (F.col("page_id") + 1).cast("int").alias("ord"), F.concat(F.lit("t"), F.col("page_id").cast("string"), F.lit("_tool")).alias("name"),
-        F.concat(F.substring("url", 1, 30), F.lit(" :param a: b")).alias("description"), F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("b"), F.lit("int"), F.lit("a"), F.lit("string"))).otherwise(F.create_map().cast("map<string,string>")).alias("args"),
+        F.concat(F.col("url"), F.lit(" :param a: b")).alias("description"), F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("b"), F.lit("int"), F.lit("a"), F.lit("string"))).otherwise(F.create_map().cast("map<string,string>")).alias("args"),
     )
     return t.select("ord", T.tool_text(F.col("ord"), F.col("name"), F.col("description"), F.col("args")).alias("text"))
 
 
-RENDER = f"SELECT (page_id + 1)::INT AS ord, '## ' || (page_id + 1) || '. t' || page_id || '_tool' || chr(10) || {TRIM.format('substr(url, 1, 30)')} || CASE WHEN page_id % 2 = 0 THEN ' Inputs:' || chr(10) || '- a: string' || chr(10) || '- b: int' || chr(10) ELSE '' END AS text FROM pages"
+RENDER = f"SELECT (page_id + 1)::INT AS ord, '## ' || (page_id + 1) || '. t' || page_id || '_tool' || chr(10) || {TRIM.format('url')} || CASE WHEN page_id % 2 = 0 THEN ' Inputs:' || chr(10) || '- a: string' || chr(10) || '- b: int' || chr(10) ELSE '' END AS text FROM pages"
 
 
 def word_count(spark, d):

@@ -42,13 +42,6 @@ def markdown_only(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("status = 'kept'").drop("status", "mime"), marked.where("status <> 'kept'")
 
 
-def scan_pages(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """Lines of the listed pages: file_ord, path, line_no, line. paths: file_ord, path (relative to root)."""
-    files = spark.read.text(f"{root.rstrip('/')}/*", wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("at"), F.col("value").alias("text"))
-    listed = files.join(paths, F.endswith(F.col("at"), F.concat(F.lit("/"), F.col("path"))))
-    return listed.select("file_ord", "path", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
-
 def write_text(pages: DataFrame, path: str, parts: int = 1) -> None:
     """Pages (kind, file_ord, text) as text, a folder for each kind, whose files in the order of their names hold the pages in order.
 

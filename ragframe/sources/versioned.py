@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import DEFAULT, Config
 from ..functions.text import name_hash
 from ..operators import ingest
+from .markdown import markdown_only
 from .shared import delete, exists, saved
 from .store import SCHEMA
 
@@ -79,8 +80,7 @@ class ChunkStore:
     def ingest(self, files: DataFrame, cfg: Config = DEFAULT, prune: bool = False) -> int | None:
         """Commit the files (store, file_name, file_path, text) that are new or have another content than the snapshot has; with prune also tombstones for files of these stores that aren't among them. The version, or None if there was nothing to do."""
         model = cfg.embedding_model.replace(":", "_")
-        keyed = ingest.file_status(files).where("status = 'kept'").drop("status", "mime")
-        keyed = keyed.withColumns({"model": F.lit(model), "file_hash": name_hash(F.col("file_name")), "content_hash": F.sha2("text", 256)})
+        keyed = markdown_only(files)[0].withColumns({"model": F.lit(model), "file_hash": name_hash(F.col("file_name")), "content_hash": F.sha2("text", 256)})
         first = F.row_number().over(Window.partitionBy(*KEY).orderBy("file_path"))  # of files of one name in a store one
         keyed = keyed.withColumn("nth", first).where("nth = 1").drop("nth")
         base = self.latest()

@@ -21,7 +21,7 @@ from ragframe import __main__ as cli, logs, serve
 from ragframe.config import DEFAULT, Config
 from ragframe.engine import Engine
 from ragframe.functions import providers, tools
-from ragframe.operators import agent, code, ingest, memory, nodes, route
+from ragframe.operators import agent, code, events, ingest, memory, nodes, route
 from ragframe.streaming import answers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
@@ -370,3 +370,16 @@ def test_vector_topk_keeps_k_of_many_ties(spark):
             score = {i: round(float(x @ v[i] / (norm[i] * np.linalg.norm(x))), 6) for i in ids}
             want = sorted((-score[i], i) for i in ids if score[i] >= 0.5)[:3]
             assert got.get((q, s), []) == [(i, -c) for c, i in want]
+
+
+def test_state_as_of_any_update(spark):
+    """Updates folded to any point: the last value set of each field, null included; what was not set yet is null."""
+    rows = [(1, 5, 0, "init", '{"k": 5, "modify": false}'), (1, 5, 10, "rewrite", '{"retrieval_query": "a b"}'), (1, 5, 11, "generate", '{"draft": "x"}'), (1, 5, 12, "grade", '{"k": 6, "modify": true, "e": {"confidence": 0.5, "next_step": "continue"}}'), (1, 5, 20, "rewrite", '{"retrieval_query": null}'), (2, 5, 0, "init", '{"k": 5}')]
+    updates = spark.createDataFrame(rows, "qid long, conv_id long, seq int, node string, update string").repartition(3)
+    at = lambda upto: {r["qid"]: r for r in events.folded(updates, upto).collect()}
+    assert (at(10)[1]["k"], at(10)[1]["retrieval_query"], at(10)[1]["draft"], at(10)[1]["modify"]) == (5, "a b", None, False)
+    last = at(None)
+    assert (last[1]["k"], last[1]["retrieval_query"], last[1]["draft"], last[1]["modify"], last[1]["e"]["confidence"], last[1]["e"]["next_step"]) == (6, None, "x", True, 0.5, "continue")
+    assert last[2]["k"] == 5 and last[2]["e"] is None and at(-1) == {}
+    steps = [(r["seq"], r["retrieval_query"], r["draft"]) for r in events.as_of_each(updates, ("retrieval_query", "draft")).where("qid = 1").orderBy("seq").collect()]
+    assert steps == [(0, None, None), (10, "a b", None), (11, "a b", "x"), (12, "a b", "x"), (20, None, "x")]

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ragframe.config import DEFAULT, Config
-from ragframe.functions import providers, text as X, tools
+from ragframe.functions import providers, tables, text as X, tools
+from ragframe.functions.fences import Fences
 from ragframe.operators import agent, etl, ingest, memory, retrieve, route
 from ragframe.sources import markdown, store
 
@@ -69,9 +72,35 @@ def test_split_headers_resets_lower_levels(spark):
 
 def test_fence_aware_sections(spark):
     text = "# A\n````\n```\n# in\n```\n````\n# B\n```python\n# in\n```x\n# still in\n```\n## C"
-    assert [h[:2] for _, h, _ in ingest.fenced_sections(text)] == [["A", None], ["B", None], ["B", "C"]]
-    df = spark.createDataFrame([("f", text)], "k string, text string")
-    assert ingest.split_headers_fenced(df, "k").count() == 3
+    rng = random.Random(2)
+    pieces = ["# a", "## b  ", "##### no", "#no", "```", "````", "~~~", "~~~~ x", "```py", "   ```", "    ```", "``", "text", "", "### c\r", "#### d # e"]
+    files = [("f", text), ("", ""), ("n", "no heading")] + [(f"r{i}", "\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(files, "k string, text string")
+    got = {(r["k"], r["section"]): tuple(r[h] for h in ("h1", "h2", "h3", "h4", "text")) for r in ingest.split_headers_fenced(df, "k").collect()}
+    assert [got["f", i][:2] for i in range(1, 4)] == [("A", None), ("B", None), ("B", "C")]
+    want = {}
+    for k, t in files:  # line by line
+        fences, heads, n = Fences(), [None] * 4, 0
+        for line in t.split("\n"):
+            m = re.match(r"(#{1,4}) (.*)$", line) if fences.outside(line) else None
+            if m:
+                heads, n = [*heads[: len(m[1]) - 1], m[2].strip(), *[None] * (4 - len(m[1]))], n + 1
+            want.setdefault((k, n), [*heads, []])[4].append(line)
+    assert got == {k: (*v[:4], "\n".join(v[4])) for k, v in want.items()}
+    tables.register(spark)
+    ingest.split_lines(df, "k").createOrReplaceTempView("fence_lines")
+    rows = spark.sql("SELECT * FROM sections(TABLE(fence_lines), 'k')").collect()
+    assert {(r["k"], r["section"]): tuple(r[h] for h in ("h1", "h2", "h3", "h4", "text")) for r in rows} == got
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM sections(TABLE(SELECT 1 AS k), 'k')")
+
+
+def test_functions_in_sql_texts(spark):
+    tables.register(spark)
+    text = " ".join(f"word{i}" for i in range(200))
+    got = spark.sql(f"SELECT c.* FROM VALUES ('{text}'), (''), (NULL) t(text), LATERAL boundary_chunks(text, 100, 20) c ORDER BY chunk_ix").collect()
+    assert [r["chunk"] for r in got] == ingest.boundary_chunks(text, 100, 20)
+    assert spark.sql("SELECT echo_tool('x') AS a, echo_tool(NULL) AS b, model_template_tool('My Net') AS c").first()[:] == ("I got x", None, tools.model_template_tool("My Net"))
 
 
 @pytest.mark.parametrize("n", [0, 1, 60, 61, 600, 601, 660, 661, 1140, 1141])
