@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,10 @@ from ..sources.shared import saved, shared_dir
 
 #: Questions up to this number are broadcast to the chunks' tasks at once; more in passes of about so many, whose hits are saved.
 BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 8192
+#: Chunks that a task scores at a time, and best hits (16 bytes each) that it holds before it hands them on.
+CHUNK_BLOCK, HELD = 32_768, 8_000_000
+#: Scores in single precision are off by far less than this; only those that near a bound are computed again, in double.
+SLACK = 2e-5
 
 
 def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.DataFrame]:
@@ -43,6 +48,87 @@ def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.Dat
             yield pd.concat(found)
 
 
+class _Held:
+    """The k best hits so far of each question in one store: ids and scores, best first; -inf where there are fewer."""
+
+    def __init__(self, n: int, k: int, threshold: float):
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.scores = np.full((n, k), -np.inf)
+        self.least = np.full(n, float(threshold))  # what a further hit must reach
+
+    def add(self, at: int, unit: np.ndarray, single: np.ndarray, ids: np.ndarray, chunks: np.ndarray, narrow: np.ndarray, threshold: float) -> None:
+        """Let chunks (unit vectors, also in single precision) meet the questions from place `at` on."""
+        k = self.ids.shape[1]
+        score = single @ narrow.T
+        bound = self.least[at : at + len(score)] - SLACK
+        fresh = np.flatnonzero(~np.isfinite(self.scores[at : at + len(score), -1]))
+        if len(ids) > k and len(fresh):  # no bound yet but the threshold: the block's own k-th best
+            bound[fresh] = np.maximum(bound[fresh], np.partition(score[fresh], len(ids) - k, axis=1)[:, len(ids) - k] - 2 * SLACK)
+        q, c = np.divmod(np.flatnonzero(score >= bound[:, None].astype(np.float32)), len(ids))
+        for i in range(0, len(q), 1 << 16):  # as many pairs in double precision at a time
+            self._merge(at + q[i : i + (1 << 16)], np.round(np.einsum("ij,ij->i", unit[q[i : i + (1 << 16)]], chunks[c[i : i + (1 << 16)]]), 6), ids[c[i : i + (1 << 16)]], threshold)
+
+    def _merge(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, threshold: float) -> None:
+        k = self.ids.shape[1]
+        last, worst = self.scores[q, -1], self.ids[q, -1]
+        better = (score >= threshold) & ((score > last) | ((score == last) & (ids < worst)))
+        q, score, ids = q[better], score[better], ids[better]
+        if not len(q):
+            return
+        mine = np.unique(q)
+        q, score, ids = np.concatenate((np.repeat(mine, k), q)), np.concatenate((self.scores[mine].ravel(), score)), np.concatenate((self.ids[mine].ravel(), ids))
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k  # k or more of each
+        self.scores[mine], self.ids[mine] = score[kept].reshape(-1, k), ids[kept].reshape(-1, k)
+        self.least[mine] = np.maximum(threshold, self.scores[mine, -1])
+
+    def hits(self, qids: np.ndarray, store) -> pd.DataFrame:
+        q, r = np.nonzero(np.isfinite(self.scores))
+        return pd.DataFrame({"qid": qids[q], "store": store, "chunk_id": self.ids[q, r], "score": self.scores[q, r]})
+
+
+def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.DataFrame], k: int, threshold: float) -> Iterator[pd.DataFrame]:
+    """Top k over the threshold of each (question, store) among all chunks of a task, whatever the number of its batches; scores at 6 decimals.
+
+    A task that holds HELD hits hands them on and begins anew, so that many stores and questions don't fill its memory.
+    """
+    single, held = questions.astype(np.float32), {}
+    for ids, stores, chunks in _blocks(batches):
+        if not len(qids):
+            continue
+        norm = np.linalg.norm(chunks, axis=1)
+        fine = np.flatnonzero(norm > 0)
+        names, code = np.unique(stores[fine], return_inverse=True)
+        fine = fine[order := np.argsort(code, kind="stable")]
+        cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
+        ids, unit = ids[fine], chunks[fine] / norm[fine][:, None]
+        narrow = unit.astype(np.float32)
+        for store, a, b in zip(names, cuts, cuts[1:]):
+            if store not in held:
+                if held and (len(held) + 1) * len(qids) * k > HELD:
+                    yield from (h.hits(qids, s) for s, h in held.items())
+                    held = {}
+                held[store] = _Held(len(qids), k, threshold)
+            for at in range(0, len(qids), 256):
+                held[store].add(at, questions[at : at + 256], single[at : at + 256], ids[a:b], unit[a:b], narrow[a:b], threshold)
+    yield from (h.hits(qids, s) for s, h in held.items())
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, stores and vectors of about CHUNK_BLOCK chunks at a time."""
+    some, n = [], 0
+    for b in batches:
+        if len(b):
+            some.append((b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"])))
+            n += len(b)
+        if n >= CHUNK_BLOCK:
+            yield tuple(map(np.concatenate, zip(*some)))
+            some, n = [], 0
+    if some:
+        yield tuple(map(np.concatenate, zip(*some)))
+
+
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 0))
 
@@ -51,8 +137,10 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
     """questions (qid, embedding), chunks (store, chunk_id, embedding) -> qid, store, chunk_id, score, rank.
 
     Cosine in double precision, at 6 decimals before threshold and rank; ties to the smaller chunk_id; zero vectors
-    never hit. Tasks score matrix blocks and keep k a question and store, so no pair table is built; only those rows
-    are shuffled. Each task reads its chunks once, whatever the number of stores.
+    never hit. Tasks score matrix blocks and keep k a question and store over all their chunks, so no pair table is
+    built; only those rows are shuffled. There are at most as many tasks as cores, so that the hits that are shuffled
+    grow with the questions alone, not with questions times chunks. Each task reads its chunks once, whatever the
+    number of stores.
     """
     fine = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     chunks, questions = fine(chunks.select("store", "chunk_id", "embedding")), fine(questions.select("qid", "embedding"))
@@ -81,10 +169,10 @@ def _topk(rows: list, chunks: DataFrame, k: int, threshold: float) -> tuple[Data
 
     def run(batches: Iterator[pd.DataFrame]):
         qids, q = asked.value
-        for b in batches:
-            yield from _best(qids, q, b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"]), k, threshold)
+        yield from _best_of_task(qids, q, batches, k, threshold)
 
-    hits = chunks.mapInPandas(run, f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double")
+    tasks = max(1, chunks.sparkSession.sparkContext.defaultParallelism)
+    hits = chunks.coalesce(tasks).mapInPandas(run, f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double")
     w = Window.partitionBy("qid", "store").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), asked
 
@@ -95,6 +183,13 @@ def rerank_topn(hits: DataFrame, n: int = DEFAULT.max_references) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def reachable(hits: DataFrame, k: int, k_max: int, n: int) -> DataFrame:
+    """The hits (at k_max a store) that rerank_topn keeps for some k from k to k_max: of each question the best n among those of each such rank."""
+    ahead = Window.partitionBy("qid").orderBy(F.desc("score"), "store", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = [(F.col("rank") <= i) & (F.count_if(F.col("rank") <= i).over(ahead) < n) for i in range(min(k, k_max), k_max + 1)]
+    return hits.withColumn("__kept", reduce(lambda a, b: a | b, kept)).where("__kept").drop("__kept")
+
+
 def union_stores(stores: list[DataFrame]) -> DataFrame:
     out = stores[0]
     for s in stores[1:]:

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,37 @@ def test_grades_stay_in_range(spark):
     df = spark.createDataFrame(list(itertools.product(texts, texts, texts)), "q string, c string, a string")
     for r in df.select(route.grade_answer(F.col("q"), F.col("c"), F.col("a")).alias("e")).select("e.*").collect():
         assert all(0 <= r[x] <= 1 for x in ("confidence", "coverage", "relevance", "groundedness", "coherence", "conciseness"))
+
+
+def test_a_task_hands_on_k_hits_whatever_its_batches(monkeypatch):
+    rng = np.random.default_rng(5)
+    q = rng.integers(0, 4, (7, 8)) + 0.0
+    q[0] = 0.0  # never hits
+    norm = np.linalg.norm(q, axis=1, keepdims=True)
+    unit, qids = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0), np.arange(7) + 100
+    vectors = rng.integers(0, 3, (900, 8)) + 0.0  # many equal scores
+    ids, stores = rng.permutation(900), np.array(["abc"[i] for i in rng.integers(0, 3, 900)])
+    length = np.linalg.norm(vectors, axis=1)
+    scores = np.round(np.divide(unit @ vectors.T, length, out=np.zeros((7, 900)), where=length > 0), 6)
+    for held in (retrieve.HELD, 1):
+        monkeypatch.setattr(retrieve, "HELD", held)
+        monkeypatch.setattr(retrieve, "CHUNK_BLOCK", 30)
+        batches = (pd.DataFrame({"chunk_id": ids[i : i + 10], "store": stores[i : i + 10], "embedding": list(vectors[i : i + 10])}) for i in range(0, 900, 10))
+        out = pd.concat(retrieve._best_of_task(qids, unit, batches, 4, 0.3))
+        assert held == 1 or len(out) <= 7 * 3 * 4
+        for i, qid in enumerate(qids):
+            for store in "abc":
+                want = sorted((-scores[i, c], ids[c]) for c in range(900) if stores[c] == store and scores[i, c] >= 0.3 and length[c] > 0)[:4]
+                mine = out[(out["qid"] == qid) & (out["store"] == store)]
+                assert sorted(zip(-mine["score"], mine["chunk_id"]))[:4] == want
+
+
+def test_reachable_hits_give_the_same_references_for_every_k(spark):
+    rng = np.random.default_rng(6)
+    rows = [(q, s, int(c), float(x), r) for q in range(3) for s in "abcd" for r, (x, c) in enumerate(sorted(((round(x, 1), c) for c, x in enumerate(rng.random(10))), key=lambda t: (-t[0], t[1])), 1)]
+    hits = spark.createDataFrame(rows, "qid long, store string, chunk_id long, score double, rank int")
+    kept = retrieve.reachable(hits, 5, 10, 6).localCheckpoint()
+    assert kept.count() < hits.count()
+    for k in range(5, 11):
+        got, want = (sorted(map(tuple, retrieve.rerank_topn(h.where(F.col("rank") <= k), 6).collect())) for h in (kept, hits))
+        assert got == want
