@@ -54,7 +54,8 @@ def converse(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, nod
     conversations so far (messages: conv_id, turn, role, text; summaries: conv_id, context_summary, summarised_till).
 
     Every question ends in a terminal node after at most max_rounds, and its conversation is then summarised if that is due.
-    Hits are retrieved with their texts at k_max, once for each retrieval query; rounds that only widen k filter them by rank.
+    Hits are retrieved at k_max, once for each retrieval query; those that some k can bring among the references get their texts,
+    and rounds that only widen k filter them by rank.
     The log gets the question, each retrieval query, each draft and the fixed replies but the call for another wording.
     nodes: what decides and writes; by default as configured.
     """
@@ -86,7 +87,7 @@ def converse(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, nod
         changed = asked if hits is None else asked.where(F.col("retrieval_query") != F.col("last_query"))
         if hits is None or not changed.isEmpty():
             found = retrieve.vector_topk(changed.select("qid", embed(F.col("retrieval_query")).alias("embedding")), chunks, cfg.k_max, cfg.threshold)
-            found = found.join(_documents(chunks), ["store", "chunk_id"])
+            found = written(retrieve.reachable(found, cfg.k, cfg.k_max, cfg.max_references), "agent-found").join(_documents(chunks), ["store", "chunk_id"])
             same = None if hits is None else hits.join(asked.where(F.col("retrieval_query") == F.col("last_query")).select("qid"), "qid", "left_semi")
             hits = written(found if same is None else found.unionByName(same), "agent-hits")
         own = hits.join(asked.select("qid", "k"), "qid").where(F.col("rank") <= F.col("k")).drop("k")
