@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import in_parts, parts_of, table
+from .common import in_parts, parts_of, release, table
 
 TRAIN_CHARS, TOTAL_CHARS, BUCKETS, LANGUAGES, SEGMENT = 48_000, 480_000, 256, 400, 512
 #: Characters of a document that go into its language's sample, and letters of a language whose transitions stand in a
@@ -259,9 +259,10 @@ def predicted(docs: DataFrame, keep: list[str], names: tuple[str, str] = ("lang_
                 more, shares = m.predict(b.column(0).slice(at, end - at).to_pylist())
                 langs += more
                 scores.append(shares)
+                release()
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
-        pa.default_memory_pool().release_unused()
+        release()
 
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
     return src.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

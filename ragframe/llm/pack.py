@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_parts, parts_of, saved, table
+from .common import in_parts, parts_of, release, saved, table
 
 LENGTH, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SEED = 2000, 2, 2, 40, 4, 11
@@ -184,8 +184,9 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, length: int = LENGTH) -> Dat
                         start.append(at // 4)
                         size.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
+                release()
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, size, crc)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     src = in_parts(docs.select("doc_id", "text"))
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")

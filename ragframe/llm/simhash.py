@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_parts, saved, table
+from .common import in_parts, release, saved, table
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *more])
+        release()
 
     more = ["th"] if text_hash else []
     src = in_parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.xxhash64(text_col).alias(c) for c in more]))

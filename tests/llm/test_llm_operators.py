@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -770,3 +771,13 @@ def test_impact_bounds_prove():
     for q in x[:40]:
         some = index.members(q, np.zeros(0, np.int64))
         assert len(some) < 2000 and np.sort(x[some] @ q)[-5:].tolist() == np.sort(x @ q)[-5:].tolist()
+
+
+def test_freed_memory_goes_back_to_the_system():
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+    blocks = [bytearray(60_000) for _ in range(4000)]
+    last = bytearray(60_000)  # at the heap's end, so that freeing the others alone gives nothing back
+    full = held()
+    del blocks
+    common.release()
+    assert len(last) and held() < full - 150
