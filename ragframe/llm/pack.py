@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, length: int = LENGTH) -> Dat
                         start.append(at // 4)
                         size.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                release()
+            release()
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, size, crc)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         release()
 
