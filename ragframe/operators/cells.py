@@ -28,6 +28,8 @@ from .retrieve import _best, _matrix
 
 #: Rows that centres are fitted on, most cells, rows of a block, questions that meet a block at a time.
 FIT, MOST_CELLS, BLOCK, ASKED = 65_536, 4096, 16_384, 2048
+#: Visits that a task hands on at a time, each with its question's vector: the exact mode can have a question visit most cells.
+PROBED = 8192
 ROUNDS, SEED = 12, 7
 #: Angles are computed with an error far below this; scores count at 6 decimals.
 SLACK = 1e-6
@@ -117,9 +119,12 @@ def _probed(asked: DataFrame, about: tuple[np.ndarray, np.ndarray, np.ndarray, n
                     best = np.cos(np.maximum(0.0, angle - reach - SLACK))
                     first = ~first & (best >= part["bound"].to_numpy()[:, None] - SLACK)
                 q, c = np.nonzero(first)
-                out = pd.DataFrame({"qid": part["qid"].to_numpy()[q], "embedding": part["embedding"].to_numpy()[q], "cell": cells[c], "n": blocks[c]})
-                out = out.loc[out.index.repeat(out["n"])]
-                yield out.assign(block=out.groupby(["qid", "cell"]).cumcount().astype("int32"))[["qid", "embedding", "cell", "block"]]
+                n = blocks[c].astype(np.int64)
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                q, c = np.repeat(q, n), np.repeat(c, n)
+                for at in range(0, len(q), PROBED):
+                    some = slice(at, at + PROBED)
+                    yield pd.DataFrame({"qid": part["qid"].to_numpy()[q[some]], "embedding": part["embedding"].to_numpy()[q[some]], "cell": cells[c[some]], "block": block[some].astype(np.int32)})
 
     return asked.mapInPandas(run, f"qid {dict(asked.dtypes)['qid']}, embedding array<double>, cell int, block int")
 

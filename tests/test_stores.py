@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,21 @@ def test_cells_of_nothing(spark, tmp_path):
     one = cells.build(spark.createDataFrame([("s", 1, [2.0, 0.0])], none.schema), f"{tmp_path}/j")
     assert hits(cells.search(one, asked, 3, 0.1)[0]) == [(1, "s", 1, 1, 1.0)]
     assert cells.search(one, asked.limit(0), 3, 0.1)[0].count() == 0
+
+
+def test_visits_are_handed_on_in_bounded_pieces(spark, monkeypatch):
+    """Each question visits all cells, some of several blocks; no piece that a task hands on has more than PROBED visits."""
+    pieces = []
+
+    class Asked:
+        dtypes, sparkSession = [("qid", "bigint"), ("embedding", "array<double>")], spark
+
+        def mapInPandas(self, run, schema):
+            pieces.extend(run(iter([pd.DataFrame({"qid": range(40), "embedding": [np.array([1.0, 0.0])] * 40})])))
+
+    about = (np.array([3, 5, 8], np.int32), np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]]), np.zeros(3), np.array([1, 2, 4], np.int32))
+    monkeypatch.setattr(cells, "PROBED", 16, raising=False)
+    cells._probed(Asked(), about, 3, False)
+    assert max(map(len, pieces)) <= 16
+    out = pd.concat(pieces)
+    assert sorted(zip(out["qid"], out["cell"], out["block"])) == [(q, c, b) for q in range(40) for c, n in ((3, 1), (5, 2), (8, 4)) for b in range(n)]
