@@ -77,13 +77,14 @@ class Book:
         reached = saved(needing.join(causes, "need", "left_semi").select("file_ord").union(edited).distinct(), "book-reached")
 
         again = lines.join(reached, "file_ord", "left_semi")
-        kept, named = etl.titled_anchors(etl.drop_prefix_lines(again))
+        kept, _ = etl.titled_anchors(etl.drop_prefix_lines(again))
         pages = saved(etl.rewritten_pages(kept, files), "book-pages")
         included = kept.where(F.contains("line", F.lit("{literalinclude}"))).select("file_ord", etl.include_path().alias("need")).groupBy("file_ord").agg(F.collect_set("need").alias("files"))
         cleaned = etl.resolve_refs(pages.withColumn("refs", etl.named_refs(F.col("text"))), refs, "file_ord").join(included, "file_ord", "left")
         needs = F.concat("refs", F.coalesce("files", F.array().cast("array<string>")))
         out = cleaned.select("kind", "file_ord", "path", "text", needs.alias("needs"), F.lit(False).alias("gone"))
         went = reached.join(pages.select("file_ord"), "file_ord", "left_anti").join(before, "file_ord").where("NOT gone").select("kind", "file_ord", "path", F.lit("").alias("text"), F.array().cast("array<string>").alias("needs"), F.lit(True).alias("gone"))
+        named = now.join(reached, "file_ord", "left_semi")  # of pages that were reached but not edited as they are
         named.select("file_ord", "line_no", "ref", "title", F.lit(version).alias("version")).write.mode("append").parquet(f"{self.path}/titles")
         out.unionByName(went).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{self.path}/pages")
         return version
