@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -162,12 +163,14 @@ def bucket(token: Column, dim: int) -> Column:
 
 
 def _unit_counts(dim: int):
-    """Lists of buckets to unit vectors of their counts, a batch at a time."""
+    """Lists of tokens to unit vectors of their counts by bucket, a batch at a time; each distinct token of a batch is hashed once."""
 
     @F.arrow_udf("array<double>")
-    def unit_counts(buckets: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy().astype(np.int64)
-        flat = pc.list_flatten(buckets).to_numpy().astype(np.int64)
+    def unit_counts(words: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(words).dictionary_encode()
+        of = np.array([int(hashlib.md5(t).hexdigest()[:8], 16) % dim for t in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+        flat = of[coded.indices.to_numpy()]
         counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + flat, minlength=len(sizes) * dim).reshape(-1, dim).astype(float)
         norm = np.sqrt((counts * counts).sum(axis=1))
         fine = norm > 0
@@ -181,6 +184,6 @@ def _unit_counts(dim: int):
 def hashed_vector(c: Column, dim: int) -> Column:
     """Feature-hashing embedding (Weinberger et al. 2009): token counts by bucket, as a unit vector; null without a token.
 
-    Buckets are found in the JVM; only these numbers go to Python, in Arrow batches, to be counted.
+    Tokens are found in the JVM and go to Python in Arrow batches, to be hashed (as `bucket` does) and counted.
     """
-    return _unit_counts(dim)(F.transform(tokens(c), lambda t: bucket(t, dim)))
+    return _unit_counts(dim)(tokens(c))

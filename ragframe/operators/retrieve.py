@@ -17,8 +17,8 @@ from ..sources.shared import saved, shared_dir
 
 #: Questions up to this number are broadcast to the chunks' tasks at once; more in passes of about so many, whose hits are saved.
 BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 8192
-#: Chunks that a task scores at a time, and best hits (16 bytes each) that it holds before it hands them on.
-CHUNK_BLOCK, HELD = 32_768, 8_000_000
+#: Chunks that a task scores at a time (fewer at first, so that bounds are there early), and best hits (16 bytes each) that it holds before it hands them on.
+CHUNK_BLOCK, FIRST_BLOCK, HELD = 32_768, 2048, 8_000_000
 #: Scores in single precision are off by far less than this; only those that near a bound are computed again, in double.
 SLACK = 2e-5
 
@@ -56,12 +56,12 @@ class _Held:
         self.scores = np.full((n, k), -np.inf)
         self.least = np.full(n, float(threshold))  # what a further hit must reach
 
-    def add(self, at: int, unit: np.ndarray, single: np.ndarray, ids: np.ndarray, chunks: np.ndarray, narrow: np.ndarray, threshold: float) -> None:
-        """Let chunks (unit vectors, also in single precision) meet the questions from place `at` on."""
+    def add(self, at: int, unit: np.ndarray, single: np.ndarray, ids: np.ndarray, chunks: np.ndarray, narrow: np.ndarray, threshold: float, floor: np.ndarray) -> None:
+        """Let chunks (unit vectors, also in single precision) meet the questions from place `at` on. floor: what hits of all stores must reach (-inf if nothing)."""
         k = self.ids.shape[1]
         score = single @ narrow.T
-        bound = self.least[at : at + len(score)] - SLACK
-        fresh = np.flatnonzero(~np.isfinite(self.scores[at : at + len(score), -1]))
+        bound = np.maximum(self.least[at : at + len(score)], floor[at : at + len(score)]) - SLACK
+        fresh = np.flatnonzero(np.isinf(self.scores[at : at + len(score), -1]) & np.isinf(floor[at : at + len(score)]))
         if len(ids) > k and len(fresh):  # no bound yet but the threshold: the block's own k-th best
             bound[fresh] = np.maximum(bound[fresh], np.partition(score[fresh], len(ids) - k, axis=1)[:, len(ids) - k] - 2 * SLACK)
         q, c = np.divmod(np.flatnonzero(score >= bound[:, None].astype(np.float32)), len(ids))
@@ -83,17 +83,30 @@ class _Held:
         self.scores[mine], self.ids[mine] = score[kept].reshape(-1, k), ids[kept].reshape(-1, k)
         self.least[mine] = np.maximum(threshold, self.scores[mine, -1])
 
-    def hits(self, qids: np.ndarray, store) -> pd.DataFrame:
-        q, r = np.nonzero(np.isfinite(self.scores))
+    def hits(self, qids: np.ndarray, store, floor: np.ndarray) -> pd.DataFrame:
+        q, r = np.nonzero(np.isfinite(self.scores) & (self.scores >= floor[:, None]))
         return pd.DataFrame({"qid": qids[q], "store": store, "chunk_id": self.ids[q, r], "score": self.scores[q, r]})
 
 
-def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.DataFrame], k: int, threshold: float) -> Iterator[pd.DataFrame]:
+def _raised(floor: np.ndarray, held: list[_Held], k: int, n: int) -> np.ndarray:
+    """The floor, raised to each question's n-th best score among the k best hits held of each store."""
+    k = min(k, held[0].scores.shape[1]) if held else 0
+    if len(held) * k < n:
+        return floor
+    out = np.empty_like(floor)
+    for at in range(0, len(floor), 256):
+        best = np.concatenate([h.scores[at : at + 256, :k] for h in held], axis=1)
+        out[at : at + 256] = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n]
+    return np.maximum(floor, out)
+
+
+def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.DataFrame], k: int, threshold: float, reach: tuple[int, int] | None = None) -> Iterator[pd.DataFrame]:
     """Top k over the threshold of each (question, store) among all chunks of a task, whatever the number of its batches; scores at 6 decimals.
 
+    With reach (k, n) hits below the n-th best of the k best of each store are left out: other tasks can only raise that.
     A task that holds HELD hits hands them on and begins anew, so that many stores and questions don't fill its memory.
     """
-    single, held = questions.astype(np.float32), {}
+    single, held, floor = questions.astype(np.float32), {}, np.full(len(qids), -np.inf)
     for ids, stores, chunks in _blocks(batches):
         if not len(qids):
             continue
@@ -107,24 +120,27 @@ def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.
         for store, a, b in zip(names, cuts, cuts[1:]):
             if store not in held:
                 if held and (len(held) + 1) * len(qids) * k > HELD:
-                    yield from (h.hits(qids, s) for s, h in held.items())
+                    floor = _raised(floor, list(held.values()), *reach) if reach else floor
+                    yield from (h.hits(qids, s, floor) for s, h in held.items())
                     held = {}
                 held[store] = _Held(len(qids), k, threshold)
             for at in range(0, len(qids), 256):
-                held[store].add(at, questions[at : at + 256], single[at : at + 256], ids[a:b], unit[a:b], narrow[a:b], threshold)
-    yield from (h.hits(qids, s) for s, h in held.items())
+                held[store].add(at, questions[at : at + 256], single[at : at + 256], ids[a:b], unit[a:b], narrow[a:b], threshold, floor)
+        floor = _raised(floor, list(held.values()), *reach) if reach else floor
+    yield from (h.hits(qids, s, floor) for s, h in held.items())
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, stores and vectors of about CHUNK_BLOCK chunks at a time."""
-    some, n = [], 0
+    """ids, stores and vectors of about CHUNK_BLOCK chunks at a time, after smaller blocks that double."""
+    some, n, size = [], 0, min(FIRST_BLOCK, CHUNK_BLOCK)
     for b in batches:
-        if len(b):
-            some.append((b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"])))
-            n += len(b)
-        if n >= CHUNK_BLOCK:
-            yield tuple(map(np.concatenate, zip(*some)))
-            some, n = [], 0
+        for at in range(0, len(b), FIRST_BLOCK):
+            x = b.iloc[at : at + FIRST_BLOCK]
+            some.append((x["chunk_id"].to_numpy(), x["store"].to_numpy(), _matrix(x["embedding"])))
+            n += len(x)
+            if n >= size:
+                yield tuple(map(np.concatenate, zip(*some)))
+                some, n, size = [], 0, min(CHUNK_BLOCK, 2 * size)
     if some:
         yield tuple(map(np.concatenate, zip(*some)))
 
@@ -133,7 +149,7 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 0))
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, threshold: float = DEFAULT.threshold) -> DataFrame:
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, threshold: float = DEFAULT.threshold, reach: tuple[int, int] | None = None) -> DataFrame:
     """questions (qid, embedding), chunks (store, chunk_id, embedding) -> qid, store, chunk_id, score, rank.
 
     Cosine in double precision, at 6 decimals before threshold and rank; ties to the smaller chunk_id; zero vectors
@@ -141,26 +157,30 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
     built; only those rows are shuffled. There are at most as many tasks as cores, so that the hits that are shuffled
     grow with the questions alone, not with questions times chunks. Each task reads its chunks once, whatever the
     number of stores.
+
+    reach: (least k, n) of a `reachable` that follows. Tasks then leave out hits below the n-th best of the k best of each
+    store, which can't be reachable, so that they hand on some n a question instead of k a store; `reachable` finds the same
+    rows with the same ranks. Without that step the ranks of the lowest hits may be too good.
     """
     fine = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     chunks, questions = fine(chunks.select("store", "chunk_id", "embedding")), fine(questions.select("qid", "embedding"))
     first = questions.limit(BROADCAST_QUESTIONS + 1).collect()
     if len(first) <= BROADCAST_QUESTIONS:
-        return _topk(first, chunks, k, threshold)[0]
+        return _topk(first, chunks, k, threshold, reach)[0]
     spark, path = chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/topk-{uuid.uuid4().hex}"
     questions = saved(questions, "topk-questions")
     passes = max(1, -(-questions.count() // QUESTION_BLOCK))
     schema = None
     for i in range(passes):
         some = questions.where(F.pmod(F.xxhash64("qid", F.lit("pass")), F.lit(passes)) == i).collect()
-        hits, asked = _topk(some, chunks, k, threshold)
+        hits, asked = _topk(some, chunks, k, threshold, reach)
         schema = hits.schema
         hits.write.mode("append").parquet(path)
         asked.destroy()
     return spark.read.schema(schema).parquet(path)
 
 
-def _topk(rows: list, chunks: DataFrame, k: int, threshold: float) -> tuple[DataFrame, Broadcast]:
+def _topk(rows: list, chunks: DataFrame, k: int, threshold: float, reach: tuple[int, int] | None = None) -> tuple[DataFrame, Broadcast]:
     """The hits of questions that are on the driver, and what was broadcast for them."""
     m = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -169,7 +189,7 @@ def _topk(rows: list, chunks: DataFrame, k: int, threshold: float) -> tuple[Data
 
     def run(batches: Iterator[pd.DataFrame]):
         qids, q = asked.value
-        yield from _best_of_task(qids, q, batches, k, threshold)
+        yield from _best_of_task(qids, q, batches, k, threshold, reach)
 
     tasks = max(1, chunks.sparkSession.sparkContext.defaultParallelism)
     hits = chunks.coalesce(tasks).mapInPandas(run, f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double")

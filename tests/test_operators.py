@@ -304,3 +304,17 @@ def test_reachable_hits_give_the_same_references_for_every_k(spark):
     for k in range(5, 11):
         got, want = (sorted(map(tuple, retrieve.rerank_topn(h.where(F.col("rank") <= k), 6).collect())) for h in (kept, hits))
         assert got == want
+
+
+def test_tasks_leave_out_hits_that_no_reference_can_be(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(f"s{rng.integers(0, 6)}", i, [float(x) for x in rng.integers(0, 3, 6)]) for i in range(3000)]  # many equal scores
+    chunks = spark.createDataFrame(vectors, "store string, chunk_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(q, [float(x) for x in rng.integers(0, 4, 6)]) for q in range(9)], "qid long, embedding array<double>")
+    whole, few = retrieve.vector_topk(asked, chunks, 10, 0.2).localCheckpoint(), retrieve.vector_topk(asked, chunks, 10, 0.2, (5, 12)).localCheckpoint()
+    assert few.count() < whole.count()
+    got, want = (sorted(map(tuple, retrieve.reachable(h, 5, 10, 12).select("qid", "store", "chunk_id", "score", "rank").collect())) for h in (few, whole))
+    assert got == want
+    # fewer hits than n: none may go
+    got, want = (sorted(map(tuple, retrieve.vector_topk(asked, chunks.where("chunk_id < 40"), 10, 0.2, *r).select("qid", "store", "chunk_id", "score", "rank").collect())) for r in (((5, 500),), ()))
+    assert got == want
