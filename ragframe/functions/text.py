@@ -29,6 +29,11 @@ REWRITES = (
     (r"(schema:|units:|<i>|</i>|&emsp;|`{5}|`{4})", ""),
     (r"(`{4})", "\n"),
 )
+#: One of these stands in whatever a rewrite, in the same order, finds.
+MARKS = (
+    ("{ref}`",), ("{ref}`",), ("{doc}`",), ("{eq}`",), ("{cite}`",), ("{superscript}`",), ("{tab-item} ",), ("{tab-item} ",), ("{image} ", "{figure} "),
+    ("{admonition}", "{tip}", "{warning}", "{note}", "{important}"), ("{code", "{download}", "{grid", "{tab-set}", "{csv-table}"), ("schema:", "units:", "i>", "&emsp;", "````"), ("````",),
+)
 
 # Labels of a question.
 QUERY_TYPES = ("undefined", "general_question", "domain_question", "domain_code_generation")
@@ -146,7 +151,14 @@ def _java(replacement: str) -> str:
 
 
 def regex_rewrites(c: Column) -> Column:
-    return reduce(lambda t, x: F.regexp_replace(t, "(?m)" + x[0], _java(x[1])), REWRITES, c)
+    """All rewrites in order; a pattern goes only over texts with its mark, as most have few of them."""
+
+    def one(t: Column, pattern: str, to: str, marks: tuple[str, ...]) -> Column:
+        found = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in marks])
+        # By way of an array, so that the text so far is computed once.
+        return F.transform(F.array(t), lambda x: F.when(found(x), F.regexp_replace(x, "(?m)" + pattern, _java(to))).otherwise(x))[0]
+
+    return reduce(lambda t, x: one(t, *x[0], x[1]), zip(REWRITES, MARKS, strict=True), c)
 
 
 def name_hash(c: Column) -> Column:

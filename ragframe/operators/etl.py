@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.text import dropped_line, regex_rewrites, strip
+from ..sources.shared import saved
 
 FILE = ("file_ord",)
 
@@ -106,10 +107,11 @@ def single_markdown(lines: DataFrame, files: DataFrame) -> DataFrame:
 
     Each page is rewritten by itself, with the line end that joins it to the next, so that no task holds more than a page;
     the texts of a kind joined by line ends in the order of file_ord are the whole (see sources.markdown.write_text). Only
-    a pattern that would begin in one page and end in the next isn't found.
+    a pattern that would begin in one page and end in the next isn't found. The rewritten pages are saved: their references
+    are looked up first, and then replaced.
     """
     kept, refs = capture_anchors(drop_prefix_lines(lines))
-    return resolve_refs(rewritten_pages(kept, files), refs, "file_ord")
+    return resolve_refs(saved(rewritten_pages(kept, files), "pages"), refs, "file_ord")
 
 
 def rewritten_pages(kept: DataFrame, files: DataFrame) -> DataFrame:

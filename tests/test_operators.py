@@ -318,3 +318,11 @@ def test_tasks_leave_out_hits_that_no_reference_can_be(spark):
     # fewer hits than n: none may go
     got, want = (sorted(map(tuple, retrieve.vector_topk(asked, chunks.where("chunk_id < 40"), 10, 0.2, *r).select("qid", "store", "chunk_id", "score", "rank").collect())) for r in (((5, 500),), ()))
     assert got == want
+
+
+def test_pages_are_rewritten_once(spark):
+    lines = spark.createDataFrame([(1, "book/p1.md", 0, "(a)="), (1, "book/p1.md", 1, "# Title"), (2, "book/p2.md", 0, "{ref}`see <a>`")], "file_ord long, path string, line_no int, line string")
+    out = etl.single_markdown(lines, spark.createDataFrame([], "path string, content string"))
+    assert {r["file_ord"]: r["text"] for r in out.collect()} == {1: "# Title", 2: "see (see section: Title)"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "{ref" not in plan.replace("\\", "")  # no rewrite is left to the two reads of the pages
