@@ -585,6 +585,28 @@ def test_weights_of_shards_are_averaged(spark, monkeypatch):
     assert lm.trained_on(m, stretches.limit(0)) is m
 
 
+def test_every_training_stretch_is_trained_on(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "FIRST", 5)
+    monkeypatch.setattr(lm, "SMALL", 4)
+    monkeypatch.setattr(lm, "OFTEN", 1)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(40 * i))) for i in range(12)]  # no two stretches are equal
+    docs = spark.createDataFrame([*texts, (99, None)], "doc_id long, text string")
+    parts = lm.word_counts(docs).where("kind > 0")
+    train = {r["doc_id"] for r in docs.where(~lm.held_out(F.col("doc_id"))).collect()}
+    want = sorted(" ".join(t.split()[a : a + lm.STRETCH]) for i, t in texts if i in train for a in range(0, 40 * i, lm.STRETCH))
+    got = parts.collect()
+    assert sorted(bytes(r["part"]).decode() for r in got) == want
+    assert sum((r["kind"] - 1) & 1 for r in got) == sum((r["kind"] - 1) >> 1 for r in got) == len([i for i, t in texts if i in train and t])
+    shards, saved = [], lm.saved
+    monkeypatch.setattr(lm, "saved", lambda df, name: (shards.append(saved(df, name)), shards[-1])[1])
+    v = Vocabulary(dict.fromkeys(range(lm.subwords().size), 1), lm.subwords().size, 9, keep=500)
+    lm.trained_on(Model(v), parts.select("part", "kind"))
+    ids = sum(map(len, lm._ids(v, [bytes(r["part"]) for r in got]))) + sum((r["kind"] - 1).bit_count() for r in got)
+    assert sum(r["weight"] for s in shards[:2] for r in s.collect()) == ids  # the first weights and the shards; then averages
+
+
 # packing
 
 
