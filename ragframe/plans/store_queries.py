@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import cells
-from ..sources.shared import shared_dir
-from ..sources.versioned import ChunkStore
+from ..sources.shared import saved, shared_dir
+from ..sources.versioned import KEY, ChunkStore
 from . import inputs as I
 from .ingest_queries import VECTOR_TOPK
 
@@ -54,10 +54,11 @@ STORE_VERSIONS = f"WITH {COMMITTED} SELECT version::BIGINT AS version, count(*)
 
 def store_snapshots(spark, d):
     """Chunks of each file as of every version: how many, how many characters, and the digest of the last."""
-    store, out = _committed(spark, d), []
-    for v in (1, 2, 3):
-        one = store.chunks(v).groupBy("store", "file_name").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.max_by("text", "chunk_ix"), 256).alias("last_chunk"))
-        out.append(one.withColumn("version", F.lit(v)))
+    store, key = _committed(spark, d), ["commit", *KEY]
+    # A file's chunks in a commit are the same in all snapshots that show them.
+    pieces = store.commits().groupBy(*key, "file_name").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.max_by("text", "chunk_ix"), 256).alias("last_chunk"))
+    pieces = saved(pieces, "snapshot-pieces")
+    out = [store.files(v).select(*key).join(pieces, key).select("store", "file_name", "n_chunks", "n_chars", "last_chunk", F.lit(v).alias("version")) for v in (1, 2, 3)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

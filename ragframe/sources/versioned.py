@@ -77,6 +77,12 @@ class ChunkStore:
         kept = self.files(version).select("commit", *KEY)
         return self.spark.read.schema(SCHEMA + ", commit string").parquet(f"{self.path}/data").join(kept, ["commit", *KEY], "left_semi").select(*columns)
 
+    def commits(self) -> DataFrame:
+        """The chunks of all commits, as they were written: the columns of the plain store and commit. files() tells which of them a snapshot shows."""
+        if not exists(self.spark, f"{self.path}/data"):
+            return self.spark.createDataFrame([], SCHEMA + ", commit string")
+        return self.spark.read.schema(SCHEMA + ", commit string").parquet(f"{self.path}/data").join(self.log().select("commit").distinct(), "commit", "left_semi")
+
     def ingest(self, files: DataFrame, cfg: Config = DEFAULT, prune: bool = False) -> int | None:
         """Commit the files (store, file_name, file_path, text) that are new or have another content than the snapshot has; with prune also tombstones for files of these stores that aren't among them. The version, or None if there was nothing to do."""
         model = cfg.embedding_model.replace(":", "_")

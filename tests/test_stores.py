@@ -154,3 +154,14 @@ def test_visits_are_handed_on_in_bounded_pieces(spark, monkeypatch):
     assert max(map(len, pieces)) <= 16
     out = pd.concat(pieces)
     assert sorted(zip(out["qid"], out["cell"], out["block"])) == [(q, c, b) for q in range(40) for c, n in ((3, 1), (5, 2), (8, 4)) for b in range(n)]
+
+
+def test_chunks_of_all_commits(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "commits"))
+    assert store.commits().count() == 0
+    for text in ("old", "new"):
+        store.ingest(spark.createDataFrame([("s", "a.md", "in/a.md", text)], "store string, file_name string, file_path string, text string"))
+    rows = store.commits().collect()
+    assert sorted(r["text"] for r in rows) == ["new", "old"] and len({r["commit"] for r in rows}) == 2
+    shown = store.files(2).select("commit").first()[0]
+    assert [r["text"] for r in rows if r["commit"] == shown] == ["new"]
