@@ -174,16 +174,44 @@ def bucket(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
+_SOLID = np.zeros(256, bool)  # the bytes of a token, as `tokens` has them once the text is lower-cased
+_SOLID[0x30:0x3A] = _SOLID[0x61:0x7B] = _SOLID[0x80:] = True
+#: Bytes of text that the embedder takes apart at a time, if no single text is longer.
+PART = 1 << 22
+
+
+def _coded_words(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of lower-case texts that lie between these bounds of the data; the words of all in order, as places among them; how many a text has."""
+    solid = _SOLID[data]
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    some = np.diff(bounds) > 0
+    first, last = bounds[:-1][some], bounds[1:][some] - 1
+    begins[first], ends[last] = solid[first], solid[last]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    offsets = np.concatenate(([0], np.cumsum(ends - begins)))
+    found = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), np.diff(np.searchsorted(begins, bounds))
+
+
 def _unit_counts(dim: int):
-    """Lists of tokens to unit vectors of their counts by bucket, a batch at a time; each distinct token of a batch is hashed once."""
+    """Lower-case texts to unit vectors of their tokens' counts by bucket, some at a time; each distinct token of these is hashed once."""
 
     @F.arrow_udf("array<double>")
-    def unit_counts(words: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
-        coded = pc.list_flatten(words).dictionary_encode()
-        of = np.array([int(hashlib.md5(t).hexdigest()[:8], 16) % dim for t in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
-        flat = of[coded.indices.to_numpy()]
-        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + flat, minlength=len(sizes) * dim).reshape(-1, dim).astype(float)
+    def unit_counts(texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        counts, at = np.zeros((len(texts), dim)), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PART, side="right")) - 1)
+            distinct, codes, sizes = _coded_words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+            raw, cuts = bytes(distinct.buffers()[2] or b""), np.frombuffer(distinct.buffers()[1] or b"", np.int64)[: len(distinct) + 1].tolist()
+            of = np.frombuffer(b"".join([hashlib.md5(raw[a:b]).digest()[:4] for a, b in zip(cuts, cuts[1:])]), ">u4").astype(np.int64) % dim
+            flat = np.repeat(np.arange(to - at), sizes) * dim + of[codes]
+            counts[at:to] = np.bincount(flat, minlength=(to - at) * dim).reshape(-1, dim)
+            at = to
         norm = np.sqrt((counts * counts).sum(axis=1))
         fine = norm > 0
         values = counts[fine] / norm[fine][:, None]
@@ -196,6 +224,7 @@ def _unit_counts(dim: int):
 def hashed_vector(c: Column, dim: int) -> Column:
     """Feature-hashing embedding (Weinberger et al. 2009): token counts by bucket, as a unit vector; null without a token.
 
-    Tokens are found in the JVM and go to Python in Arrow batches, to be hashed (as `bucket` does) and counted.
+    Texts are lower-cased in the JVM and go to Python whole in Arrow batches; their tokens are found (as `tokens` does), hashed
+    (as `bucket` does) and counted there.
     """
-    return _unit_counts(dim)(tokens(c))
+    return _unit_counts(dim)(F.lower(c))

@@ -86,8 +86,8 @@ def converse(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, nod
         updates.append(_update(asked.where("node = 'rewrite'"), 10 * i, "rewrite", "retrieval_query"))
         changed = asked if hits is None else asked.where(F.col("retrieval_query") != F.col("last_query"))
         if hits is None or not changed.isEmpty():
-            found = retrieve.vector_topk(changed.select("qid", embed(F.col("retrieval_query")).alias("embedding")), chunks, cfg.k_max, cfg.threshold, (cfg.k, cfg.max_references))
-            found = written(retrieve.reachable(found, cfg.k, cfg.k_max, cfg.max_references), "agent-found").join(_documents(chunks), ["store", "chunk_id"])
+            found = retrieve.distinct_topk(changed.select("qid", embed(F.col("retrieval_query")).alias("embedding")), chunks, cfg.k_max, cfg.threshold, (cfg.k, cfg.max_references))
+            found = retrieve.with_texts(written(retrieve.reachable(found, cfg.k, cfg.k_max, cfg.max_references), "agent-found"), _documents(chunks))
             same = None if hits is None else hits.join(asked.where(F.col("retrieval_query") == F.col("last_query")).select("qid"), "qid", "left_semi")
             hits = written(found if same is None else found.unionByName(same), "agent-hits")
         own = hits.join(asked.select("qid", "k"), "qid").where(F.col("rank") <= F.col("k")).drop("k")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
@@ -17,6 +20,8 @@ from ..sources.shared import saved, shared_dir
 
 #: Questions up to this number are broadcast to the chunks' tasks at once; more in passes of about so many, whose hits are saved.
 BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 8192
+#: Hits up to this number are broadcast to the chunks when these give them their texts; of more, both sides are shuffled.
+BROADCAST_HITS = 250_000
 #: Chunks that a task scores at a time (fewer at first, so that bounds are there early), and best hits (16 bytes each) that it holds before it hands them on.
 CHUNK_BLOCK, FIRST_BLOCK, HELD = 32_768, 2048, 8_000_000
 #: Scores in single precision are off by far less than this; only those that near a bound are computed again, in double.
@@ -64,7 +69,9 @@ class _Held:
         fresh = np.flatnonzero(np.isinf(self.scores[at : at + len(score), -1]) & np.isinf(floor[at : at + len(score)]))
         if len(ids) > k and len(fresh):  # no bound yet but the threshold: the block's own k-th best
             bound[fresh] = np.maximum(bound[fresh], np.partition(score[fresh], len(ids) - k, axis=1)[:, len(ids) - k] - 2 * SLACK)
-        q, c = np.divmod(np.flatnonzero(score >= bound[:, None].astype(np.float32)), len(ids))
+        some = np.flatnonzero(score.max(axis=1) >= bound.astype(np.float32))  # most questions find nothing better in a block
+        q, c = np.divmod(np.flatnonzero(score[some] >= bound[some, None].astype(np.float32)), len(ids))
+        q = some[q]
         for i in range(0, len(q), 1 << 16):  # as many pairs in double precision at a time
             self._merge(at + q[i : i + (1 << 16)], np.round(np.einsum("ij,ij->i", unit[q[i : i + (1 << 16)]], chunks[c[i : i + (1 << 16)]]), 6), ids[c[i : i + (1 << 16)]], threshold)
 
@@ -112,7 +119,7 @@ def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.
             continue
         norm = np.linalg.norm(chunks, axis=1)
         fine = np.flatnonzero(norm > 0)
-        names, code = np.unique(stores[fine], return_inverse=True)
+        code, names = pd.factorize(stores[fine], use_na_sentinel=False)
         fine = fine[order := np.argsort(code, kind="stable")]
         cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
         ids, unit = ids[fine], chunks[fine] / norm[fine][:, None]
@@ -134,10 +141,10 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
     """ids, stores and vectors of about CHUNK_BLOCK chunks at a time, after smaller blocks that double."""
     some, n, size = [], 0, min(FIRST_BLOCK, CHUNK_BLOCK)
     for b in batches:
-        for at in range(0, len(b), FIRST_BLOCK):
-            x = b.iloc[at : at + FIRST_BLOCK]
-            some.append((x["chunk_id"].to_numpy(), x["store"].to_numpy(), _matrix(x["embedding"])))
-            n += len(x)
+        ids, stores, vectors = _columns(b)
+        for at in range(0, len(ids), FIRST_BLOCK):
+            some.append((ids[at : at + FIRST_BLOCK], stores[at : at + FIRST_BLOCK], vectors[at : at + FIRST_BLOCK]))
+            n += len(some[-1][0])
             if n >= size:
                 yield tuple(map(np.concatenate, zip(*some)))
                 some, n, size = [], 0, min(CHUNK_BLOCK, 2 * size)
@@ -145,6 +152,17 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
         yield tuple(map(np.concatenate, zip(*some)))
 
 
+def _columns(b: pd.DataFrame | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, stores and vectors of a batch; those of an Arrow batch, which all have one length, are taken as they lie in memory."""
+    if isinstance(b, pd.DataFrame):
+        return b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"])
+    ids, stores, vectors = b.column("chunk_id"), b.column("store"), b.column("embedding")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if pc.min_max(pc.list_value_length(vectors)).as_py() != {"min": (n := len(flat) // max(1, len(ids))), "max": n} and len(ids):
+        raise ValueError("vectors of one search must have one length")
+    return ids.to_numpy(zero_copy_only=False), stores.to_numpy(zero_copy_only=False), flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+
+
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 0))
 
@@ -180,6 +198,19 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
     return spark.read.schema(schema).parquet(path)
 
 
+def distinct_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, threshold: float = DEFAULT.threshold, reach: tuple[int, int] | None = None) -> DataFrame:
+    """vector_topk for questions (qid unique) of which many may have equal vectors, as short queries do: each different vector is searched for once, and its hits go to all its questions."""
+    questions = saved(questions.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("qid", "embedding"), "topk-asked")
+    firsts = saved(questions.groupBy("embedding").agg(F.min("qid").alias("first")), "topk-distinct")
+    hits = vector_topk(firsts.select(F.col("first").alias("qid"), "embedding"), chunks, k, threshold, reach)
+    return hits.withColumnRenamed("qid", "first").join(questions.join(firsts, "embedding").select("qid", "first"), "first").select(*hits.columns)
+
+
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """hits (store, chunk_id, ...; saved) with the other columns of texts (store, chunk_id, ...)."""
+    return (F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits).join(texts, ["store", "chunk_id"])
+
+
 def _topk(rows: list, chunks: DataFrame, k: int, threshold: float, reach: tuple[int, int] | None = None) -> tuple[DataFrame, Broadcast]:
     """The hits of questions that are on the driver, and what was broadcast for them."""
     m = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
@@ -187,12 +218,15 @@ def _topk(rows: list, chunks: DataFrame, k: int, threshold: float, reach: tuple[
     unit = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
     asked = chunks.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), unit))
 
-    def run(batches: Iterator[pd.DataFrame]):
-        qids, q = asked.value
-        yield from _best_of_task(qids, q, batches, k, threshold, reach)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        (qids, q), first = asked.value, next(batches, None)
+        for hits in _best_of_task(qids, q, chain([first], batches), k, threshold, reach) if first is not None else ():
+            store = pa.array(hits["store"], first.schema.field("store").type)
+            yield pa.RecordBatch.from_arrays([pa.array(hits["qid"]), store, pa.array(hits["chunk_id"]), pa.array(hits["score"])], names=["qid", "store", "chunk_id", "score"])
 
     tasks = max(1, chunks.sparkSession.sparkContext.defaultParallelism)
-    hits = chunks.coalesce(tasks).mapInPandas(run, f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double")
+    hits = chunks.coalesce(tasks).mapInArrow(run, f"qid long, store {dict(chunks.dtypes)['store']}, chunk_id long, score double")
     w = Window.partitionBy("qid", "store").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), asked
 

@@ -326,3 +326,42 @@ def test_pages_are_rewritten_once(spark):
     assert {r["file_ord"]: r["text"] for r in out.collect()} == {1: "# Title", 2: "see (see section: Title)"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "{ref" not in plan.replace("\\", "")  # no rewrite is left to the two reads of the pages
+
+
+def test_the_embedder_takes_whole_texts(spark):
+    texts = ["", None, "!!", "a", "Ab ab_ab\u00c9\u0130 9:;z`{x}~", " lead", "trail ", "\ud55c\uad6d x\u00df", *[f"w{i} w{i % 3}x" for i in range(50)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    by_hand = df.select("i", F.explode(X.tokens(F.col("t"))).alias("t")).groupBy("i", X.bucket(F.col("t"), 16).alias("b")).count().collect()
+    want = np.zeros((len(texts), 16))
+    for r in by_hand:
+        want[r["i"], r["b"]] = r["count"]
+    out = df.select("i", X.hashed_vector(F.col("t"), 16).alias("e"))
+    for r in out.collect():
+        norm = np.sqrt((want[r["i"]] ** 2).sum())
+        assert r["e"] == (list(want[r["i"]] / norm) if norm else None)
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()  # no list of words goes to Python
+
+
+def test_equal_vectors_are_searched_for_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"s{i % 2}", i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)], "store string, chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(q, [1.0, float(q % 3), 0.0]) for q in range(12)] + [(90, None), (91, [0.0, 0.0, 0.0])], "qid long, embedding array<double>")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "store", "chunk_id", "score", "rank").collect()))
+    want, search, n = rows(retrieve.vector_topk(asked, chunks, 4, 0.2)), retrieve.vector_topk, []
+    monkeypatch.setattr(retrieve, "vector_topk", lambda q, *rest: n.append(q.count()) or search(q, *rest))
+    assert rows(retrieve.distinct_topk(asked, chunks, 4, 0.2)) == want and n == [4]
+
+
+def test_few_hits_get_their_texts_without_a_shuffle_of_the_texts(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, "a", 3), (2, "a", 3), (2, "b", 4), (3, "b", 9)], "qid long, store string, chunk_id long")
+    texts = spark.createDataFrame([("a", 3, "x"), ("b", 4, "y"), ("b", 5, "z")], "store string, chunk_id long, text string")
+    monkeypatch.setattr(retrieve, "BROADCAST_HITS", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n, joined in ((4, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            monkeypatch.setattr(retrieve, "BROADCAST_HITS", n)
+            out = retrieve.with_texts(hits, texts)
+            assert sorted((r["qid"], r["text"]) for r in out.collect()) == [(1, "x"), (2, "x"), (2, "y")]
+            assert joined in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
