@@ -803,3 +803,37 @@ def test_freed_memory_goes_back_to_the_system():
     del blocks
     common.release()
     assert len(last) and held() < full - 150
+
+
+def test_each_shard_of_the_language_model_has_a_task(spark, monkeypatch):
+    """By size alone all small shards went to one task, which trained on them one after the other."""
+    from pyspark.sql import functions as F
+
+    v = Vocabulary({i: 5 for i in range(40)}, lm.subwords().size, 3)
+    stretches = spark.createDataFrame([(f"w{i} x{i % 7} y".encode(), 1) for i in range(400)], "part binary, kind byte")
+    tasks, save = [], lm.saved
+    monkeypatch.setattr(lm, "saved", lambda df, name: (out := save(df, name), tasks.append(out.select(F.input_file_name()).distinct().count()))[0])
+    lm._averaged(Model(v), stretches.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(4))), 4, 1e-3, 1)
+    assert tasks[0] >= 3  # bounds of shards are drawn from a sample
+
+
+def test_training_moves_weights_as_adam_does():
+    v = Vocabulary({i: 50 - i for i in range(40)}, 40, 4)
+    rng = np.random.default_rng(3)
+    docs = [v.of[rng.integers(0, 40, n)] for n in (5, 40, 70)]
+    m, plain = Model(v), Model(v)
+    got = m.train(docs, steps=None, seed=1, rate=5e-3)
+    texts = [np.concatenate(([0], d, [1])) for d in docs]
+    from ragframe.llm.attention import BATCH, WINDOW, _windows
+
+    seq, first, _ = _windows(np.array([len(t) - 1 for t in texts]))
+    x, y, keep = (np.zeros((BATCH, WINDOW), t) for t in (np.int32, np.int32, bool))
+    for r, w in enumerate(np.random.default_rng(1).permutation(len(seq))):
+        part = texts[seq[w]][first[w] : first[w] + WINDOW + 1]
+        x[r, : len(part) - 1], y[r, : len(part) - 1], keep[r, : len(part) - 1] = part[:-1], part[1:], True
+    loss, g = plain._gradients(x, y, keep.ravel())
+    assert len(got) == 1 and got[0] == pytest.approx(loss)
+    for k, w in plain.p.items():  # of one step, Adam's means are the gradient and its square
+        want = w - 5e-3 / 20 * 0.05 * g[k] / (np.abs(g[k]) + 1e-8)
+        assert np.allclose(m.p[k], want, atol=1e-6), k
+    assert np.array_equal(m.with_weights(m.flat()).flat(), m.flat())
