@@ -837,3 +837,42 @@ def test_training_moves_weights_as_adam_does():
         want = w - 5e-3 / 20 * 0.05 * g[k] / (np.abs(g[k]) + 1e-8)
         assert np.allclose(m.p[k], want, atol=1e-6), k
     assert np.array_equal(m.with_weights(m.flat()).flat(), m.flat())
+
+
+def test_no_two_shards_of_the_language_model_share_a_task(spark, monkeypatch):
+    """Ranges drawn from a sample put two of six even shards into one task."""
+    from pyspark.sql import functions as F
+
+    v = Vocabulary({i: 5 for i in range(40)}, lm.subwords().size, 3)
+    stretches = spark.createDataFrame([(f"w{i} x{i % 7} y".encode(), 1) for i in range(600)], "part binary, kind byte")
+    tasks, save = [], lm.saved
+    monkeypatch.setattr(lm, "saved", lambda df, name: (out := save(df, name), tasks.append(out.select(F.input_file_name()).distinct().count()))[0])
+    for salt in range(3):
+        tasks.clear()
+        lm._averaged(Model(v), stretches.withColumn("shard", F.pmod(F.xxhash64("part", F.lit(salt)), F.lit(6))), 6, 1e-3, 1)
+        assert tasks[0] == 6
+
+
+def test_a_shard_predicts_each_id_once():
+    v = Vocabulary({i: 50 - i for i in range(40)}, 40, 4)
+    docs = [v.of[np.random.default_rng(n).integers(0, 40, n)] for n in (2, 33, 34, 90)]
+    m, seen = Model(v), []
+    plain = m._gradients
+    m._gradients = lambda x, y, keep, g: (seen.append((len(x), keep.sum())), plain(x, y, keep, g))[1]
+    losses = m.train(docs, steps=None, whole=False, batch=3, once=True)
+    assert sum(k for _, k in seen) == sum(len(d) - 1 for d in docs) and max(n for n, _ in seen) == 3 and np.isfinite(losses).all()
+
+
+def test_gradients_are_those_of_the_loss():
+    v = Vocabulary({i: 90 - i for i in range(60)}, 60, 4)
+    m, rng = Model(v), np.random.default_rng(2)
+    x, y, keep = rng.integers(0, v.size, (3, 32)), rng.integers(1, v.size, (3, 32)), rng.random(96) < 0.7
+    _, g = m._gradients(x, y, keep)
+    for k, w in m.p.items():
+        at = np.unravel_index(np.abs(g[k]).argmax(), w.shape)
+        old, loss = w[at], []
+        for d in (1e-3, -1e-3):  # small, so that no hidden unit changes its side
+            w[at] = old + d
+            loss.append(m._gradients(x, y, keep)[0])
+        w[at] = old
+        assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(g[k][at], rel=0.05, abs=1e-4), k
