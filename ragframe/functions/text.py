@@ -195,10 +195,10 @@ def _coded_words(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.nda
     return found.dictionary, found.indices.to_numpy(), np.diff(np.searchsorted(begins, bounds))
 
 
-def _unit_counts(dim: int):
-    """Lower-case texts to unit vectors of their tokens' counts by bucket, some at a time; each distinct token of these is hashed once."""
+def _unit_counts(dim: int, packed: bool = False):
+    """Lower-case texts to unit vectors of their tokens' counts by bucket, some at a time; each distinct token of these is hashed once. packed: each vector's doubles as bytes."""
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("binary" if packed else "array<double>")
     def unit_counts(texts: pa.Array) -> pa.Array:
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -216,15 +216,17 @@ def _unit_counts(dim: int):
         fine = norm > 0
         values = counts[fine] / norm[fine][:, None]
         offsets = np.concatenate(([0], np.cumsum(np.where(fine, dim, 0))))
+        if packed:
+            return pa.Array.from_buffers(pa.binary(), len(texts), [pa.array(fine).buffers()[1], pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()), mask=pa.array(~fine))
 
     return unit_counts
 
 
-def hashed_vector(c: Column, dim: int) -> Column:
+def hashed_vector(c: Column, dim: int, packed: bool = False) -> Column:
     """Feature-hashing embedding (Weinberger et al. 2009): token counts by bucket, as a unit vector; null without a token.
 
     Texts are lower-cased in the JVM and go to Python whole in Arrow batches; their tokens are found (as `tokens` does), hashed
     (as `bucket` does) and counted there.
     """
-    return _unit_counts(dim)(F.lower(c))
+    return _unit_counts(dim, packed)(F.lower(c))

@@ -153,12 +153,17 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _columns(b: pd.DataFrame | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, stores and vectors of a batch; those of an Arrow batch, which all have one length, are taken as they lie in memory."""
+    """ids, stores and vectors of a batch; those of an Arrow batch (arrays or bytes of doubles), which all have one length, are taken as they lie in memory."""
     if isinstance(b, pd.DataFrame):
         return b["chunk_id"].to_numpy(), b["store"].to_numpy(), _matrix(b["embedding"])
     ids, stores, vectors = b.column("chunk_id"), b.column("store"), b.column("embedding")
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if pc.min_max(pc.list_value_length(vectors)).as_py() != {"min": (n := len(flat) // max(1, len(ids))), "max": n} and len(ids):
+    if pa.types.is_binary(vectors.type):
+        bounds = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset : vectors.offset + len(ids) + 1]
+        flat = np.frombuffer(vectors.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.float64) if len(ids) else np.zeros(0)
+        lengths = pa.array(np.diff(bounds) // 8)
+    else:
+        flat, lengths = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), pc.list_value_length(vectors)
+    if pc.min_max(lengths).as_py() != {"min": (n := len(flat) // max(1, len(ids))), "max": n} and len(ids):
         raise ValueError("vectors of one search must have one length")
     return ids.to_numpy(zero_copy_only=False), stores.to_numpy(zero_copy_only=False), flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
 
@@ -168,7 +173,7 @@ def _matrix(v: pd.Series) -> np.ndarray:
 
 
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, threshold: float = DEFAULT.threshold, reach: tuple[int, int] | None = None) -> DataFrame:
-    """questions (qid, embedding), chunks (store, chunk_id, embedding) -> qid, store, chunk_id, score, rank.
+    """questions (qid, embedding), chunks (store, chunk_id, embedding: an array, or packed by `embed`) -> qid, store, chunk_id, score, rank.
 
     Cosine in double precision, at 6 decimals before threshold and rank; ties to the smaller chunk_id; zero vectors
     never hit. Tasks score matrix blocks and keep k a question and store over all their chunks, so no pair table is
@@ -180,7 +185,8 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.k, thr
     store, which can't be reachable, so that they hand on some n a question instead of k a store; `reachable` finds the same
     rows with the same ranks. Without that step the ranks of the lowest hits may be too good.
     """
-    fine = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    size = lambda df: F.octet_length("embedding") if dict(df.dtypes)["embedding"] == "binary" else F.size("embedding")
+    fine = lambda df: df.where(F.col("embedding").isNotNull() & (size(df) > 0))
     chunks, questions = fine(chunks.select("store", "chunk_id", "embedding")), fine(questions.select("qid", "embedding"))
     first = questions.limit(BROADCAST_QUESTIONS + 1).collect()
     if len(first) <= BROADCAST_QUESTIONS:

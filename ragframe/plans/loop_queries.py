@@ -17,7 +17,7 @@ from .state_queries import CLASSIFIED, _STOP
 
 
 def _chunks(spark, d):
-    return saved(ingest.embed(I.chunks(spark, d)), "chunks")
+    return saved(ingest.embed(I.chunks(spark, d), packed=True), "chunks")
 
 
 def _turn(spark, d) -> agent.Conversation:

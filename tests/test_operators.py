@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,19 @@ def test_few_hits_get_their_texts_without_a_shuffle_of_the_texts(spark, monkeypa
             assert joined in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_packed_vectors_are_those_of_arrays_and_are_searched_alike(spark):
+    rows = [(f"s{i % 3}", i, None if i == 5 else " ".join(f"w{(i * j) % 23}" for j in range(i % 9))) for i in range(200)]  # some without a token
+    docs = spark.createDataFrame(rows, "store string, chunk_id long, text string")
+    plain, packed = ingest.embed(docs), ingest.embed(docs, packed=True)
+    want = {r["chunk_id"]: r["embedding"] for r in plain.collect()}
+    got = {r["chunk_id"]: r["embedding"] for r in packed.collect()}
+    assert {i: v and np.frombuffer(v).tolist() for i, v in got.items()} == want and None in got.values()
+    questions = ingest.embed(spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(20)], "qid long, text string"))
+    hits = lambda chunks: sorted(map(tuple, retrieve.vector_topk(questions, chunks, 4).collect()))
+    assert hits(packed) == hits(plain) != []
+    batch = lambda *sizes: pa.RecordBatch.from_pydict({"chunk_id": [*range(len(sizes))], "store": ["s"] * len(sizes), "embedding": [np.arange(float(n)).tobytes() for n in sizes]})
+    assert retrieve._columns(batch(3, 5, 5).slice(1))[2].tolist() == [[0.0, 1, 2, 3, 4]] * 2
+    with pytest.raises(ValueError, match="one length"):
+        retrieve._columns(batch(3, 5))
