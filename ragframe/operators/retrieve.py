@@ -19,13 +19,17 @@ from ..functions.text import escape_braces
 from ..sources.shared import saved, shared_dir
 
 #: Questions up to this number are broadcast to the chunks' tasks at once; more in passes of about so many, whose hits are saved.
-BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 8192
+BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 16_384
 #: Hits up to this number are broadcast to the chunks when these give them their texts; of more, both sides are shuffled.
 BROADCAST_HITS = 250_000
 #: Chunks that a task scores at a time (fewer at first, so that bounds are there early), and best hits (16 bytes each) that it holds before it hands them on.
-CHUNK_BLOCK, FIRST_BLOCK, HELD = 32_768, 2048, 8_000_000
+CHUNK_BLOCK, FIRST_BLOCK, HELD = 65_536, 2048, 8_000_000
 #: Scores in single precision are off by far less than this; only those that near a bound are computed again, in double.
 SLACK = 2e-5
+#: Buckets of a question that is screened by sums of bytes; of more a matrix product is as fast.
+MOST_BUCKETS = 12
+#: Chunks that lie side by side: of those in one lane the greatest sum is looked at first.
+LANES = 2048
 
 
 def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.DataFrame]:
@@ -53,6 +57,11 @@ def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.Dat
             yield pd.concat(found)
 
 
+def _cosines(questions: np.ndarray, chunks: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Scores of pairs of unit vectors, in double precision at 6 decimals."""
+    return np.round(np.einsum("ij,ij->i", questions[q], chunks[c]), 6)
+
+
 class _Held:
     """The k best hits so far of each question in one store: ids and scores, best first; -inf where there are fewer."""
 
@@ -61,19 +70,19 @@ class _Held:
         self.scores = np.full((n, k), -np.inf)
         self.least = np.full(n, float(threshold))  # what a further hit must reach
 
-    def add(self, at: int, unit: np.ndarray, single: np.ndarray, ids: np.ndarray, chunks: np.ndarray, narrow: np.ndarray, threshold: float, floor: np.ndarray) -> None:
-        """Let chunks (unit vectors, also in single precision) meet the questions from place `at` on. floor: what hits of all stores must reach (-inf if nothing)."""
+    def add(self, at: np.ndarray, unit: np.ndarray, single: np.ndarray, ids: np.ndarray, chunks: np.ndarray, narrow: np.ndarray, threshold: float, floor: np.ndarray) -> None:
+        """Let chunks (unit vectors, also in single precision) meet the questions at these places. floor: what hits of all stores must reach (-inf if nothing)."""
         k = self.ids.shape[1]
-        score = single @ narrow.T
-        bound = np.maximum(self.least[at : at + len(score)], floor[at : at + len(score)]) - SLACK
-        fresh = np.flatnonzero(np.isinf(self.scores[at : at + len(score), -1]) & np.isinf(floor[at : at + len(score)]))
+        score = single[at] @ narrow.T
+        bound = np.maximum(self.least[at], floor[at]) - SLACK
+        fresh = np.flatnonzero(np.isinf(self.scores[at, -1]) & np.isinf(floor[at]))
         if len(ids) > k and len(fresh):  # no bound yet but the threshold: the block's own k-th best
             bound[fresh] = np.maximum(bound[fresh], np.partition(score[fresh], len(ids) - k, axis=1)[:, len(ids) - k] - 2 * SLACK)
         some = np.flatnonzero(score.max(axis=1) >= bound.astype(np.float32))  # most questions find nothing better in a block
         q, c = np.divmod(np.flatnonzero(score[some] >= bound[some, None].astype(np.float32)), len(ids))
-        q = some[q]
+        q = at[some[q]]
         for i in range(0, len(q), 1 << 16):  # as many pairs in double precision at a time
-            self._merge(at + q[i : i + (1 << 16)], np.round(np.einsum("ij,ij->i", unit[q[i : i + (1 << 16)]], chunks[c[i : i + (1 << 16)]]), 6), ids[c[i : i + (1 << 16)]], threshold)
+            self._merge(q[i : i + (1 << 16)], _cosines(unit, chunks, q[i : i + (1 << 16)], c[i : i + (1 << 16)]), ids[c[i : i + (1 << 16)]], threshold)
 
     def _merge(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, threshold: float) -> None:
         k = self.ids.shape[1]
@@ -95,16 +104,115 @@ class _Held:
         return pd.DataFrame({"qid": qids[q], "store": store, "chunk_id": self.ids[q, r], "score": self.scores[q, r]})
 
 
-def _raised(floor: np.ndarray, held: list[_Held], k: int, n: int) -> np.ndarray:
-    """The floor, raised to each question's n-th best score among the k best hits held of each store."""
+def _raised(floor: np.ndarray, held: list[_Held], k: int, n: int, some: np.ndarray | None = None) -> np.ndarray:
+    """The floor, raised to each question's n-th best score among the k best hits held of each store. some: only for the questions at these places."""
     k = min(k, held[0].scores.shape[1]) if held else 0
     if len(held) * k < n:
         return floor
-    out = np.empty_like(floor)
-    for at in range(0, len(floor), 256):
-        best = np.concatenate([h.scores[at : at + 256, :k] for h in held], axis=1)
-        out[at : at + 256] = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n]
-    return np.maximum(floor, out)
+    some, out = np.arange(len(floor)) if some is None else some, floor.copy()
+    for at in range(0, len(some), 256):
+        rows = some[at : at + 256]
+        best = np.concatenate([h.scores[rows, :k] for h in held], axis=1)
+        out[rows] = np.maximum(out[rows], np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n])
+    return out
+
+
+def _counted(questions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by their least component, and which of them are then whole numbers in few buckets, as those of short texts are."""
+    some = (questions > 0).sum(axis=1)
+    least = np.where(questions > 0, questions, np.inf).min(axis=1, initial=np.inf)
+    counts = questions / np.where(np.isfinite(least), least, 1.0)[:, None]
+    whole = np.rint(counts)
+    fine = (questions >= 0).all(axis=1) & (some > 0) & (some <= MOST_BUCKETS) & (np.abs(counts - whole) < 1e-6).all(axis=1) & (whole.sum(axis=1) < 128)
+    return np.where(fine[:, None], whole, 0).astype(np.int64), fine
+
+
+class _Screen:
+    """Upper bounds of cosines between questions of counts in few buckets and chunks without negative components, at a byte each.
+
+    A chunk's components, times a count and a scale, are rounded up to bytes; a question's bound is the sum over its buckets,
+    which fits a byte by the choice of the scale. Questions are taken in the order of their buckets, common ones first, so that
+    those with the same first buckets share these sums. A sum of bytes costs a small part of a product of vectors, and few pairs
+    near a bound remain for that.
+    """
+
+    def __init__(self, questions: np.ndarray):
+        counts, self.fine = _counted(questions)
+        self.norm = np.sqrt((counts * counts).sum(axis=1))
+        q, d = np.nonzero(counts)
+        used, word, n = np.unique(d * 128 + counts[q, d], return_inverse=True, return_counts=True)
+        common = np.argsort(-n, kind="stable")
+        self.words = [divmod(int(x), 128) for x in used[common]]  # (bucket, count) of each sum, common ones first
+        word = np.argsort(common)[word]
+        order = np.lexsort((word, q))
+        cuts, word = np.searchsorted(q, np.arange(len(counts) + 1)), word[order]
+        self.level = np.zeros(len(counts), np.int64)  # the scale is 2 ** (level / 4)
+        some = np.flatnonzero(self.fine)
+        self.level[some] = np.floor(4 * np.log2((254 - np.diff(cuts)[some]) / self.norm[some]))
+        self.plan: dict[int, list[tuple[int, list[int], int]]] = {}  # of each level: place of a question, its words, how many it shares with the one before
+        for level, words, i in sorted((int(self.level[i]), word[cuts[i] : cuts[i + 1]].tolist(), int(i)) for i in some):
+            mine, shared = self.plan.setdefault(level, []), 0
+            while mine and shared < min(len(words), len(mine[-1][1])) and words[shared] == mine[-1][1][shared]:
+                shared += 1
+            mine.append((i, words, shared))
+
+    def near(self, across: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of questions and chunks whose cosine may reach the question's bound, some at a time. across: a row of each component of the chunks' unit vectors, in single precision; bound: inf for questions that are left out."""
+        rows = -(-across.shape[1] // LANES)
+        asked, least = np.isfinite(bound), np.full(len(bound), 256)  # above any sum
+        least[asked] = np.maximum(1, np.ceil((bound - SLACK)[asked] * (self.norm * 2.0 ** (self.level / 4))[asked]))
+        least, spare, best = least.tolist(), [np.empty((rows, LANES), np.uint8) for _ in range(MOST_BUCKETS)], np.empty(LANES, np.uint8)
+        q, c, n = [], [], 0
+        for level, plan in self.plan.items():
+            columns: dict[int, np.ndarray] = {}
+            for w in {w for i, words, _ in plan if least[i] <= 255 for w in words}:
+                bucket, count = self.words[w]
+                columns[w] = np.zeros((rows, LANES), np.uint8)
+                columns[w].ravel()[: across.shape[1]] = np.ceil(across[bucket] * np.float32(count * 2.0 ** (level / 4)))
+            sums, deep = [best] * MOST_BUCKETS, 0
+            for i, words, shared in plan:
+                deep = min(deep, shared)  # sums up to here are those of this question
+                if least[i] > 255:
+                    continue
+                for j in range(deep, len(words)):
+                    sums[j] = np.add(sums[j - 1], columns[words[j]], spare[j]) if j else columns[words[0]]
+                deep = len(words)
+                last, bar = sums[deep - 1], least[i]
+                lanes = (np.maximum.reduce(last, 0, None, best) >= bar).nonzero()[0]
+                if len(lanes):
+                    row, lane = (last.take(lanes, 1) >= bar).nonzero()
+                    q.append(i)
+                    c.append(row * LANES + lanes[lane])
+                    n += len(row)
+                    if n >= 1 << 16:
+                        yield np.repeat(q, [len(x) for x in c]), np.concatenate(c)
+                        q, c, n = [], [], 0
+        if q:
+            yield np.repeat(q, [len(x) for x in c]), np.concatenate(c)
+
+
+def _products(single: np.ndarray, narrow: np.ndarray, some: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _Screen.near, by matrix products that stay in the cache: for the questions at these places."""
+    room = np.empty(256 * 4096, np.float32)
+    for i in range(0, len(some), 256):
+        at = some[i : i + 256]
+        asked, least = single[at], (bound[at] - SLACK).astype(np.float32)
+        for j in range(0, len(narrow), 4096):
+            part = narrow[j : j + 4096]
+            score = np.matmul(asked, part.T, out=room[: len(at) * len(part)].reshape(len(at), len(part)))
+            few = np.flatnonzero(score.max(axis=1) >= least)  # most questions find nothing better in a block
+            if len(few):
+                q, c = np.divmod(np.flatnonzero(score[few] >= least[few, None]), len(part))
+                yield at[few[q]], j + c
+
+
+def _seeded(floor: np.ndarray, at: np.ndarray, single: np.ndarray, narrow: np.ndarray, cuts: np.ndarray, k: int, n: int, threshold: float) -> None:
+    """Raise the floor of the questions at these places to just below their n-th best score over the threshold among the k best of each store in a block."""
+    score = single[at] @ narrow.T
+    best = np.concatenate([np.partition(score[:, a:b], max(0, b - a - k), axis=1)[:, max(0, b - a - k) :] for a, b in zip(cuts, cuts[1:])] + [np.zeros((len(at), 0), np.float32)], axis=1)
+    if best.shape[1] >= n:
+        nth = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n].astype(np.float64) - 2 * SLACK
+        floor[at] = np.maximum(floor[at], np.where(nth >= threshold, nth, -np.inf))
 
 
 def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.DataFrame], k: int, threshold: float, reach: tuple[int, int] | None = None) -> Iterator[pd.DataFrame]:
@@ -114,26 +222,52 @@ def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.
     A task that holds HELD hits hands them on and begins anew, so that many stores and questions don't fill its memory.
     """
     single, held, floor = questions.astype(np.float32), {}, np.full(len(qids), -np.inf)
+    screen = _Screen(questions) if reach else None
+
+    def room(store) -> Iterator[pd.DataFrame]:
+        nonlocal held, floor
+        if store not in held:
+            if held and (len(held) + 1) * len(qids) * k > HELD:
+                floor = _raised(floor, list(held.values()), *reach) if reach else floor
+                yield from (h.hits(qids, s, floor) for s, h in held.items())
+                held = {}
+            held[store] = _Held(len(qids), k, threshold)
+
     for ids, stores, chunks in _blocks(batches):
         if not len(qids):
             continue
         norm = np.linalg.norm(chunks, axis=1)
-        fine = np.flatnonzero(norm > 0)
+        fine = np.flatnonzero((norm > 0) & np.isfinite(norm))
         code, names = pd.factorize(stores[fine], use_na_sentinel=False)
         fine = fine[order := np.argsort(code, kind="stable")]
         cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
         ids, unit = ids[fine], chunks[fine] / norm[fine][:, None]
         narrow = unit.astype(np.float32)
-        for store, a, b in zip(names, cuts, cuts[1:]):
-            if store not in held:
-                if held and (len(held) + 1) * len(qids) * k > HELD:
-                    floor = _raised(floor, list(held.values()), *reach) if reach else floor
-                    yield from (h.hits(qids, s, floor) for s, h in held.items())
-                    held = {}
-                held[store] = _Held(len(qids), k, threshold)
-            for at in range(0, len(qids), 256):
-                held[store].add(at, questions[at : at + 256], single[at : at + 256], ids[a:b], unit[a:b], narrow[a:b], threshold, floor)
-        floor = _raised(floor, list(held.values()), *reach) if reach else floor
+        raised, fresh = [np.zeros(0, np.int64)], np.flatnonzero(np.isinf(floor)) if reach else []
+        for at in range(0, len(fresh), 256):
+            _seeded(floor, fresh[at : at + 256], single, narrow, cuts, min(k, reach[0]), reach[1], threshold)
+        # Questions with a bound over all stores meet all stores at once, and most of them by way of the screen.
+        others, bounded = np.flatnonzero(np.isinf(floor)), np.isfinite(floor)
+        screened = bounded & screen.fine if screen and (narrow >= 0).all() else np.zeros(len(qids), bool)
+        bound = np.maximum(floor, threshold)
+        for store, a, b in zip(names, cuts, cuts[1:]) if len(others) else ():
+            yield from room(store)
+            for at in range(0, len(others), 256):
+                held[store].add(others[at : at + 256], questions, single, ids[a:b], unit[a:b], narrow[a:b], threshold, floor)
+        near = [screen.near(np.ascontiguousarray(narrow.T), np.where(screened, bound, np.inf))] if screened.any() else []
+        for q, c in chain(*near, _products(single, narrow, np.flatnonzero(bounded & ~screened), bound)):
+            for i in range(0, len(q), 1 << 16):  # as many pairs in double precision at a time
+                some, at = q[i : i + (1 << 16)], c[i : i + (1 << 16)]
+                score = _cosines(questions, unit, some, at)
+                few = np.flatnonzero(score >= bound[some])
+                few = few[np.argsort(at[few], kind="stable")]
+                some, at, score = some[few], at[few], score[few]
+                raised.append(np.unique(some))
+                for store, a, b in zip(names, *np.searchsorted(at, (cuts[:-1], cuts[1:]))):
+                    if a < b:
+                        yield from room(store)
+                        held[store]._merge(some[a:b], score[a:b], ids[at[a:b]], threshold)
+        floor = _raised(floor, list(held.values()), *reach, np.unique(np.concatenate((others, *raised)))) if reach else floor
     yield from (h.hits(qids, s, floor) for s, h in held.items())
 
 
@@ -224,7 +358,6 @@ def _topk(rows: list, chunks: DataFrame, k: int, threshold: float, reach: tuple[
     unit = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
     asked = chunks.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), unit))
 
-
     def run(batches: Iterator[pa.RecordBatch]):
         (qids, q), first = asked.value, next(batches, None)
         for hits in _best_of_task(qids, q, chain([first], batches), k, threshold, reach) if first is not None else ():

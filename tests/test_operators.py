@@ -321,6 +321,72 @@ def test_tasks_leave_out_hits_that_no_reference_can_be(spark):
     assert got == want
 
 
+def _search_by_hand(unit, vectors, ids, stores, k, n, least):
+    """What `reachable` can keep of each question: the k best of each store at or over the n-th best of these."""
+    length = np.linalg.norm(vectors, axis=1)
+    scores = np.round(np.divide(unit @ vectors.T, length, out=np.zeros((len(unit), len(vectors))), where=length > 0), 6)
+    for i, row in enumerate(scores):
+        best = [h for s in np.unique(stores) for h in sorted((-row[c], s, ids[c]) for c in np.flatnonzero((stores == s) & (row >= least) & (length > 0)))[:k]]
+        yield i, [h for h in sorted(best) if h[0] <= sorted(best)[:n][-1][0]]
+
+
+def test_short_questions_are_screened_before_they_meet_chunks(monkeypatch):
+    rng = np.random.default_rng(15)
+    q = np.zeros((60, 24))
+    for i in range(60):
+        np.add.at(q[i], rng.integers(0, 24, rng.integers(1, 10)), 1.0)  # counts of words by bucket, some of them 2 or 3
+    q[1] = q[0]
+    q[2] *= 2.5
+    vectors = rng.poisson(0.6, (6000, 24)) * rng.choice([1.0, 2.0, 0.37], (6000, 1))  # many equal cosines
+    vectors[:40] = 0.0
+    vectors[40:60, :] = q[:20]
+    unit, ids, stores = q / np.linalg.norm(q, axis=1, keepdims=True), rng.permutation(6000), np.array(["abcde"[i] for i in rng.integers(0, 5, 6000)])
+    products, met = [], retrieve._cosines
+    monkeypatch.setattr(retrieve, "_cosines", lambda a, b, x, y: products.append(len(x)) or met(a, b, x, y))
+    monkeypatch.setattr(retrieve, "_products", lambda single, narrow, some, bound: iter(()) if not len(some) else pytest.fail("a short question went by matrix products"))
+    want = dict(_search_by_hand(unit, vectors, ids, stores, 5, 8, 0.3))
+    for held, block, lanes in ((retrieve.HELD, 1000, 64), (700, 1000, 2048), (retrieve.HELD, 250, 7)):
+        for name, value in (("HELD", held), ("CHUNK_BLOCK", block), ("LANES", lanes)):
+            monkeypatch.setattr(retrieve, name, value)
+        products.clear()
+        batches = (pd.DataFrame({"chunk_id": ids[i : i + 100], "store": stores[i : i + 100], "embedding": list(vectors[i : i + 100])}) for i in range(0, 6000, 100))
+        out = pd.concat(retrieve._best_of_task(np.arange(60), unit, batches, 5, 0.3, (5, 8)))
+        if held == retrieve.HELD:
+            assert sum(products) < 0.1 * 60 * 6000
+        for i, hits in want.items():
+            mine = out[out["qid"] == i]
+            kept = [h for s in "abcde" for h in sorted(zip(-mine["score"][mine["store"] == s], mine["store"][mine["store"] == s], mine["chunk_id"][mine["store"] == s]))[:5]]
+            assert [h for h in sorted(kept) if h[0] <= sorted(kept)[:8][-1][0]] == hits
+
+
+def test_long_and_signed_vectors_meet_all_stores_at_once(monkeypatch):
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(retrieve, "CHUNK_BLOCK", 600)
+    for vectors, q in ((rng.normal(size=(2500, 16)), rng.normal(size=(9, 16))), (np.abs(rng.normal(size=(2500, 16))), rng.integers(0, 3, (9, 16)) + 0.0), (rng.normal(size=(2500, 16)), rng.integers(0, 2, (9, 16)) + 0.0)):
+        vectors[7, 3] = np.inf  # has no direction
+        ids, stores = rng.permutation(2500), np.array(["abc"[i] for i in rng.integers(0, 3, 2500)])
+        unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        adds, add = [], retrieve._Held.add
+        monkeypatch.setattr(retrieve._Held, "add", lambda *a: adds.append(1) or add(*a))
+        batches = (pd.DataFrame({"chunk_id": ids[i : i + 100], "store": stores[i : i + 100], "embedding": list(vectors[i : i + 100])}) for i in range(0, 2500, 100))
+        out = pd.concat(retrieve._best_of_task(np.arange(9), unit, batches, 4, 0.1, (4, 6)))
+        assert not adds  # a bound over all stores is there from the first block on
+        keep = np.arange(2500) != 7
+        for i, hits in _search_by_hand(unit, vectors[keep], ids[keep], stores[keep], 4, 6, 0.1):
+            mine = out[out["qid"] == i]
+            kept = [h for s in "abc" for h in sorted(zip(-mine["score"][mine["store"] == s], mine["store"][mine["store"] == s], mine["chunk_id"][mine["store"] == s]))[:4]]
+            assert [h for h in sorted(kept) if h[0] <= sorted(kept)[:6][-1][0]] == hits
+
+
+def test_text_retrieval_hands_on_only_hits_that_can_rank(spark, sf_dir, monkeypatch):
+    from ragframe.plans import ingest_queries
+
+    search, handed = retrieve.vector_topk, []
+    monkeypatch.setattr(retrieve, "vector_topk", lambda *a, **b: handed.append(search(*a, **b)) or handed[-1])
+    rows = ingest_queries.text_retrieval(spark, sf_dir).count()
+    assert rows <= handed[0].count() < 5 * rows  # not k of each of 20 stores
+
+
 def test_pages_are_rewritten_once(spark):
     lines = spark.createDataFrame([(1, "book/p1.md", 0, "(a)="), (1, "book/p1.md", 1, "# Title"), (2, "book/p2.md", 0, "{ref}`see <a>`")], "file_ord long, path string, line_no int, line string")
     out = etl.single_markdown(lines, spark.createDataFrame([], "path string, content string"))
