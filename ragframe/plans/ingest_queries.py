@@ -436,7 +436,7 @@ def text_retrieval(spark, d):
     """Text in, hits out: questions and chunks by the hashing embedder."""
     chunks = saved(ingest.embed(I.chunks(spark, d)).select("store", "chunk_id", "embedding"), "chunks")
     asked = I.questions(spark, d).select("qid", X.hashed_vector(F.col("query"), DEFAULT.dim).alias("embedding"))
-    return retrieve.rerank_topn(retrieve.vector_topk(asked, chunks))
+    return retrieve.rerank_topn(retrieve.vector_topk(asked, chunks, reach=(DEFAULT.k, DEFAULT.max_references)))
 
 
 _BUCKET = "(('0x' || substr(md5(t), 1, 8))::BIGINT % " + f"{DEFAULT.dim})::INT"
