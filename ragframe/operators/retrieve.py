@@ -19,17 +19,17 @@ from ..functions.text import escape_braces
 from ..sources.shared import saved, shared_dir
 
 #: Questions up to this number are broadcast to the chunks' tasks at once; more in passes of about so many, whose hits are saved.
-BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 16_384
+BROADCAST_QUESTIONS, QUESTION_BLOCK = 2048, 40_960
 #: Hits up to this number are broadcast to the chunks when these give them their texts; of more, both sides are shuffled.
 BROADCAST_HITS = 250_000
 #: Chunks that a task scores at a time (fewer at first, so that bounds are there early), and best hits (16 bytes each) that it holds before it hands them on.
-CHUNK_BLOCK, FIRST_BLOCK, HELD = 65_536, 2048, 8_000_000
+CHUNK_BLOCK, FIRST_BLOCK, HELD = 131_072, 2048, 10_000_000
 #: Scores in single precision are off by far less than this; only those that near a bound are computed again, in double.
 SLACK = 2e-5
 #: Buckets of a question that is screened by sums of bytes; of more a matrix product is as fast.
 MOST_BUCKETS = 12
 #: Chunks that lie side by side: of those in one lane the greatest sum is looked at first.
-LANES = 2048
+LANES = 4096
 
 
 def _best(qids, questions, ids, stores, chunks, k, threshold) -> Iterator[pd.DataFrame]:
@@ -241,7 +241,9 @@ def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.
         code, names = pd.factorize(stores[fine], use_na_sentinel=False)
         fine = fine[order := np.argsort(code, kind="stable")]
         cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
-        ids, unit = ids[fine], chunks[fine] / norm[fine][:, None]
+        ids, unit = ids[fine], chunks[fine]
+        unit /= norm[fine][:, None]
+        del chunks
         narrow = unit.astype(np.float32)
         raised, fresh = [np.zeros(0, np.int64)], np.flatnonzero(np.isinf(floor)) if reach else []
         for at in range(0, len(fresh), 256):
@@ -274,16 +276,22 @@ def _best_of_task(qids: np.ndarray, questions: np.ndarray, batches: Iterator[pd.
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """ids, stores and vectors of about CHUNK_BLOCK chunks at a time, after smaller blocks that double."""
     some, n, size = [], 0, min(FIRST_BLOCK, CHUNK_BLOCK)
+
+    def joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = tuple(map(np.concatenate, zip(*parts)))
+        parts.clear()  # they go before the block is worked on
+        return out
+
     for b in batches:
         ids, stores, vectors = _columns(b)
         for at in range(0, len(ids), FIRST_BLOCK):
             some.append((ids[at : at + FIRST_BLOCK], stores[at : at + FIRST_BLOCK], vectors[at : at + FIRST_BLOCK]))
             n += len(some[-1][0])
             if n >= size:
-                yield tuple(map(np.concatenate, zip(*some)))
-                some, n, size = [], 0, min(CHUNK_BLOCK, 2 * size)
+                yield joined(some)
+                n, size = 0, min(CHUNK_BLOCK, 2 * size)
     if some:
-        yield tuple(map(np.concatenate, zip(*some)))
+        yield joined(some)
 
 
 def _columns(b: pd.DataFrame | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
