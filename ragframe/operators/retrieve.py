@@ -193,7 +193,7 @@ class _Screen:
 
 def _products(single: np.ndarray, narrow: np.ndarray, some: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """As _Screen.near, by matrix products that stay in the cache: for the questions at these places."""
-    room = np.empty(256 * 4096, np.float32)
+    room, found, n = np.empty(256 * 4096, np.float32), [], 0
     for i in range(0, len(some), 256):
         at = some[i : i + 256]
         asked, least = single[at], (bound[at] - SLACK).astype(np.float32)
@@ -203,7 +203,13 @@ def _products(single: np.ndarray, narrow: np.ndarray, some: np.ndarray, bound: n
             few = np.flatnonzero(score.max(axis=1) >= least)  # most questions find nothing better in a block
             if len(few):
                 q, c = np.divmod(np.flatnonzero(score[few] >= least[few, None]), len(part))
-                yield at[few[q]], j + c
+                found.append((at[few[q]], j + c))
+                n += len(q)
+            if n >= 1 << 16:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, n = [], 0
+    if found:
+        yield tuple(map(np.concatenate, zip(*found)))
 
 
 def _seeded(floor: np.ndarray, at: np.ndarray, single: np.ndarray, narrow: np.ndarray, cuts: np.ndarray, k: int, n: int, threshold: float) -> None:
